@@ -3,7 +3,7 @@
 Each document of a source has the same copy number target / source_size. Its whole part is certain; the fraction is
 an inclusion probability. Pairs of documents fight over it: mass moves from one to the other, measured in words, in a
 random direction whose odds keep both expectations, until one of the two is 0 or 1. So the words of a source stay as
-they are in sum until one document with a fraction is left, and a coin settles that.
+they are in sum until one document with a fraction is left, which goes to the nearer side: at most half its size off.
 
 The fights run as a reduction tree: a level deals the open documents of each source into groups of about GROUP by a
 hash, folds each group in one expression, settles all but one document of it, and hands that one to the next level.
@@ -102,8 +102,8 @@ def pivotal(units: DataFrame, seed: int = 0, group: int = GROUP) -> DataFrame:
         folded = checkpointed(folded.select("source", "groups", _fold(F.col("_items"), row_type).alias("f")))
         parts.append(folded.select(F.explode("f.done").alias("d")).select("d.row", "d.extra"))
         left = folded.where(~F.col("f.open.none")).select("source", "groups", F.col("f.open.row").alias("row"), F.col("f.open.words").alias("words"), F.col("f.open.p").alias("p"))
-        # a source that was one group has one unit left at most
-        parts.append(left.where("groups = 1").select("row", (_uniform(F.lit(seed), F.lit("coin"), "row") < F.col("p")).cast("long").alias("extra")))
+        # a source that was one group has one unit left at most: to the nearer side
+        parts.append(left.where("groups = 1").select("row", (F.col("p") >= 0.5).cast("long").alias("extra")))
         open_ = left.where("groups > 1").withColumn("groups", F.ceil(F.col("groups") / group))
         most, level = (0 if most <= group else -(-most // group)), level + 1
     out = units.select("row", F.lit(0).cast("long").alias("extra")).limit(0)
