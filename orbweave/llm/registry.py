@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from orbweave.llm import mixing, secrets
+from orbweave.llm import mixing, neardup, secrets
 
-MODULES = (secrets, mixing)
+MODULES = (secrets, mixing, neardup)
 
 
 def queries() -> dict:
