@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from orbweave.llm import mixing, neardup, secrets
+from orbweave.llm import langid, licenses, mixing, neardup, secrets
 
-MODULES = (secrets, mixing, neardup)
+MODULES = (secrets, licenses, langid, mixing, neardup)
 
 
 def queries() -> dict:
