@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from orbweave.llm import langid, licenses, mixing, neardup, secrets
+from orbweave.llm import ctph, langid, licenses, mixing, neardup, secrets
 
-MODULES = (secrets, licenses, langid, mixing, neardup)
+MODULES = (secrets, licenses, langid, mixing, neardup, ctph)
 
 
 def queries() -> dict:
