@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from orbweave.llm import ctph, langid, licenses, mixing, neardup, secrets
+from orbweave.llm import ctph, langid, licenses, mixing, neardup, pieces, secrets
 
-MODULES = (secrets, licenses, langid, mixing, neardup, ctph)
+MODULES = (secrets, licenses, langid, mixing, neardup, pieces, ctph)
 
 
 def queries() -> dict:
