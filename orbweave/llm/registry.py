@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from orbweave.llm import ctph, langid, licenses, linededup, mixing, neardup, pieces, secrets
+from orbweave.llm import ctph, langid, licenses, linededup, mixing, neardup, pieces, pii, secrets
 
-MODULES = (secrets, licenses, langid, linededup, mixing, neardup, pieces, ctph)
+MODULES = (secrets, licenses, langid, linededup, mixing, neardup, pieces, pii, ctph)
 
 
 def queries() -> dict:
