@@ -4,10 +4,14 @@
    and a sketch of one bit for each of SKETCH further minima. Documents with equal sets become one class, whose
    name is its smallest id; only classes go on, so copies never meet in pairs.
 2. Classes that share a band key are candidates. A bucket is never expanded into all its pairs: each member is tried
-   against the bucket's leader only (first the smallest id, then another by hash). Components formed from the
-   links found so far then say which members of a bucket are still apart, and only pairs across components are tried,
-   if sizes and sketches (within six standard deviations) allow the similarity.
-3. Candidates are confirmed on their full shingle sets, made anew from the two texts.
+   against the bucket's leader only, first the smallest id, then another one by hash. Components formed from the
+   links found so far then say which members of a bucket are still apart. For these an exact filter takes the place of
+   pairs. Let L lead x and y, and let x lack d shingles for a link with L. What x and y share of L's shingles is at most
+   what x and L share, so a link of x and y needs d + t (|y| - |L|) shingles that both have and L has not, t being
+   s / (1 + s) for a similarity of s. Members meet on such added shingles only, x with its rarest ones (prefix
+   filter); where the bound is not positive, for a y smaller than L, they meet by sizes.
+3. Candidates with sizes and sketches (within six standard deviations) that allow the similarity are confirmed on
+   their full shingle sets, made anew from the two texts.
 4. Components by alternating large-star and small-star; every round goes through a checkpoint.
 
 With 4 rows and 24 bands a pair at 0.85 is missed with probability 2e-8.
@@ -123,6 +127,54 @@ def similar(width: int, percent: int):
     return run
 
 
+def added(width: int):
+    """mapInArrow function on (lead, id, z_a, z_b): lead, id, number of common shingles, and those of b that a has not."""
+    import zstandard
+
+    def run(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        unpack = zstandard.ZstdDecompressor()
+        for batch in stream:
+            for lo, hi in batches.pieces(batch, "z_b", batches.PIECE // 4):
+                part = batch.slice(lo, hi - lo)
+                (x, bx), (y, by) = [batches.distinct(*batches.shingles(*batches.string_bytes(pa.array([unpack.decompress(v.as_py()) for v in part.column(k)], pa.large_binary())), width)) for k in (2, 3)]
+                more = [np.setdiff1d(y[by[k] : by[k + 1]], x[bx[k] : bx[k + 1]], assume_unique=True) for k in range(hi - lo)]
+                sizes = np.array([len(m) for m in more])
+                lists = batches.list_array(np.concatenate(more).view(np.int64), np.concatenate([[0], np.cumsum(sizes)]), pa.int64())
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(np.diff(by) - sizes), lists], names=["lead", "id", "common", "added"])
+
+    return run
+
+
+def _rest(open_: DataFrame, texts: DataFrame, width: int, percent: int) -> tuple[DataFrame, DataFrame]:
+    """Candidate pairs (a, b) among members of open buckets (see 2), and links with leaders that came out on the way."""
+    plausible = _plausible(percent)
+    kind = open_.select("id").schema["id"].dataType.simpleString()
+    lead = checkpointed(open_.groupBy("band", "key").agg(F.min(F.struct("id", "n")).alias("l")))
+    family = checkpointed(open_.join(lead, ["band", "key"]).where("id != l.id").select(F.col("l.id").alias("lead"), F.col("l.n").alias("lead_n"), "id", "n", "comp", "s1", "s2").distinct())
+    one, two = texts.select(F.col("id").alias("lead"), F.col("z").alias("z_a")), texts.select("id", F.col("z").alias("z_b"))
+    delta = family.select("lead", "id").join(two, "id").join(one, "lead").select("lead", "id", "z_a", "z_b").mapInArrow(added(width), f"lead {kind}, id {kind}, common bigint, added array<bigint>")
+    t = percent / (100 + percent)
+    least = checkpointed(family.groupBy("lead").agg(F.min("n").alias("least_n")))
+    both = family.join(delta, ["lead", "id"]).withColumn("short", t * (F.col("n") + F.col("lead_n")) - F.col("common")).withColumn("linked", (100 + percent) * F.col("common") >= percent * (F.col("n") + F.col("lead_n")))
+    family = checkpointed(both.join(least, "lead"))
+    own = ["lead", "lead_n", "id", "n", "comp", "s1", "s2", "short", "least_n", "linked"]
+    items = family.select(*own, F.explode("added").alias("item"))
+    shared = checkpointed(items.groupBy("lead", "item").agg(F.count("*").alias("c")).where("c > 1"))
+    items = checkpointed(items.join(shared, ["lead", "item"]))
+    side = lambda table, p, more=(): table.select("lead", "lead_n", *more, *[F.col(c).alias(f"{p}{c}") for c in ("id", "n", "comp", "s1", "s2", "short")])
+    apart = (F.col("m_comp") != F.col("l_comp")) & plausible("m_", "l_")
+    pair = lambda df: df.select(F.least("m_id", "l_id").alias("a"), F.greatest("m_id", "l_id").alias("b"))
+    floor = F.greatest(F.lit(1), F.ceil(F.col("short") - 1e-6 + t * (F.greatest(F.col("least_n"), F.ceil(F.col("n") * percent / 100)) - F.col("lead_n"))))
+    rare = items.where("not linked").groupBy(*own).agg(F.array_sort(F.collect_list(F.struct("c", "item"))).alias("x")).where(F.size("x") >= floor)
+    rare = rare.withColumn("item", F.explode(F.slice("x.item", F.lit(1), (F.size("x") - floor + 1).cast("int"))))
+    meet = side(rare, "m_", ["item"]).join(side(items, "l_", ["item"]).drop("lead_n"), ["lead", "item"]).where(apart)
+    # an y that is smaller than L, where the bound allows a link without any added shingle
+    bound = lambda p, q: F.col(f"{p}short") <= t * (F.col("lead_n") - F.col(f"{q}n")) + 1e-6
+    small = side(family.where("n < lead_n"), "l_").drop("lead_n")
+    close = side(family.where(~F.col("linked") & (F.col("short") <= t * (F.col("lead_n") - F.col("least_n")) + 1e-6)), "m_").join(small, "lead").where(apart & bound("m_", "l_") & bound("l_", "m_"))
+    return pair(meet).unionByName(pair(close)).distinct(), family.where("linked").select(F.col("lead").alias("a"), F.col("id").alias("b"))
+
+
 def _confirmed(pairs: DataFrame, texts: DataFrame, width: int, percent: int) -> DataFrame:
     """Pairs (a, b) of class names that hold on full sets. Hot names, which many pairs share, are split by the joins."""
     one, two = texts.select(F.col("id").alias("b"), F.col("z").alias("z_b")), texts.select(F.col("id").alias("a"), F.col("z").alias("z_a"))
@@ -154,7 +206,7 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     classes = checkpointed(named.groupBy("h1", "h2", F.col("n_shingles").alias("n")).agg(F.min(F.struct("id", "keys", "s1", "s2")).alias("x")).select("h1", "h2", "n", "x.*"))
     banded = classes.select("id", "n", "s1", "s2", F.posexplode("keys").alias("band", "key"))
     shared = banded.groupBy("band", "key").agg(F.count("*").alias("members")).where("members > 1").select("band", "key")
-    members = checkpointed(banded.join(shared, ["band", "key"]))
+    members = checkpointed(banded.join(checkpointed(shared), ["band", "key"]))
     # the texts that any candidate can need, compressed, once for all rounds
     wanted = small_side(checkpointed(members.select("id").distinct()), WANTED_ROWS)
     texts = checkpointed(base.join(wanted, "id", "left_semi").mapInArrow(packed, f"id {kind}, z binary"))
@@ -164,7 +216,7 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
         return table.select("band", "key", *[F.col(c).alias(f"{p}{c}") for c in table.columns if c not in ("band", "key")])
 
     def stars(table: DataFrame, rank) -> DataFrame:
-        lead = table.groupBy("band", "key").agg(F.min(F.struct(rank.alias("rank"), *[c for c in table.columns if c not in ("band", "key")])).alias("x")).select("band", "key", "x.*").drop("rank")
+        lead = checkpointed(table.groupBy("band", "key").agg(F.min(F.struct(rank.alias("rank"), *[c for c in table.columns if c not in ("band", "key")])).alias("x")).select("band", "key", "x.*").drop("rank"))
         pairs = side(table, "m_").join(side(lead, "l_"), ["band", "key"]).where(F.col("m_id") != F.col("l_id"))
         if "comp" in table.columns:
             pairs = pairs.where("m_comp != l_comp")
@@ -175,16 +227,18 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     for step in ("leader", "rest"):
         placed = members.join(comps.withColumnRenamed("component", "comp"), members["id"] == comps["node"], "left").drop("node").withColumn("comp", F.coalesce("comp", "id"))
         apart = placed.groupBy("band", "key").agg((F.min("comp") != F.max("comp")).alias("apart")).where("apart").select("band", "key")
-        open_ = checkpointed(placed.join(apart, ["band", "key"]))
+        open_ = checkpointed(placed.join(checkpointed(apart), ["band", "key"]))
+        if open_.isEmpty():
+            break
         if step == "leader":
             pairs = stars(open_, F.xxhash64("id"))
         else:
-            x, y = side(open_, "m_"), side(open_, "l_")
-            pairs = x.join(y, ["band", "key"]).where((F.col("m_comp") < F.col("l_comp")) & plausible("m_", "l_")).select(F.least("m_id", "l_id").alias("a"), F.greatest("m_id", "l_id").alias("b")).distinct()
+            pairs, more = _rest(open_, texts, width, percent)
+            links = links.unionByName(more)
         pairs = checkpointed(pairs)
         if not pairs.isEmpty():
             links = links.unionByName(_confirmed(pairs, texts, width, percent))
-            comps = connected_components(links)
+        comps = connected_components(links)
     by_class = classes.select("h1", "h2", F.col("n").alias("n_shingles"), F.col("id").alias("class")).join(comps, F.col("class") == F.col("node"), "left").select("h1", "h2", "n_shingles", F.coalesce("component", "class").alias("component"))
     found = all_.drop("keys", "s1", "s2").join(by_class, ["h1", "h2", "n_shingles"], "left").withColumn("component", F.when(F.col("id").isNotNull(), F.coalesce("component", "id")))
     return found.select(F.col("id").alias("doc_id"), "n_shingles", F.col("component").alias("component_id"), F.coalesce(F.col("id") == F.col("component"), F.lit(True)).alias("kept"))
