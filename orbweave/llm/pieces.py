@@ -32,8 +32,8 @@ from orbweave.llm import batches
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 SPACE = "▁"
-CACHE = 300_000
-ROWS = 1_000
+CACHE = 400_000
+ROWS, LEARN = 500, 20_000
 _WORD = re.compile(r"\n| *[^ \n]+| +")
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 _NONE = np.iinfo(np.int64).max
@@ -66,10 +66,23 @@ class Vocabulary:
     piece_bytes: np.ndarray  # bytes of all ids, side by side
     piece_at: np.ndarray
     cache: dict[str, int] = field(default_factory=dict)
-    cached: list[np.ndarray] = field(default_factory=list)
+    flat: np.ndarray = field(default_factory=lambda: np.zeros(0, np.int32))  # ids of the kept words, side by side
+    flat_at: np.ndarray = field(default_factory=lambda: np.zeros(1, np.int64))
+
+    def __post_init__(self):
+        self.maybe = np.zeros(1 << 22, bool)  # by the upper bits of a key
+        self.maybe[self.keys >> np.uint64(42)] = True
 
     def __getstate__(self):
-        return self.__dict__ | {"cache": {}, "cached": []}
+        return {k: v for k, v in self.__dict__.items() if k not in ("cache", "flat", "flat_at", "maybe")}
+
+    def __setstate__(self, state):
+        self.__dict__.update(state)
+        self.forget()
+        self.__post_init__()
+
+    def forget(self):
+        self.cache, self.flat, self.flat_at = {}, np.zeros(0, np.int32), np.zeros(1, np.int64)
 
 
 def merge(word: str, scores: dict[str, tuple[float, int]]) -> tuple[list[str], list[tuple[str, str]]]:
@@ -146,34 +159,48 @@ def side_by_side(v: Vocabulary, one: np.ndarray, two: np.ndarray) -> np.ndarray:
     return out
 
 
-def _encode_equal(v: Vocabulary, words: list[str]) -> list[np.ndarray]:
-    """Ids of words of one length."""
+def _encode_equal(v: Vocabulary, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """Ids of words of one length side by side, and how many each has."""
     m, n = len(words), len(words[0])
     codes = np.frombuffer("".join(words).encode("utf-32-le", "surrogatepass"), np.uint32).reshape(m, n)
-    running = _hashes(codes)
+    running = np.ascontiguousarray(_hashes(codes).T)
     unknown = len(v.ids)
-    last, back = np.full((n + 1, m), -1), np.zeros((n + 1, m), np.int32)
+    last, back = np.full((n + 1, m), -1, np.int32), np.zeros((n + 1, m), np.int32)
     for j in range(1, n + 1):
         for size in range(1, min(j, v.longest) + 1):
-            found = _probe(v.keys, v.ranks, running[:, j] - running[:, j - size] * v.powers[size], unknown if size == 1 else -1)
+            key = running[j] - running[j - size] * v.powers[size]
             before = last[j - size]
-            rows = np.flatnonzero((found >= 0) & ((before >= 0) | (j == size)))
+            rows = np.flatnonzero(v.maybe[key >> np.uint64(42)] & ((before >= 0) | (j == size))) if size > 1 else np.flatnonzero((before >= 0) | (j == 1))
+            if not len(rows):
+                continue
+            found = _probe(v.keys, v.ranks, key[rows], unknown if size == 1 else -1)
+            rows, found = rows[found >= 0], found[found >= 0]
             if j > size and len(rows):
-                a, b = before[rows], found[rows]
-                good = (a == unknown) | (b == unknown)
+                a = before[rows]
+                good = (a == unknown) | (found == unknown)
                 known = np.flatnonzero(~good)
-                good[known] = side_by_side(v, a[known], b[known])
-                rows = rows[good]
-            last[j, rows] = found[rows]
+                good[known] = side_by_side(v, a[known], found[known])
+                rows, found = rows[good], found[good]
+            last[j, rows] = found
             back[j, rows] = np.maximum(back[j, rows], size)
-    out: list[list] = [[] for _ in range(m)]
-    place = np.full(m, n)
+    place, tokens, column = np.full(m, n), [], np.arange(m)
     while (place > 0).any():
-        for k in np.flatnonzero(place > 0).tolist():
-            token = int(last[place[k], k])
-            out[k].append(v.byte_ids[np.frombuffer(words[k][place[k] - 1].encode("utf-8", "surrogatepass"), np.uint8)] if token == unknown else v.ids[token : token + 1])
-        place = np.where(place > 0, place - back[place, np.arange(m)], 0)
-    return [np.concatenate(x[::-1]).astype(np.int32) for x in out]
+        tokens.append(np.where(place > 0, last[place, column], -1))
+        if (tokens[-1] == unknown).any():
+            # a character without a piece is its bytes, the last one first
+            widest = 0
+            for k in np.flatnonzero(tokens[-1] == unknown).tolist():
+                raw = words[k][place[k] - 1].encode("utf-8", "surrogatepass")[::-1]
+                for b, byte in enumerate(raw):
+                    if b > widest:
+                        tokens.append(np.full(m, -1))
+                        widest = b
+                    tokens[len(tokens) - 1 - widest + b][k] = -2 - byte
+        place = np.where(place > 0, place - back[place, column], 0)
+    grid = np.stack(tokens[::-1]).T
+    used = grid != -1
+    ranks = grid[used]
+    return np.where(ranks >= 0, v.ids[np.maximum(ranks, 0)], v.byte_ids[np.clip(-2 - ranks, 0, 255)]).astype(np.int32), used.sum(1)
 
 
 def _encode_merging(v: Vocabulary, word: str) -> np.ndarray:
@@ -181,21 +208,32 @@ def _encode_merging(v: Vocabulary, word: str) -> np.ndarray:
     return np.concatenate([[v.scores[p][1]] if p in v.scores else v.byte_ids[np.frombuffer(p.encode("utf-8", "surrogatepass"), np.uint8)] for p in parts]).astype(np.int32)
 
 
-def _learn(v: Vocabulary, words: list[str]) -> None:
-    if len(v.cached) + len(words) > CACHE:
-        v.cache.clear()
-        v.cached.clear()
+def learn(v: Vocabulary, words: set[str]) -> None:
+    """Encodes words that are not kept yet, LEARN at a time."""
+    fresh = [w for w in words if w not in v.cache]
+    if len(v.cache) + len(fresh) > CACHE:
+        v.forget()
+        fresh = list(words)
     by_length: dict[int, list[str]] = {}
-    for w in words:
+    parts, sizes, order = [v.flat], [], []
+    for w in fresh:
         if w.startswith(SPACE * 2):
-            v.cache[w] = len(v.cached)
-            v.cached.append(_encode_merging(v, w))
+            parts.append(_encode_merging(v, w))
+            sizes.append(np.array([len(parts[-1])]))
+            order.append(w)
         else:
             by_length.setdefault(len(w), []).append(w)
     for same in by_length.values():
-        for w, ids in zip(same, _encode_equal(v, same), strict=True):
-            v.cache[w] = len(v.cached)
-            v.cached.append(ids)
+        for k in range(0, len(same), LEARN):
+            ids, number = _encode_equal(v, same[k : k + LEARN])
+            parts.append(ids)
+            sizes.append(number)
+            order += same[k : k + LEARN]
+    if order:
+        first = len(v.flat_at) - 1
+        v.cache.update((w, first + k) for k, w in enumerate(order))
+        v.flat_at = np.concatenate([v.flat_at, v.flat_at[-1] + np.cumsum(np.concatenate(sizes))])
+        v.flat = np.concatenate(parts)
 
 
 def _gather(values: np.ndarray, at: np.ndarray, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -205,25 +243,31 @@ def _gather(values: np.ndarray, at: np.ndarray, wanted: np.ndarray) -> tuple[np.
     return values[np.repeat(at[wanted] - begin[:-1], sizes) + np.arange(begin[-1])], begin
 
 
+def split(text: str) -> list[str]:
+    """Words with the spaces before them, as pieces write them. U+2581 in a text is what a space becomes."""
+    return _WORD.findall(" " + text.replace(SPACE, " ")) if text else []
+
+
 def encode(v: Vocabulary, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     """Ids of all texts side by side, and n + 1 places where each text's begin."""
-    parts = [_WORD.findall(" " + t) if t else [] for t in texts]
-    # U+2581 in a text is what a space becomes
-    words = [[w.replace(" ", SPACE) for w in p] for p in parts]
-    fresh = list({w for p in words for w in p if w not in v.cache})
-    if len(v.cached) + len(fresh) > CACHE:
-        v.cache.clear()
-        v.cached.clear()
-        fresh = list({w for p in words for w in p})
-    _learn(v, fresh)
-    number = np.array([v.cache[w] for p in words for w in p], np.int64)
-    used, place = np.unique(number, return_inverse=True)
-    own = [v.cached[k] for k in used.tolist()]
-    at = np.concatenate([[0], np.cumsum([len(x) for x in own])]).astype(np.int64)
-    ids, begin = _gather(np.concatenate(own) if own else np.zeros(0, np.int32), at, place)
+    words = [[w.replace(" ", SPACE) for w in split(t)] for t in texts]
+    if any(w not in v.cache for p in words for w in p):
+        learn(v, {w for p in words for w in p})
+    ids, begin = _gather(v.flat, v.flat_at, np.array([v.cache[w] for p in words for w in p], np.int64))
     return ids, begin[np.concatenate([[0], np.cumsum([len(p) for p in words])]).astype(np.int64)]
 
 
+def learn_from(v: Vocabulary, column: pa.Array) -> None:
+    """Encodes the distinct words of a batch at once, or of as much of it as can be kept."""
+    fresh: set[str] = set()
+    for a in range(0, len(column), ROWS):
+        for t in column.slice(a, ROWS).to_pylist():
+            fresh.update(split(t or ""))
+        if len(fresh) > CACHE // 2:
+            break
+    learn(v, {w.replace(" ", SPACE) for w in fresh})
+
+
 def decode(v: Vocabulary, ids: np.ndarray, begin: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """UTF-8 bytes of all texts side by side, and where each begins; the space put before each text is gone."""
     body, at = _gather(v.piece_bytes, v.piece_at, ids.astype(np.int64))
@@ -242,6 +286,7 @@ def encode_documents(docs: DataFrame, text: str = "text", keep: tuple[str, ...]
 
     def run(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in stream:
+            learn_from(v, batch.column(batch.schema.get_field_index(text)))
             for lo, hi in ((a + k, min(a + k + ROWS, b)) for a, b in batches.pieces(batch, text) for k in range(0, b - a, ROWS)):
                 part = batch.slice(lo, hi - lo)
                 column = part.column(part.schema.get_field_index(text))
