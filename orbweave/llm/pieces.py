@@ -39,6 +39,10 @@ _BASE = np.uint64(0x9E3779B97F4A7C15)
 _NONE = np.iinfo(np.int64).max
 
 
+def _slot(pairs: np.ndarray) -> np.ndarray:
+    return (pairs.astype(np.uint64) * _BASE) >> np.uint64(42)
+
+
 def _hashes(codes: np.ndarray) -> np.ndarray:
     """Running hashes of rows of code points: out[:, k] is that of the first k."""
     out = np.zeros((codes.shape[0], codes.shape[1] + 1), np.uint64)
@@ -72,9 +76,11 @@ class Vocabulary:
     def __post_init__(self):
         self.maybe = np.zeros(1 << 22, bool)  # by the upper bits of a key
         self.maybe[self.keys >> np.uint64(42)] = True
+        self.maybe_pair = np.zeros(1 << 22, bool)
+        self.maybe_pair[_slot(self.pairs)] = True
 
     def __getstate__(self):
-        return {k: v for k, v in self.__dict__.items() if k not in ("cache", "flat", "flat_at", "maybe")}
+        return {k: v for k, v in self.__dict__.items() if k not in ("cache", "flat", "flat_at", "maybe", "maybe_pair")}
 
     def __setstate__(self, state):
         self.__dict__.update(state)
@@ -143,8 +149,11 @@ def side_by_side(v: Vocabulary, one: np.ndarray, two: np.ndarray) -> np.ndarray:
     at = np.arange(len(one))
     one, two, limit = one.copy(), two.copy(), np.full(len(one), _NONE)
     while len(at):
-        going = _probe(v.pairs, v.merged, one.astype(np.int64) << 20 | two, _NONE) >= limit
-        going |= _probe(v.pairs, v.merged, one.astype(np.int64) << 20 | two, _NONE) == _NONE
+        pair = one.astype(np.int64) << 20 | two
+        going = np.ones(len(at), bool)
+        rows = np.flatnonzero(v.maybe_pair[_slot(pair)])
+        merged = _probe(v.pairs, v.merged, pair[rows], _NONE)
+        going[rows] = (merged >= limit[rows]) | (merged == _NONE)
         at, one, two, limit = at[going], one[going], two[going], limit[going]
         # undo the later merge of the two; if that one is a character, the other's
         first = one > two
