@@ -37,8 +37,6 @@ KINDS = ("assign", "access", "hex", "random")
 
 MIN_CHARS = 16
 TOKEN = rf"[A-Za-z0-9+/_-]{{{MIN_CHARS},}}+={{0,2}}"
-#: A digit beside letters, or three changes from lower to upper case.
-MIXED = r"(?:[0-9].*[A-Za-z]|[A-Za-z].*[0-9]|(?:[a-z][A-Z].*){3})"
 ALPHABETS = {16: "0123456789abcdef", 32: "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567", 36: "0123456789abcdefghijklmnopqrstuvwxyz", 62: "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789", 64: "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/"}
 #: What structured tokens show at least: excess coincidences, part of the expected runs, correlation.
 EXCESS, RUNS, CORRELATION = 1.0, 0.6, 0.5
@@ -155,10 +153,15 @@ def _band(length: Column) -> Column:
     return out
 
 
+def _mixed(token: Column) -> Column:
+    """A digit beside letters, or three changes from lower to upper case."""
+    return (token.rlike("[0-9]") & token.rlike("[A-Za-z]")) | (F.regexp_count(token, F.lit("[a-z][A-Z]")) >= 3)
+
+
 def _candidates(text: Column) -> Column:
     """array<struct<start, end, band, cell>> of the tokens under test; cell: floor of -log10 p in CELLS_PER_DECADE steps."""
     tested = F.transform(
-        F.filter(spans(text, TOKEN), lambda s: s["value"].rlike(MIXED)),
+        F.filter(spans(text, TOKEN), lambda s: _mixed(s["value"])),
         lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), _band(F.length(s["value"])).alias("band"), randomness_p(s["value"]).alias("p")),
     )
     cell = lambda p: F.least(F.floor(-F.log10(F.greatest(p, F.lit(1e-30))) * CELLS_PER_DECADE), F.lit(MOST_CELLS)).cast("int")
