@@ -27,10 +27,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from orbweave.llm import batches
+from orbweave.llm.storage import checkpointed
 
 UNKNOWN = "und"
 #: Rows of a language that training takes, about.
 TRAIN_ROWS = 2_000
+TRAIN_TASKS = 8
 BUCKETS = 1 << 16
 #: Least score of a text that isn't flagged as ambiguous.
 CLEAR = 0.05
@@ -145,8 +147,10 @@ def train(docs: DataFrame, lang: str = "lang", text: str = "text", doc_id: str =
         return None
     share = F.element_at(F.create_map(*[F.lit(x) for k in langs for x in (k, min(1.0, rows / sizes[k]))]), F.col("lang"))
     sample = labelled.where(F.pmod(F.xxhash64("id"), F.lit(1_000_000)) < share * 1_000_000).select("lang", "text")
+    # bounded by rows * languages, so a few tasks do; the scan itself keeps all of its tasks
+    sample = checkpointed(sample.repartition(TRAIN_TASKS))
     total = np.zeros((len(langs), BUCKETS))
-    for r in sample.coalesce(8).mapInArrow(_counts(langs), "lang string, counts binary").collect():
+    for r in sample.mapInArrow(_counts(langs), "lang string, counts binary").collect():
         total[langs.index(r["lang"])] += np.frombuffer(r["counts"], np.int64)
     rate = (total + 0.5) / (total.sum(1, keepdims=True) + 0.5 * BUCKETS)
     code = codewords(len(langs))
@@ -154,7 +158,7 @@ def train(docs: DataFrame, lang: str = "lang", text: str = "text", doc_id: str =
     weights = np.stack([one(c > 0) - one(c < 0) for c in code.T]).astype(np.float32)
     model = Model(langs, code, weights, np.full(code.shape, 1 / code.shape[1]))
     if len(langs) > 1:
-        known = sample.coalesce(8).mapInArrow(_margins(model), "lang string, margins array<double>")
+        known = sample.mapInArrow(_margins(model), "lang string, margins array<double>")
         right = known.groupBy("lang").agg(F.array(*[F.avg((F.element_at("margins", b + 1) * F.element_at(F.create_map(*[F.lit(x) for k, c in zip(langs, code[:, b], strict=True) for x in (k, float(c))]), F.col("lang")) > 0).cast("double")) for b in range(code.shape[1])]).alias("right"))
         for r in right.collect():
             trust = np.maximum(np.array(r["right"]) - 0.5, 0.01)
