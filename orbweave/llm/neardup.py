@@ -4,8 +4,8 @@
    and a sketch of one bit for each of SKETCH further minima. Documents with equal sets become one class, whose
    name is its smallest id; only classes go on, so copies never meet in pairs.
 2. Classes that share a band key are candidates. A bucket is never expanded into all its pairs: each member is tried
-   against the bucket's leader only, first the smallest id, then another one by hash. Components formed from the
-   links found so far then say which members of a bucket are still apart. For these an exact filter takes the place of
+   against the bucket's leader only: the one that is in the fullest buckets over all bands, which is near the middle of a
+   group of edited copies. Components formed from the links found so far then say which members of a bucket are still apart. For these an exact filter takes the place of
    pairs. Let L lead x and y, and let x lack d shingles for a link with L. What x and y share of L's shingles is at most
    what x and L share, so a link of x and y needs d + t (|y| - |L|) shingles that both have and L has not, t being
    s / (1 + s) for a similarity of s. Members meet on such added shingles only, x with its rarest ones (prefix
@@ -149,7 +149,7 @@ def _rest(open_: DataFrame, texts: DataFrame, width: int, percent: int) -> tuple
     """Candidate pairs (a, b) among members of open buckets (see 2), and links with leaders that came out on the way."""
     plausible = _plausible(percent)
     kind = open_.select("id").schema["id"].dataType.simpleString()
-    lead = checkpointed(open_.groupBy("band", "key").agg(F.min(F.struct("id", "n")).alias("l")))
+    lead = checkpointed(open_.groupBy("band", "key").agg(F.min(F.struct((-F.col("mass")).alias("m"), "id", "n")).alias("l")))
     family = checkpointed(open_.join(lead, ["band", "key"]).where("id != l.id").select(F.col("l.id").alias("lead"), F.col("l.n").alias("lead_n"), "id", "n", "comp", "s1", "s2").distinct())
     one, two = texts.select(F.col("id").alias("lead"), F.col("z").alias("z_a")), texts.select("id", F.col("z").alias("z_b"))
     delta = family.select("lead", "id").join(two, "id").join(one, "lead").select("lead", "id", "z_a", "z_b").mapInArrow(added(width), f"lead {kind}, id {kind}, common bigint, added array<bigint>")
@@ -205,8 +205,10 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     # equal sets: one class by its smallest id
     classes = checkpointed(named.groupBy("h1", "h2", F.col("n_shingles").alias("n")).agg(F.min(F.struct("id", "keys", "s1", "s2")).alias("x")).select("h1", "h2", "n", "x.*"))
     banded = classes.select("id", "n", "s1", "s2", F.posexplode("keys").alias("band", "key"))
-    shared = banded.groupBy("band", "key").agg(F.count("*").alias("members")).where("members > 1").select("band", "key")
-    members = checkpointed(banded.join(checkpointed(shared), ["band", "key"]))
+    shared = banded.groupBy("band", "key").agg(F.count("*").alias("members")).where("members > 1")
+    met = banded.join(checkpointed(shared), ["band", "key"])
+    mass = met.groupBy("id").agg(F.sum("members").alias("mass"))
+    members = checkpointed(met.drop("members").join(checkpointed(mass), "id"))
     # the texts that any candidate can need, compressed, once for all rounds
     wanted = small_side(checkpointed(members.select("id").distinct()), WANTED_ROWS)
     texts = checkpointed(base.join(wanted, "id", "left_semi").mapInArrow(packed, f"id {kind}, z binary"))
@@ -215,30 +217,17 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     def side(table: DataFrame, p: str) -> DataFrame:
         return table.select("band", "key", *[F.col(c).alias(f"{p}{c}") for c in table.columns if c not in ("band", "key")])
 
-    def stars(table: DataFrame, rank) -> DataFrame:
-        lead = checkpointed(table.groupBy("band", "key").agg(F.min(F.struct(rank.alias("rank"), *[c for c in table.columns if c not in ("band", "key")])).alias("x")).select("band", "key", "x.*").drop("rank"))
-        pairs = side(table, "m_").join(side(lead, "l_"), ["band", "key"]).where(F.col("m_id") != F.col("l_id"))
-        if "comp" in table.columns:
-            pairs = pairs.where("m_comp != l_comp")
-        return pairs.where(plausible("m_", "l_")).select(F.least("m_id", "l_id").alias("a"), F.greatest("m_id", "l_id").alias("b")).distinct()
-
-    links = _confirmed(stars(members, F.lit(0)), texts, width, percent)
+    lead = checkpointed(members.groupBy("band", "key").agg(F.min(F.struct((-F.col("mass")).alias("m"), "id", "n", "s1", "s2")).alias("x")).select("band", "key", "x.*"))
+    stars = side(members, "m_").join(side(lead, "l_"), ["band", "key"]).where((F.col("m_id") != F.col("l_id")) & plausible("m_", "l_"))
+    links = _confirmed(stars.select(F.least("m_id", "l_id").alias("a"), F.greatest("m_id", "l_id").alias("b")).distinct(), texts, width, percent)
     comps = connected_components(links)
-    for step in ("leader", "rest"):
-        placed = members.join(comps.withColumnRenamed("component", "comp"), members["id"] == comps["node"], "left").drop("node").withColumn("comp", F.coalesce("comp", "id"))
-        apart = placed.groupBy("band", "key").agg((F.min("comp") != F.max("comp")).alias("apart")).where("apart").select("band", "key")
-        open_ = checkpointed(placed.join(checkpointed(apart), ["band", "key"]))
-        if open_.isEmpty():
-            break
-        if step == "leader":
-            pairs = stars(open_, F.xxhash64("id"))
-        else:
-            pairs, more = _rest(open_, texts, width, percent)
-            links = links.unionByName(more)
-        pairs = checkpointed(pairs)
-        if not pairs.isEmpty():
-            links = links.unionByName(_confirmed(pairs, texts, width, percent))
-        comps = connected_components(links)
+    placed = members.join(comps.withColumnRenamed("component", "comp"), members["id"] == comps["node"], "left").drop("node").withColumn("comp", F.coalesce("comp", "id"))
+    apart = placed.groupBy("band", "key").agg((F.min("comp") != F.max("comp")).alias("apart")).where("apart").select("band", "key")
+    open_ = checkpointed(placed.join(checkpointed(apart), ["band", "key"]))
+    pairs, more = _rest(open_, texts, width, percent)
+    more = checkpointed(more.unionByName(_confirmed(checkpointed(pairs), texts, width, percent)))
+    if not more.isEmpty():
+        comps = connected_components(comps.where("node != component").select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(more))
     by_class = classes.select("h1", "h2", F.col("n").alias("n_shingles"), F.col("id").alias("class")).join(comps, F.col("class") == F.col("node"), "left").select("h1", "h2", "n_shingles", F.coalesce("component", "class").alias("component"))
     found = all_.drop("keys", "s1", "s2").join(by_class, ["h1", "h2", "n_shingles"], "left").withColumn("component", F.when(F.col("id").isNotNull(), F.coalesce("component", "id")))
     return found.select(F.col("id").alias("doc_id"), "n_shingles", F.col("component").alias("component_id"), F.coalesce(F.col("id") == F.col("component"), F.lit(True)).alias("kept"))
