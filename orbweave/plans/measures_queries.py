@@ -12,9 +12,6 @@ def _object_measures(spark, sf_dir):
 
 QUERIES = {"object_measures": _object_measures}
 
-ORACLE_SQL = {
-    "object_measures": "SELECT l_partkey AS label_id, count(l_extendedprice) AS n, round_even(quantile_cont(l_extendedprice, 0.5), 4) AS median, "
-    "round_even(avg(l_extendedprice), 4) AS mean, round_even(stddev_pop(l_extendedprice), 4) AS stdev, round_even(min(l_extendedprice), 4) AS min, round_even(max(l_extendedprice), 4) AS max, "
-    + ", ".join(f"round_even(quantile_cont(l_extendedprice, {p / 100}), 4) AS percentile_{p}" for p in PERCENTILES)
-    + " FROM lineitem GROUP BY l_partkey",
-}
+_VALUES = {"median": "quantile_cont(l_extendedprice, 0.5)", "mean": "avg(l_extendedprice)", "stdev": "stddev_pop(l_extendedprice)", "min": "min(l_extendedprice)", "max": "max(l_extendedprice)"} | {f"percentile_{p}": f"quantile_cont(l_extendedprice, {p / 100})" for p in PERCENTILES}
+
+ORACLE_SQL = {"object_measures": "SELECT l_partkey AS label_id, count(l_extendedprice) AS n, " + ", ".join(f"round_even(round_even({v}, 8), 4) AS {name}" for name, v in _VALUES.items()) + " FROM lineitem GROUP BY l_partkey"}
