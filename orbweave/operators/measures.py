@@ -19,8 +19,8 @@ def intensity_aggregates(value: str, digits: int | None = None) -> list[Column]:
         "min": F.min(v),
         "max": F.max(v),
     } | {f"percentile_{p}": F.percentile(v, F.lit(p / 100)) for p in PERCENTILES}
-    # four digits more first: a mean can be a tie but for the order of its sum
-    return [(c if digits is None else F.bround(F.bround(c, digits + 4), digits)).alias(name) for name, c in out.items()]
+    # ties go up, and a bit below them already: a mean can be a tie but for the order of its sum
+    return [(c if digits is None else F.bround(c + 10.0 ** -(digits + 3), digits)).alias(name) for name, c in out.items()]
 
 
 def object_measures(voxels: DataFrame, label: str = "label", value: str = "value", background: int | None = 0, digits: int | None = None) -> DataFrame:
