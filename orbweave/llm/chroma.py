@@ -38,9 +38,9 @@ BIT_ERROR, LEAST_SHARED = 0.2, 3
 NOTES, SEGMENTS = 48, 16
 
 
-def samples(data: bytes) -> np.ndarray:
+def samples(data: bytes | None) -> np.ndarray:
     """Mono samples at RATE, -1 to 1."""
-    rate = RATE
+    rate, data = RATE, data or b""
     if data[:4] == b"RIFF":
         with wave.open(io.BytesIO(data)) as f:
             rate, channels, width = f.getframerate(), f.getnchannels(), f.getsampwidth()
@@ -104,15 +104,19 @@ def fingerprint(image: np.ndarray) -> np.ndarray:
     return out
 
 
-def fingerprints(media: DataFrame, audio: str = "audio", keep: tuple[str, ...] = ("id",)) -> DataFrame:
-    """keep columns and fingerprint, array<int> (32 bits each)."""
+def fingerprints(media: DataFrame, audio: str = "audio", keep: tuple[str, ...] = ("id",), decode=samples) -> DataFrame:
+    """keep columns and fingerprint, array<int> (32 bits each).
+
+    decode turns a value of the column into samples, one at a time: sound that is made from a value never is a column.
+    """
     fields = media.select(*keep).schema
 
     def run(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in stream:
             for a in range(0, batch.num_rows, 500):
                 part = batch.slice(a, 500)
-                found = [fingerprint(chroma(samples(x or b""))).view(np.int32) for x in part.column(part.num_columns - 1).to_pylist()]
+                values = part.column(part.num_columns - 1)
+                found = [fingerprint(chroma(decode(values[k].as_py()))).view(np.int32) for k in range(len(values))]
                 begin = np.concatenate([[0], np.cumsum([len(x) for x in found])])
                 yield pa.RecordBatch.from_arrays([*[part.column(k) for k in range(len(keep))], batches.list_array(np.concatenate(found) if found else np.zeros(0, np.int32), begin, pa.int32())], names=[*keep, "fingerprint"])
 
@@ -160,30 +164,20 @@ def align(prints: DataFrame, queries, error: float = BIT_ERROR, shared: int = LE
 _BANK = np.sin(2 * np.pi * (110.0 * 2 ** (np.arange(NOTES) / 12))[:, None] * np.arange(1_380) / RATE).astype(np.float32)
 
 
-def sonified(table: DataFrame, doc_id: str, vector: str) -> DataFrame:
-    """id and audio (raw samples): each vector as SEGMENTS chords, their notes and loudness from its values, in order."""
-
-    def run(stream):
-        for batch in stream:
-            audio = []
-            for v in batch.column(1).to_pylist():
-                if not v:
-                    audio.append(None)
-                    continue
-                x = np.nan_to_num(np.resize(np.array([np.nan if y is None else y for y in v], np.float64), SEGMENTS * 4)).reshape(SEGMENTS, 4)
-                note = (np.floor(np.clip(x * 2, -0.999, 0.999) * NOTES / 2) + NOTES // 2).astype(int) % NOTES
-                gain = (0.5 + np.abs(x)).astype(np.float32)
-                sound = (gain[:, :, None] * _BANK[note]).sum(1).reshape(-1)
-                audio.append((sound / max(1e-6, np.abs(sound).max()) * 32000).astype(np.int16).tobytes())
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(audio, pa.binary())], names=["id", "audio"])
-
-    return table.select(F.col(doc_id).cast("bigint").alias("id"), F.col(vector).alias("v")).mapInArrow(run, "id bigint, audio binary")
+def sonified(values: list | None) -> np.ndarray:
+    """Samples of a vector: SEGMENTS chords, their notes and loudness from its values, in order. A null is no sound."""
+    if not values:
+        return np.zeros(0, np.float32)
+    x = np.nan_to_num(np.resize(np.array([np.nan if y is None else y for y in values], np.float64), SEGMENTS * 4)).reshape(SEGMENTS, 4)
+    note = (np.floor(np.clip(x * 2, -0.999, 0.999) * NOTES / 2) + NOTES // 2).astype(int) % NOTES
+    sound = ((0.5 + np.abs(x)).astype(np.float32)[:, :, None] * _BANK[note]).sum(1).reshape(-1)
+    return (sound / max(1e-6, np.abs(sound).max())).astype(np.float32)
 
 
 def op9_chroma_fingerprints(spark, sf_dir: str) -> DataFrame:
     """Each embedding made audible, fingerprinted and, where its id is divisible by 20, aligned with all others."""
-    media = sonified(spark.read.parquet(f"{sf_dir}/embeddings.parquet"), "vec_id", "embedding")
-    found = align(fingerprints(media), lambda i: i % 20 == 0)
+    media = spark.read.parquet(f"{sf_dir}/embeddings.parquet").select(F.col("vec_id").cast("bigint").alias("id"), "embedding")
+    found = align(fingerprints(media, "embedding", decode=sonified), lambda i: i % 20 == 0)
     return found.withColumnsRenamed({"id": "vec_id", "class": "class_id", "best": "best_class"})
 
 
