@@ -53,11 +53,11 @@ SCORES = """scores AS (SELECT o_orderpriority AS annotator, 'crop' || (o_orderke
   count(*) FILTER (o_orderstatus = 'O') AS fps, count(*) FILTER (o_orderstatus = 'P') AS fns FROM orders GROUP BY 1, 2)"""
 
 
-def path(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Nodes (dataset, node_idx, x, y, z) of a path for each of five users' events, in order of time."""
+def every_path(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Nodes (dataset, node_idx, x, y, z) of a path for each user's events, in order of time."""
     from pyspark.sql import Window
 
-    e = table(spark, sf_dir, "events").where("user_id < 5")
+    e = table(spark, sf_dir, "events")
     order = Window.partitionBy("user_id").orderBy("ts", "event_id")
     return e.select(
         F.col("user_id").alias("dataset"), (F.row_number().over(order) - 1).cast("long").alias("node_idx"),
@@ -65,6 +65,11 @@ def path(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def path(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The paths of five users, which PATH has too."""
+    return every_path(spark, sf_dir).where("dataset < 5")
+
+
 PATH = """path AS (SELECT user_id AS dataset, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1 AS node_idx,
   (event_id % 97)::DOUBLE AS x, value AS y, (event_id % 13)::DOUBLE AS z FROM events WHERE user_id < 5)"""
 

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from orbweave.operators import binning as B
 from orbweave.operators import ordered as O
-from orbweave.plans.adapters import CELLS, PATH, cells, path, table, with_
+from orbweave.plans.adapters import CELLS, PATH, cells, every_path, path, table, with_
 
 Q, SQL = {}, {}
 
@@ -20,6 +20,17 @@ def query(name: str, sql: str):
     return keep
 
 
+def path_query(name: str, sql: str):
+    """The query on the paths that its SQL has, and as name_all on every path, without SQL."""
+
+    def keep(f):
+        query(name, sql)(lambda s, d: f(path(s, d)))
+        Q[f"{name}_all"] = lambda s, d: f(every_path(s, d))
+        return f
+
+    return keep
+
+
 def _band(animal: str) -> str:
     edges = B.OCTAVES[animal]
     return "CASE " + " ".join(f"WHEN frequency >= {e} THEN {k}" for k, e in reversed(list(enumerate(edges)))) + " END"
@@ -91,59 +102,59 @@ def _arc(step: str) -> str:
 FROM (SELECT *, sum({step}) OVER (PARTITION BY dataset ORDER BY node_idx) AS length FROM steps))"""
 
 
-@query("arc_length", with_(PATH, _STEPS, _arc("step")) + "SELECT dataset, node_idx, round_even(length, 6) AS length, round_even(length_fraction, 9) AS length_fraction FROM arc")
-def _(s, d):
-    return O.arc_length(path(s, d)).select("dataset", "node_idx", F.bround("length", 6).alias("length"), F.bround("length_fraction", 9).alias("length_fraction"))
+@path_query("arc_length", with_(PATH, _STEPS, _arc("step")) + "SELECT dataset, node_idx, round_even(length, 6) AS length, round_even(length_fraction, 9) AS length_fraction FROM arc")
+def _(nodes):
+    return O.arc_length(nodes).select("dataset", "node_idx", F.bround("length", 6).alias("length"), F.bround("length_fraction", 9).alias("length_fraction"))
 
 
-@query("run_length_without_gaps", with_(PATH, _STEPS, _arc("CASE WHEN step <= 60 THEN step ELSE 0 END")) + "SELECT dataset, node_idx, round_even(length, 6) AS length, round_even(length_fraction, 9) AS length_fraction FROM arc")
-def _(s, d):
-    return O.arc_length(path(s, d), 60.0).select("dataset", "node_idx", F.bround("length", 6).alias("length"), F.bround("length_fraction", 9).alias("length_fraction"))
+@path_query("run_length_without_gaps", with_(PATH, _STEPS, _arc("CASE WHEN step <= 60 THEN step ELSE 0 END")) + "SELECT dataset, node_idx, round_even(length, 6) AS length, round_even(length_fraction, 9) AS length_fraction FROM arc")
+def _(nodes):
+    return O.arc_length(nodes, 60.0).select("dataset", "node_idx", F.bround("length", 6).alias("length"), F.bround("length_fraction", 9).alias("length_fraction"))
 
 
-@query("path_length", with_(PATH, _STEPS) + "SELECT dataset, round_even(sum(step), 6) AS length FROM steps GROUP BY 1")
-def _(s, d):
-    return O.path_length(path(s, d)).select("dataset", F.bround("length", 6).alias("length"))
+@path_query("path_length", with_(PATH, _STEPS) + "SELECT dataset, round_even(sum(step), 6) AS length FROM steps GROUP BY 1")
+def _(nodes):
+    return O.path_length(nodes).select("dataset", F.bround("length", 6).alias("length"))
 
 
-@query(
+@path_query(
     "moving_average",
     with_(PATH, "n AS (SELECT dataset, max(node_idx) AS m FROM path GROUP BY 1)")
     + "SELECT a.dataset, a.node_idx, " + ", ".join(f"round_even(avg(b.{c}), 6) AS {c}" for c in "xyz")
     + " FROM path a JOIN n USING (dataset), range(-2, 3) t(k), path b WHERE b.dataset = a.dataset AND b.node_idx = greatest(0, least(n.m, a.node_idx + k)) GROUP BY 1, 2",
 )
-def _(s, d):
-    return O.moving_average(path(s, d), 2).select("dataset", "node_idx", *[F.bround(c, 6).alias(c) for c in "xyz"])
+def _(nodes):
+    return O.moving_average(nodes, 2).select("dataset", "node_idx", *[F.bround(c, 6).alias(c) for c in "xyz"])
 
 
 _GAP = "sqrt(" + " + ".join(f"(n{c} - {c}) * (n{c} - {c})" for c in "xyz") + ")"
 
 
-@query(
+@path_query(
     "extend_path",
     with_(PATH, f"nx AS (SELECT *, {', '.join(f'lead({c}) OVER w AS n{c}' for c in 'xyz')} FROM path {_WIN})", f"pt AS (SELECT *, coalesce(greatest(1, ceil({_GAP} / 25.0)::INT), 1) AS parts FROM nx)")
     + "SELECT dataset, node_idx, part::INT AS part, " + ", ".join(f"CASE WHEN part = 0 THEN {c} ELSE {c} + (n{c} - {c}) * part / parts END AS {c}" for c in "xyz") + " FROM (SELECT *, unnest(range(0, parts)) AS part FROM pt)",
 )
-def _(s, d):
-    return O.extend_path(path(s, d), 25.0).select("dataset", "node_idx", "part", "x", "y", "z")
+def _(nodes):
+    return O.extend_path(nodes, 25.0).select("dataset", "node_idx", "part", "x", "y", "z")
 
 
 _T = "(VALUES " + ", ".join(f"({t!r}::DOUBLE)" for t in O.targets(5)) + ") t(target)"
 
 
-@query(
+@path_query(
     "equidistant_centers",
     with_(PATH, _STEPS, _arc("step"), f"nx AS (SELECT *, lead(length_fraction) OVER w AS nf, {', '.join(f'lead({c}) OVER w AS n{c}' for c in 'xyz')} FROM arc {_WIN})")
     + "SELECT dataset, target, " + ", ".join(f"round_even({c} + (n{c} - {c}) * ((target - length_fraction) / (nf - length_fraction)), 6) AS {c}" for c in "xyz")
     + f" FROM nx, {_T} WHERE target >= length_fraction AND target < nf",
 )
-def _(s, d):
-    return O.centers(path(s, d), O.targets(5)).select("dataset", "target", *[F.bround(c, 6).alias(c) for c in "xyz"])
+def _(nodes):
+    return O.centers(nodes, O.targets(5)).select("dataset", "target", *[F.bround(c, 6).alias(c) for c in "xyz"])
 
 
-@query("nearest_fraction", with_(PATH, _STEPS, _arc("step")) + f"SELECT dataset, target, node_idx AS node FROM (SELECT *, row_number() OVER (PARTITION BY dataset, target ORDER BY abs(length_fraction - target), node_idx) AS k FROM arc, {_T}) WHERE k = 1")
-def _(s, d):
-    return O.nearest_fraction(path(s, d), O.targets(5))
+@path_query("nearest_fraction", with_(PATH, _STEPS, _arc("step")) + f"SELECT dataset, target, node_idx AS node FROM (SELECT *, row_number() OVER (PARTITION BY dataset, target ORDER BY abs(length_fraction - target), node_idx) AS k FROM arc, {_T}) WHERE k = 1")
+def _(nodes):
+    return O.nearest_fraction(nodes, O.targets(5))
 
 
 _CROPS = "crops AS (SELECT dataset, round_even(avg(length_fraction), 6) AS fraction, round_even(avg(value), 6) AS threshold FROM cells GROUP BY 1)"
@@ -160,18 +171,18 @@ _HERE = "sqrt(" + " + ".join(f"({c} - {v}::DOUBLE) * ({c} - {v}::DOUBLE)" for c,
 _THERE = "sqrt(" + " + ".join(f"(n{c} - {v}::DOUBLE) * (n{c} - {v}::DOUBLE)" for c, v in _POINT.items()) + ")"
 
 
-@query(
+@path_query(
     "insertion_place",
     with_(PATH, f"nx AS (SELECT *, {', '.join(f'lead({c}) OVER w AS n{c}' for c in 'xyz')} FROM path {_WIN})", f"c AS (SELECT dataset, node_idx AS after, coalesce({_HERE} + {_THERE} - {_GAP}, {_HERE}) AS cost FROM nx UNION ALL SELECT dataset, -1, {_HERE} FROM path WHERE node_idx = 0)")
     + "SELECT dataset, after, round_even(cost, 6) AS cost FROM (SELECT *, row_number() OVER (PARTITION BY dataset ORDER BY cost, after) AS k FROM c) WHERE k = 1",
 )
-def _(s, d):
-    return O.insertion_place(path(s, d), (40.0, 10.0, 5.0)).select("dataset", "after", F.bround("cost", 6).alias("cost"))
+def _(nodes):
+    return O.insertion_place(nodes, (40.0, 10.0, 5.0)).select("dataset", "after", F.bround("cost", 6).alias("cost"))
 
 
-@query("central_path_table", with_(PATH) + "SELECT dataset, node_idx, round_even(x, 0)::INT AS x, round_even(y, 0)::INT AS y, round_even(z, 0)::INT AS z FROM path")
-def _(s, d):
-    return O.central_path_table(path(s, d)).select("dataset", "node_idx", "x", "y", "z")
+@path_query("central_path_table", with_(PATH) + "SELECT dataset, node_idx, round_even(x, 0)::INT AS x, round_even(y, 0)::INT AS y, round_even(z, 0)::INT AS z FROM path")
+def _(nodes):
+    return O.central_path_table(nodes).select("dataset", "node_idx", "x", "y", "z")
 
 
 QUERIES, ORACLE_SQL = Q, SQL
