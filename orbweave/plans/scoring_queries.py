@@ -190,8 +190,17 @@ _OFF = "greatest(" + ", ".join(f"abs(o.anchor_{c} - cr.center_{c})" for c in "xy
 
 @query("crop_fractions", with_(OBJECTS, _CROPC) + f"SELECT crop, round_even(coalesce(avg(length_fraction) FILTER ({_OFF} < 2), avg(length_fraction) FILTER ({_OFF} < 4), avg(length_fraction) FILTER ({_OFF} < 8)), 6) AS fraction, 2.0::DOUBLE AS halo FROM cr, objects o WHERE {_OFF} < 8 GROUP BY 1")
 def _(s, d):
-    o = objects(s, d)
-    crops = o.where("label_id % 25 = 0").select(F.col("label_id").alias("crop"), *[F.col(f"anchor_{c}").alias(f"center_{c}") for c in "xyz"])
+    return _fractions(objects(s, d), F.col("label_id") % 25 == 0)
+
+
+@query("crop_fractions_all", None)
+def _(s, d):
+    """A crop around each object; test_whole_tables has its comparison."""
+    return _fractions(objects(s, d), F.lit(True))
+
+
+def _fractions(o, is_crop):
+    crops = o.where(is_crop).select(F.col("label_id").alias("crop"), *[F.col(f"anchor_{c}").alias(f"center_{c}") for c in "xyz"])
     return A.crop_fraction(o, crops, (2.0, 4.0, 8.0)).select("crop", F.bround("fraction", 6).alias("fraction"), "halo")
 
 

@@ -11,10 +11,11 @@ from orbweave.plans.adapters import CELLS, OBJECTS, SCORES, cells, objects, scor
 Q, SQL = {}, {}
 
 
-def query(name: str, sql: str):
+def query(name: str, sql: str | None):
     def keep(f):
         Q[name] = f
-        SQL[name] = sql
+        if sql is not None:
+            SQL[name] = sql
         return f
 
     return keep
@@ -131,6 +132,12 @@ def _(s, d):
     return T.overlapping_boxes(objects(s, d).where("component_labels < 5"), 10.0)
 
 
+@query("overlapping_crops_all", None)
+def _(s, d):
+    """Of all objects; test_whole_tables has its comparison."""
+    return T.overlapping_boxes(objects(s, d), 10.0)
+
+
 @query("greenwood_frequency", with_(OBJECTS) + "SELECT label_id, round_even(1.46::DOUBLE * (pow(10.0::DOUBLE, 1.77::DOUBLE * length_fraction) - 0.0::DOUBLE), 6) AS mouse, round_even(0.35::DOUBLE * (pow(10.0::DOUBLE, 2.1::DOUBLE * length_fraction) - 0.7::DOUBLE), 6) AS gerbil FROM objects")
 def _(s, d):
     f = F.col("length_fraction")

@@ -27,3 +27,8 @@ PATHS = "arc_length run_length_without_gaps path_length moving_average extend_pa
 @pytest.mark.parametrize("name", PATHS)
 def test_every_user_is_a_path(spark, sf_dir, name):
     same(spark, sf_dir, ["events"], name, " WHERE user_id < 5")
+
+
+@pytest.mark.parametrize("name, cut", [("overlapping_crops", " WHERE component_labels < 5"), ("crop_fractions", " WHERE label_id % 25 = 0")])
+def test_every_object_has_a_crop(spark, sf_dir, name, cut):
+    same(spark, sf_dir, ["embeddings"], name, cut)
