@@ -1,9 +1,11 @@
 """Line dedup by pairwise alignment.
 
 1. Each document becomes the list of its lines' hashes (outer spaces off) and word counts.
-2. Documents overlap if they share a line of SEED_WORDS words or more. A rare line, with at most RARE holders, pairs each
-   holder with the first and with the one before; a line with more holders pairs each with the first only. So
-   the pairs grow with the lines, not with the square of a group, and no holder is left out.
+2. Documents overlap if they share a window: a shortest run of lines of BLOCK_WORDS words or more, from each line on
+   and back from each line. Every line of a common block is in a common window, so no pair that matters is missed.
+   Each holder of a window is paired with the first one; as long as a line of the window stays, also with the next
+   one, the next two, the next four and so on, up to itself. The rounds grow with the logarithm of the largest group,
+   and the result is that of all pairs.
 3. Each pair is aligned by patience diff: lines that occur once on both sides, in longest increasing order, and what
    adjoins them, over and over between them.
 4. Common blocks of BLOCK_WORDS words or more go from the later document (the larger id). The first holder of a line
@@ -20,14 +22,16 @@ from __future__ import annotations
 
 from bisect import bisect_left
 from collections.abc import Iterator
+from itertools import accumulate
 
+import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from orbweave.llm.storage import checkpointed
 
-SEED_WORDS, BLOCK_WORDS, RARE = 5, 20, 32
+BLOCK_WORDS = 20
 WORD = r"[^\x20\x09-\x0D]+"
 
 
@@ -89,6 +93,56 @@ def common_blocks(aligned: list[tuple[int, int]], words: list[int], least: int)
     return out
 
 
+_BASE = 0x9E3779B97F4A7C15
+
+
+def windows(lines: np.ndarray, words: np.ndarray, begin: np.ndarray, live: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray]:
+    """(document, hash) of the windows with a live line, each once; begin has where each document starts, and the end.
+
+    A window is hashed as a polynomial in _BASE, which is odd and so has an inverse, by differences of running sums.
+    """
+    n = len(lines)
+    power = lambda base: np.cumprod(np.concatenate([np.ones(1, np.uint64), np.full(n, base, np.uint64)]), dtype=np.uint64)
+    total = lambda x, kind: np.concatenate([np.zeros(1, kind), np.cumsum(x, dtype=kind)])
+    sums, count, alive = total(lines.astype(np.uint64) * power(_BASE)[:n], np.uint64), total(words, np.int64), total(live, np.int64)
+    doc = np.repeat(np.arange(len(begin) - 1), np.diff(begin))
+    at = np.arange(n)
+    low = np.concatenate([at, np.searchsorted(count, count[1:] - least, "right") - 1])
+    high = np.concatenate([np.searchsorted(count, count[:-1] + least, "left"), at + 1])
+    of = np.concatenate([doc, doc])
+    ok = (low >= begin[of]) & (high <= begin[of + 1])
+    low, high, of = low[ok], high[ok], of[ok]
+    ok = alive[high] > alive[low]
+    low, high, of = low[ok], high[ok], of[ok]
+    value = (sums[high] - sums[low]) * power(pow(_BASE, -1, 1 << 64))[low]
+    order = np.lexsort((value, of))
+    of, value = of[order], value[order]
+    new = np.ones(len(of), bool)
+    new[1:] = (of[1:] != of[:-1]) | (value[1:] != value[:-1])
+    return of[new], value[new].view(np.int64)
+
+
+def _windows(least: int):
+    """mapInArrow function on (id, h, lines, words, gone): id, h, line (the hash of a window)."""
+
+    def run(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in stream:
+            for a in range(0, batch.num_rows, 512):
+                part = batch.slice(a, 512)
+                lines, words = part.column(2), part.column(3)
+                begin = lines.offsets.to_numpy().astype(np.int64)
+                begin -= begin[0]
+                live = np.ones(begin[-1], bool)
+                for k, gone in enumerate(part.column(4).to_pylist()):
+                    if gone:
+                        live[begin[k] + np.array(gone)] = False
+                doc, value = windows(lines.flatten().to_numpy(zero_copy_only=False), words.flatten().to_numpy(zero_copy_only=False), begin, live, least)
+                doc = pa.array(doc, pa.int64())
+                yield pa.RecordBatch.from_arrays([part.column(0).take(doc), part.column(1).take(doc), pa.array(value, pa.int64())], names=["id", "h", "line"])
+
+    return run
+
+
 def _align(least: int):
     """mapInArrow function on (id, h, first_lines, lines, words): id, h, gone (places of lines to delete)."""
 
@@ -103,7 +157,19 @@ def _align(least: int):
     return run
 
 
-def line_dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", seed_words: int = SEED_WORDS, block_words: int = BLOCK_WORDS, rare: int = RARE) -> DataFrame:
+def _ranked(holders: DataFrame) -> DataFrame:
+    """holders (line, id, h) with rank, from 0, by (id, h) in each line. A range deal orders them, so no line is gathered."""
+    dealt = checkpointed(holders.repartitionByRange("line", "id", "h").sortWithinPartitions("line", "id", "h").withColumn("at", F.monotonically_increasing_id()))
+    part = F.shiftright("at", 33)
+    sizes = sorted(dealt.groupBy(part.alias("part")).count().collect())
+    before = dict(zip([p for p, _ in sizes], accumulate([n for _, n in sizes], initial=0)))
+    start = F.element_at(F.create_map(*[F.lit(x) for pair in before.items() for x in pair]), part) if before else F.lit(0)
+    placed = dealt.withColumn("at", start + F.col("at") - F.shiftleft(part, 33))
+    first = placed.groupBy("line").agg(F.min("at").alias("first"))
+    return checkpointed(placed.join(first, "line").select("line", "id", "h", (F.col("at") - F.col("first")).alias("rank")))
+
+
+def line_dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", block_words: int = BLOCK_WORDS) -> DataFrame:
     """docs with the text cut, and n_lines, n_removed."""
     kind = docs.select(F.col(doc_id).alias("id")).schema["id"].dataType.simpleString()
     lines = F.split(F.col(text), "\n")
@@ -113,17 +179,37 @@ def line_dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", seed
         .select(F.col(doc_id).alias("id"), row.alias("h"), F.transform(lines, lambda x: F.xxhash64(F.trim(x))).alias("lines"), F.transform(lines, lambda x: F.regexp_count(x, F.lit(WORD))).alias("words"))
         .dropDuplicates(["id", "h"])
     )
-    seeds = records.select("id", "h", F.explode(F.array_distinct(F.filter("lines", lambda x, k: F.get("words", k) >= seed_words))).alias("line"))
-    holders = checkpointed(seeds.groupBy("line").agg(F.count("*").alias("n"), F.min(F.struct("id", "h")).alias("first")).where("n > 1"))
-    held = seeds.join(holders, "line").withColumn("key", F.struct("id", "h"))
-    order = Window.partitionBy("line").orderBy("key")
-    # the window sees groups of at most `rare` rows
-    before = held.where(F.col("n") <= rare).select("key", F.lag("key").over(order).alias("first")).where("first is not null")
-    pairs = held.select("key", "first").unionByName(before).where("key != first").distinct()
-    flat = pairs.select("key.id", "key.h", F.col("first.id").alias("id0"), F.col("first.h").alias("h0"))
     early = records.select(F.col("id").alias("id0"), F.col("h").alias("h0"), F.col("lines").alias("first_lines"))
-    both = flat.join(records, ["id", "h"]).join(early, ["id0", "h0"]).select("id", "h", "first_lines", "lines", "words")
-    gone = both.mapInArrow(_align(block_words), f"id {kind}, h bigint, gone array<int>").groupBy(F.col("id").alias("_id"), F.col("h").alias("_h")).agg(F.array_distinct(F.flatten(F.collect_list("gone"))).alias("_gone"))
+
+    def spread(rows: DataFrame) -> DataFrame:
+        return rows.select("id", "h", "lines", "words", "gone").mapInArrow(_windows(block_words), f"id {kind}, h bigint, line bigint")
+
+    def aligned(pairs: DataFrame) -> DataFrame:
+        both = pairs.distinct().join(records, ["id", "h"]).join(early, ["id0", "h0"]).select("id", "h", "first_lines", "lines", "words")
+        return both.mapInArrow(_align(block_words), f"id {kind}, h bigint, gone array<int>")
+
+    def merged(parts: DataFrame) -> DataFrame:
+        return checkpointed(parts.groupBy("id", "h").agg(F.array_distinct(F.flatten(F.collect_list("gone"))).alias("gone")))
+
+    key = F.struct("id", "h")
+    seeds = spread(records.withColumn("gone", F.lit(None).cast("array<int>")))
+    holders = checkpointed(seeds.groupBy("line").agg(F.count("*").alias("n"), F.min(key).alias("first")).where("n > 1"))
+    gone = merged(aligned(seeds.join(holders, "line").where(key != F.col("first")).select("id", "h", F.col("first.id").alias("id0"), F.col("first.h").alias("h0"))))
+    # windows with a line that stays, of documents behind the second holder
+    left = checkpointed(spread(records.join(gone, ["id", "h"], "left")).join(holders.where("n > 2"), "line").where(key > F.col("first")).select("line", "id", "h"))
+    if not left.isEmpty():
+        ranked = _ranked(seeds.join(left.select("line").distinct(), "line", "left_semi"))
+        partners = ranked.select("line", F.col("rank").alias("at"), F.col("id").alias("id0"), F.col("h").alias("h0"))
+        low = 1
+        while True:
+            todo = checkpointed(left.join(ranked, ["line", "id", "h"]).where(F.col("rank") > low))
+            if todo.isEmpty():
+                break
+            tried = todo.withColumn("at", F.explode(F.sequence(F.lit(low).cast("bigint"), F.least(F.lit(2 * low), F.col("rank")) - 1)))
+            gone = merged(gone.unionByName(aligned(tried.join(partners, ["line", "at"]).select("id", "h", "id0", "h0"))))
+            left = spread(records.join(todo.select("id", "h").distinct(), ["id", "h"], "left_semi").join(gone, ["id", "h"], "left"))
+            low *= 2
+    gone = gone.select(F.col("id").alias("_id"), F.col("h").alias("_h"), F.col("gone").alias("_gone"))
     found = docs.join(gone, (F.col(doc_id) == F.col("_id")) & (row == F.col("_h")), "left")
     kept = F.array_join(F.filter(lines, lambda x, k: ~F.array_contains("_gone", k)), "\n")
     cut = F.when(F.col("_gone").isNull(), F.col(text)).otherwise(kept)

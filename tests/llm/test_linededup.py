@@ -60,3 +60,52 @@ def test_edge_cases(spark):
     assert [r.n_removed for r in got if r.doc_id == 4] == [1]
     assert {r.doc_id: r.n_lines for r in got if r.doc_id in (1, 2, 5)} == {1: 0, 2: 1, 5: 5001}
     assert line_dedup(docs.limit(0)).count() == 0
+
+
+def all_pairs(rows):
+    """The texts that are left when each document is aligned with every earlier one."""
+    split = [(k, t.split("\n")) for k, t in sorted(rows)]
+    out = {}
+    for n, (k, b) in enumerate(split):
+        gone = {j for _, a in split[:n] for j in common_blocks(patience(a, b), [len(x.split()) for x in b], 20)}
+        out[k] = "\n".join(x for j, x in enumerate(b) if j not in gone)
+    return out
+
+
+def left(spark, rows):
+    return {r.doc_id: r.text for r in line_dedup(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+
+
+def test_a_first_holder_that_aligns_nothing_is_not_the_last_partner(spark):
+    rng = random.Random(5)
+    own = lambda n=3: sentence(rng, n)
+    twice, one, two = sentence(rng, 50), sentence(rng, 50), sentence(rng, 50)
+    rows = [(0, "\n".join([twice, own(), twice]))] + [(1 + k, "\n".join([own(), twice, own()])) for k in range(40)]
+    rows += [(100, "\n".join([one, own(), two]))] + [(101 + k, "\n".join([own(), two, own(), one, own()])) for k in range(40)]
+    # each line of the block has an earlier first holder that has only this line
+    block = [sentence(rng, 9) for _ in range(6)]
+    rows += [(200 + k, "\n".join([own(), x, own()])) for k, x in enumerate(block)]
+    rows += [(210 + k, "\n".join([own(), *block, own()])) for k in range(40)]
+    got = left(spark, rows)
+    assert got == all_pairs(rows)
+    assert [k for k, t in got.items() if twice in t] == [0, 1]
+
+
+def test_random_documents_equal_all_pairs(spark):
+    rng = random.Random(6)
+    pool = [sentence(rng, rng.choice([1, 2, 3, 4, 9, 25])) for _ in range(30)] + ["", ""]
+    rows = []
+    for k in range(150):
+        at = rng.randrange(25)
+        mix = [rng.choice(pool) for _ in range(rng.randrange(6))]
+        rows.append((k, "\n".join(mix + pool[at : at + rng.randrange(3, 9)] + [sentence(rng, 2)] + pool[at - 7 : at][: rng.randrange(1, 7)])))
+    got, want = left(spark, rows), all_pairs(rows)
+    assert {k: t for k, t in got.items() if t != want[k]} == {}
+
+
+def test_passages_of_short_lines_are_found(spark):
+    rng = random.Random(7)
+    verse = "\n".join(sentence(rng, rng.randrange(1, 5)) for _ in range(30))
+    rows = [(k, f"{sentence(rng, 3)}\n{verse}\n{sentence(rng, 3)}") for k in range(3)]
+    got = left(spark, rows)
+    assert got == all_pairs(rows) and [k for k, t in got.items() if verse in t] == [0]
