@@ -2,11 +2,13 @@
 
 A recording (a WAV file, or raw 16-bit mono samples) becomes frames of twelve pitch classes; sixteen filters, differences
 of sums over boxes of the chroma image taken from its integral image, each give two bits of a 32-bit number for each
-place in time. Recordings are aligned by the offsets at which they share numbers: the most frequent offset wins, and the
-bit error there says how alike they are.
+place in time. Recordings are aligned by the offsets at which they share numbers or parts of them: two numbers have a
+vote for each two of their four bytes that agree, the offset with the most votes wins, and the bit error there says
+how alike they are.
 
-Recordings with equal fingerprints are one class; only classes are aligned. Shared numbers meet in a join on the
-number, and are counted by (query, recording, offset) before anything else; no group is gathered.
+Recordings with equal fingerprints are one class; only classes are aligned. The queries are taken in blocks of at most
+BLOCK; a block is an index by bytes that all tasks have, and every class votes against it where it is. So votes are not
+shuffled; chance votes grow with queries times classes.
 
 Defined results: a null, an empty and a too short recording have an empty fingerprint and match nothing; bytes that
 are no WAV file are raw samples; a null id is not a query; repeated rows are one class; extra columns are ignored;
@@ -33,9 +35,11 @@ WIDTH = 8
 #: (kind, first pitch class, classes, frames): kinds split a box in time, in pitch, in both, or in three.
 FILTERS = [(k % 4, (5 * k) % 12, 2 + k % 5, 2 + (3 * k) % (WIDTH - 1)) for k in range(16)]
 CUT = 0.25
-#: At most this part of the bits may differ, and so many numbers must be shared, for a match.
+#: At most this part of the bits may differ, and so many numbers must be shared (in two bytes at least), for a match.
 BIT_ERROR, LEAST_SHARED = 0.2, 3
 NOTES, SEGMENTS = 48, 16
+#: Queries of an index, and votes that are counted at a time.
+BLOCK, VOTES = 16_384, 2_000_000
 
 
 def samples(data: bytes | None) -> np.ndarray:
@@ -131,11 +135,80 @@ def bit_error(a: list[int], b: list[int], offset: int) -> float:
     return float(np.bitwise_count(x[:n] ^ y[:n]).sum()) / (32 * n) if n else 1.0
 
 
-def _errors(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """mapInArrow function on (query, class, offset, shared, fingerprint, other)."""
-    for batch in stream:
-        errors = [bit_error(a, b, o) for o, a, b in zip(batch.column(2).to_pylist(), batch.column(4).to_pylist(), batch.column(5).to_pylist(), strict=True)]
-        yield pa.RecordBatch.from_arrays([*[batch.column(k) for k in range(4)], pa.array(errors, pa.float64())], names=["query", "class", "offset", "shared", "error"])
+_PAIRS = [(i, j) for i in range(4) for j in range(i + 1, 4)]
+
+
+def _keys(numbers: np.ndarray) -> np.ndarray:
+    """(6, numbers): a key for each two bytes of each number."""
+    byte = [(numbers >> np.uint32(8 * k) & np.uint32(255)).astype(np.int64) for k in range(4)]
+    return np.stack([k << 16 | byte[i] << 8 | byte[j] for k, (i, j) in enumerate(_PAIRS)])
+
+
+def _ragged(first: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """first, first + 1, and so on, n places for each."""
+    return np.repeat(first - (np.cumsum(n) - n), n) + np.arange(n.sum())
+
+
+def _aligned(names: np.ndarray, found: list[np.ndarray], error: float, shared: int):
+    """mapInArrow function on (class, fingerprint): query, class, offset, error of the matches with the queries named."""
+    length = np.array([len(x) for x in found], np.int64)
+    begin, numbers = np.cumsum(length) - length, np.concatenate(found)
+    keys = _keys(numbers).ravel()
+    order = np.argsort(keys, kind="stable")
+    at = order % len(numbers)
+    of = np.repeat(np.arange(len(found)), length)[at].astype(np.int32)
+    here = (at - begin[of]).astype(np.int32)
+    start = np.concatenate([[0], np.cumsum(np.bincount(keys, minlength=len(_PAIRS) << 16))])
+
+    def votes(row, there, first, n, longest):
+        """(row, query, offset) with enough numbers, the one with the most votes of each (row, query)."""
+        hit = _ragged(first, n)
+        q, h, far = of[hit], here[hit], longest + int(length.max())
+        code = ((np.repeat(row, n) * len(found) + q) * (2 * far) + (h - np.repeat(there, n) + far)) * far + h
+        code.sort()
+        number = np.flatnonzero(np.concatenate([[True], code[1:] != code[:-1]]))
+        place = code[number] // far
+        new = np.flatnonzero(np.concatenate([[True], place[1:] != place[:-1]]))
+        count = np.diff(np.append(new, len(place)))
+        vote = np.diff(np.append(number[new], len(code)))
+        place, vote = place[new][count >= shared], vote[count >= shared]
+        pair, offset = place // (2 * far), place % (2 * far) - far
+        best = np.lexsort((-offset, np.abs(offset), -vote, pair))
+        pair, offset = pair[best], offset[best]
+        top = np.concatenate([[True], pair[1:] != pair[:-1]])[: len(pair)]
+        return pair[top] // len(found), pair[top] % len(found), offset[top]
+
+    def run(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in stream:
+            for a in range(0, batch.num_rows, 1_000):
+                part = batch.slice(a, 1_000)
+                name = part.column(0).to_numpy(zero_copy_only=False)
+                edge = part.column(1).offsets.to_numpy().astype(np.int64)
+                edge, y = edge - edge[0], part.column(1).flatten().to_numpy(zero_copy_only=False).view(np.uint32)
+                size = np.diff(edge)
+                mine = _keys(y)
+                n = start[mine + 1] - start[mine]
+                ends = np.concatenate([[0], np.cumsum(n.sum(0))])[edge]
+                low = 0
+                while low < len(size):
+                    high = max(low + 1, int(np.searchsorted(ends, ends[low] + VOTES, "right")) - 1)
+                    cut = slice(edge[low], edge[high])
+                    if ends[high] > ends[low]:
+                        row = np.repeat(np.arange(low, high), size[low:high])
+                        there = np.arange(edge[low], edge[high]) - edge[row]
+                        r, q, offset = votes(np.tile(row, len(_PAIRS)), np.tile(there, len(_PAIRS)), start[mine[:, cut]].ravel(), n[:, cut].ravel(), int(size[low:high].max()))
+                        other = names[q] != name[r]
+                        r, q, offset = r[other], q[other], offset[other]
+                        x0, y0 = np.maximum(0, offset), np.maximum(0, -offset)
+                        m = np.minimum(length[q] - x0, size[r] - y0)
+                        if len(m):
+                            differ = np.bitwise_count(numbers[_ragged(begin[q] + x0, m)] ^ y[_ragged(edge[r] + y0, m)]).astype(np.int64)
+                            wrong = np.add.reduceat(differ, np.cumsum(m) - m) / (32 * m)
+                            ok = wrong <= error
+                            yield pa.RecordBatch.from_arrays([pa.array(names[q[ok]], pa.int64()), pa.array(name[r[ok]], pa.int64()), pa.array(offset[ok], pa.int32()), pa.array(wrong[ok], pa.float64())], names=["query", "class", "offset", "error"])
+                    low = high
+
+    return run
 
 
 def align(prints: DataFrame, queries, error: float = BIT_ERROR, shared: int = LEAST_SHARED) -> DataFrame:
@@ -147,18 +220,25 @@ def align(prints: DataFrame, queries, error: float = BIT_ERROR, shared: int = LE
     key = F.sha2(F.array_join("fingerprint", ","), 256)
     all_ = checkpointed(prints.withColumn("key", F.when(F.size("fingerprint") > 0, key)))
     classes = checkpointed(all_.where("key is not null and id is not null").groupBy("key").agg(F.min("id").alias("class"), F.max(queries(F.col("id")).cast("int")).alias("asked"), F.first("fingerprint").alias("fingerprint")))
-    numbers = classes.select("class", "asked", F.posexplode("fingerprint").alias("at", "number"))
-    q, r = numbers.where("asked = 1").select(F.col("class").alias("query"), F.col("at").alias("here"), "number"), numbers.select("class", F.col("at").alias("there"), "number")
-    counted = q.join(r, "number").where("query != class").groupBy("query", "class", (F.col("here") - F.col("there")).alias("offset")).agg(F.count("*").alias("shared"))
-    top = counted.groupBy("query", "class").agg(F.max(F.struct("shared", -F.abs("offset"), "offset")).alias("x")).where(F.col("x.shared") >= shared).select("query", "class", "x.offset", "x.shared")
-    wide = top.join(classes.select(F.col("class").alias("query"), "fingerprint"), "query").join(classes.select("class", F.col("fingerprint").alias("other")), "class")
-    found = wide.select("query", "class", "offset", "shared", "fingerprint", "other").mapInArrow(_errors, "query bigint, class bigint, offset int, shared bigint, error double").where(F.col("error") <= error)
+    heard = classes.select("class", "fingerprint")
+    asked = classes.where("asked = 1").select("class", "fingerprint")
+    blocks = -(-asked.count() // BLOCK)
+    found = None
+    for k in range(blocks):
+        block = asked.where(F.pmod(F.xxhash64("class"), F.lit(blocks)) == k).toArrow()
+        if block.num_rows:
+            names = block.column(0).to_numpy().astype(np.int64)
+            numbers = [np.array(x, np.int32).view(np.uint32) for x in block.column(1).to_pylist()]
+            part = checkpointed(heard.mapInArrow(_aligned(names, numbers, error, shared), "query bigint, class bigint, offset int, error double"))
+            found = part if found is None else found.unionByName(part)
+    if found is None:
+        found = heard.sparkSession.createDataFrame([], "query bigint, class bigint, offset int, error double")
     best = found.groupBy("query").agg(F.count("*").alias("n_matches"), F.min(F.struct("error", "class", "offset")).alias("x"))
     matched = best.select(F.col("query").alias("class"), "n_matches", F.col("x.class").alias("best"), F.col("x.offset").alias("best_offset"), F.col("x.error").alias("best_error"))
     named = checkpointed(classes.select("key", "class").join(matched, "class", "left"))
     out = all_.join(named, "key", "left").withColumn("_ask", F.coalesce(queries(F.col("id")), F.lit(False)))
-    asked = lambda c: F.when(F.col("_ask"), c)
-    return out.select("id", "class", asked(F.coalesce("n_matches", F.lit(0))).alias("n_matches"), *[asked(F.col(c)).alias(c) for c in ("best", "best_offset", "best_error")])
+    shown = lambda c: F.when(F.col("_ask"), c)
+    return out.select("id", "class", shown(F.coalesce("n_matches", F.lit(0))).alias("n_matches"), *[shown(F.col(c)).alias(c) for c in ("best", "best_offset", "best_error")])
 
 
 _BANK = np.sin(2 * np.pi * (110.0 * 2 ** (np.arange(NOTES) / 12))[:, None] * np.arange(1_380) / RATE).astype(np.float32)

@@ -46,3 +46,31 @@ def test_alignment_finds_copies_and_cuts(spark):
     assert got[120]["class"] == 7 or got[120].best == 7
     assert got[20].n_matches == 0 and got[200].n_matches == 0 and got[200]["class"] is None
     assert align(fingerprints(media.limit(0)), lambda i: i % 20 == 0).count() == 0
+
+
+def brute_force(prints, queries):
+    """(query, other): least bit error over all offsets with three numbers or more, where it is 0.2 or less."""
+    out = {}
+    for q in queries:
+        for r in prints.keys() - {q}:
+            a, b = prints[q], prints[r]
+            least = min(bit_error(a, b, o) for o in range(3 - len(b), len(a) - 2))
+            if least <= 0.2:
+                out[q, r] = least
+    return out
+
+
+def test_noisy_copies_are_found(spark):
+    rng = np.random.default_rng(9)
+    prints = {1000 + k: fingerprint(chroma(tune(40 + k, 3.6).astype(np.float32))) for k in range(40)}
+    noisy = lambda x, p: x ^ (rng.random((len(x), 32)) < p).astype(np.uint32) @ (np.uint32(1) << np.arange(32, dtype=np.uint32))
+    copies = {}
+    for k in range(40):
+        x = prints[1000 + k]
+        copies[2 * k] = x ^ np.uint32(1) << rng.integers(0, 32, len(x), np.uint32)
+        copies[2 * k + 1] = noisy(x, 0.05 + 0.1 * k / 40)[k % 8 :]
+    plain = {i: x.astype(np.uint32).view(np.int32).tolist() for i, x in (prints | copies).items()}
+    want = {q for q, r in brute_force(plain, list(copies)) if r == 1000 + q // 2}
+    rows = spark.createDataFrame(list(plain.items()), "id long, fingerprint array<int>")
+    got = {r.id for r in align(rows, lambda i: i < 1000).where("id < 1000").collect() if r.best in (1000 + r.id // 2, r.id ^ 1)}
+    assert len(want) >= 78 and len(got & want) >= 0.9 * len(want)
