@@ -245,10 +245,11 @@ _BANK = np.sin(2 * np.pi * (110.0 * 2 ** (np.arange(NOTES) / 12))[:, None] * np.
 
 
 def sonified(values: list | None) -> np.ndarray:
-    """Samples of a vector: SEGMENTS chords, their notes and loudness from its values, in order. A null is no sound."""
+    """Samples of a vector: chords of four of its values each, at least SEGMENTS of them, which give notes and loudness in order. A null is no sound."""
     if not values:
         return np.zeros(0, np.float32)
-    x = np.nan_to_num(np.resize(np.array([np.nan if y is None else y for y in values], np.float64), SEGMENTS * 4)).reshape(SEGMENTS, 4)
+    chords = max(SEGMENTS, -(-len(values) // 4))
+    x = np.nan_to_num(np.resize(np.array([np.nan if y is None else y for y in values], np.float64), chords * 4)).reshape(chords, 4)
     note = (np.floor(np.clip(x * 2, -0.999, 0.999) * NOTES / 2) + NOTES // 2).astype(int) % NOTES
     sound = ((0.5 + np.abs(x)).astype(np.float32)[:, :, None] * _BANK[note]).sum(1).reshape(-1)
     return (sound / max(1e-6, np.abs(sound).max())).astype(np.float32)

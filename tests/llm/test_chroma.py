@@ -3,7 +3,7 @@ import wave
 
 import numpy as np
 
-from orbweave.llm.chroma import RATE, align, bit_error, chroma, fingerprint, fingerprints, samples
+from orbweave.llm.chroma import RATE, align, bit_error, chroma, fingerprint, fingerprints, samples, sonified
 
 
 def tune(seed, seconds=6.0):
@@ -74,3 +74,10 @@ def test_noisy_copies_are_found(spark):
     rows = spark.createDataFrame(list(plain.items()), "id long, fingerprint array<int>")
     got = {r.id for r in align(rows, lambda i: i < 1000).where("id < 1000").collect() if r.best in (1000 + r.id // 2, r.id ^ 1)}
     assert len(want) >= 78 and len(got & want) >= 0.9 * len(want)
+
+
+def test_every_value_of_a_long_vector_sounds():
+    x = np.random.default_rng(8).normal(0, 0.3, 200)
+    y = np.concatenate([x[:64], x[:63:-1]])
+    assert len(sonified(list(x))) == 50 * 1_380 and not np.array_equal(sonified(list(x)), sonified(list(y)))
+    assert len(sonified(list(x[:64]))) == len(sonified(list(x[:9]))) == 16 * 1_380
