@@ -1,53 +1,79 @@
 """SentencePiece encoding and decoding by a batched numpy Viterbi.
 
 Words of equal length advance together, one place at a time: hashes of all substrings that end there probe the sorted
-keys of the pieces, the pieces found extend the best path to where they start, and the longest valid one is stored as
-back-pointer by a vectorised maximum.
+keys of the pieces, the pieces found extend the best path to where they start, and a vectorised maximum of the paths'
+scores stores the back-pointer.
 
 The model is a BPE model. The plain Viterbi path, with the largest sum of scores, is not what BPE merges give, so
 a step also asks whether BPE would leave the last piece of the path and the new piece side by side; that is decided by
 undoing the two pieces' merges in turn, for all words at once. Exactly one path of each prefix passes, and it is the BPE
-encoding. Words that start with several spaces (pieces of equal score: ties) are merged one by one instead.
-Texts are cut before spaces and around line feeds, which no piece crosses. Distinct words are encoded once a batch,
-and kept for later batches up to CACHE.
+encoding. load(merges=False) leaves that question out: the plain Viterbi path of a unigram model.
+Pieces of several spaces have one score, below all others, so they merge last, from the left: what they give follows from
+the number of spaces. Texts are cut before spaces and around line feeds, which no piece crosses.
+
+All words of a batch are spans of bytes, known by a 64-bit hash; distinct ones are encoded once, and kept for later
+batches as sorted hashes beside their ids, up to CACHE words of KEEP bytes at most (tens of bytes each). A longer word is
+cut where two letters meet that are side by side in no piece; what is still longer than LONG letters walks alone, by
+the same steps with a dictionary, in time linear in its length.
 
 Decoding gathers the bytes of all pieces of a batch in one expression.
 
 Defined results: a null text counts as empty and has no ids; a text that holds U+2581 comes back with a space there;
-all other texts come back as they are. Repeated rows, null ids and extra columns have no effect; an empty table gives
-no rows.
+all other texts come back as they are. Texts of one run of spaces, one letter or one token take time linear in their
+length. Repeated rows, null ids and extra columns have no effect; an empty table gives no rows.
 """
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 
 from orbweave.llm import batches
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 SPACE = "▁"
-CACHE = 400_000
-ROWS, LEARN = 500, 20_000
-_WORD = re.compile(r"\n| *[^ \n]+| +")
+#: Words that are kept, the longest one in bytes, words that advance together, and letters of a word that walks alone.
+CACHE, KEEP, LEARN, LONG = 500_000, 64, 20_000, 256
 _BASE = np.uint64(0x9E3779B97F4A7C15)
+#: Bytes of text at a time.
+PIECE = 1_000_000
 _NONE = np.iinfo(np.int64).max
 
 
-def _slot(pairs: np.ndarray) -> np.ndarray:
-    return (pairs.astype(np.uint64) * _BASE) >> np.uint64(42)
+class Sorted:
+    """Sorted 64-bit keys with values; a table of where each start of 20 bits begins leaves a step or two of the search."""
+
+    def __init__(self, keys: np.ndarray, values: np.ndarray):
+        order = np.argsort(keys)
+        self.keys, self.values = np.append(keys[order], np.uint64(0xFFFFFFFFFFFFFFFF)), np.append(values[order], values[-1:])
+        first = np.searchsorted(keys[order], np.arange((1 << 20) + 1, dtype=np.uint64) << np.uint64(44))
+        first[-1] = len(keys)
+        self.first, self.steps, self.some = first[:-1].astype(np.int32), int(np.diff(first).max()), np.diff(first) > 0
+
+    def maybe(self, wanted: np.ndarray) -> np.ndarray:
+        return self.some[wanted >> np.uint64(44)]
+
+    def probe(self, wanted: np.ndarray, missing: int) -> np.ndarray:
+        place = self.first[wanted >> np.uint64(44)]
+        for _ in range(self.steps):
+            place = place + (self.keys[place] < wanted)
+        return np.where(self.keys[place] == wanted, self.values[place], missing)
+
+
+def _pair_key(one: np.ndarray, two: np.ndarray) -> np.ndarray:
+    return (one.astype(np.uint64) << np.uint64(20) | two.astype(np.uint64)) * _BASE
 
 
 def _hashes(codes: np.ndarray) -> np.ndarray:
     """Running hashes of rows of code points: out[:, k] is that of the first k."""
     out = np.zeros((codes.shape[0], codes.shape[1] + 1), np.uint64)
     for k in range(codes.shape[1]):
-        out[:, k + 1] = out[:, k] * _BASE + codes[:, k].astype(np.uint64) + np.uint64(1)
+        out[:, k + 1] = out[:, k] * _BASE + (codes[:, k].astype(np.uint64) + np.uint64(1)) * np.uint64(0xD6E8FEB86659FD93)
     return out
 
 
@@ -58,10 +84,8 @@ class Vocabulary:
     ids: np.ndarray  # rank -> id
     left: np.ndarray  # rank -> rank; itself for characters
     right: np.ndarray
-    pairs: np.ndarray  # sorted left << 20 | right
-    merged: np.ndarray  # the rank they merge to
-    keys: np.ndarray  # sorted substring keys
-    ranks: np.ndarray  # of the keys
+    pairs: Sorted  # of the left and the right piece: the rank they merge to
+    pieces: Sorted  # of the hash of a substring: its rank
     longest: int
     scores: dict[str, tuple[float, int]]
     byte_ids: np.ndarray
@@ -69,26 +93,26 @@ class Vocabulary:
     chars: int
     piece_bytes: np.ndarray  # bytes of all ids, side by side
     piece_at: np.ndarray
-    cache: dict[str, int] = field(default_factory=dict)
-    flat: np.ndarray = field(default_factory=lambda: np.zeros(0, np.int32))  # ids of the kept words, side by side
-    flat_at: np.ndarray = field(default_factory=lambda: np.zeros(1, np.int64))
+    values: np.ndarray  # score by rank; the last one is that of a letter without a piece
+    merges: bool
+    spaces: list[np.ndarray]  # ids of 0, 1, ... spaces, up to one less than the longest piece of spaces, and of that piece
 
     def __post_init__(self):
-        self.maybe = np.zeros(1 << 22, bool)  # by the upper bits of a key
-        self.maybe[self.keys >> np.uint64(42)] = True
-        self.maybe_pair = np.zeros(1 << 22, bool)
-        self.maybe_pair[_slot(self.pairs)] = True
+        self.walk: Walk | None = None
+        # pairs asked for lately and the answers, one for each slot
+        self.asked, self.answer = np.full(1 << 20, 0xFFFFFFFFFFFFFFFF, np.uint64), np.zeros(1 << 20, bool)
+        self.forget()
 
     def __getstate__(self):
-        return {k: v for k, v in self.__dict__.items() if k not in ("cache", "flat", "flat_at", "maybe", "maybe_pair")}
+        return {k: v for k, v in self.__dict__.items() if k not in ("known", "flat", "flat_at", "asked", "answer", "walk")}
 
     def __setstate__(self, state):
         self.__dict__.update(state)
-        self.forget()
         self.__post_init__()
 
     def forget(self):
-        self.cache, self.flat, self.flat_at = {}, np.zeros(0, np.int32), np.zeros(1, np.int64)
+        """known: sorted hashes of the kept words; flat: their ids, from flat_at[k] to flat_at[k + 1]."""
+        self.known, self.flat, self.flat_at = np.zeros(0, np.uint64), np.zeros(0, np.int32), np.zeros(1, np.int64)
 
 
 def merge(word: str, scores: dict[str, tuple[float, int]]) -> tuple[list[str], list[tuple[str, str]]]:
@@ -103,7 +127,7 @@ def merge(word: str, scores: dict[str, tuple[float, int]]) -> tuple[list[str], l
     return parts, done
 
 
-def load(path: str = MODEL) -> Vocabulary:
+def load(path: str = MODEL, merges: bool = True) -> Vocabulary:
     """Reads a BPE model with byte fallback on the driver; the tables (a few MB) go to the tasks with the function."""
     import sentencepiece
 
@@ -122,12 +146,9 @@ def load(path: str = MODEL) -> Vocabulary:
     left = np.array([rank[split[p][0]] if p in split else k for k, p in enumerate(order)])
     right = np.array([rank[split[p][1]] if p in split else k for k, p in enumerate(order)])
     n = len(chars)
-    pairs = left[n:].astype(np.int64) << 20 | right[n:]
-    by = np.argsort(pairs)
     longest = max(map(len, order))
     powers = np.multiply.accumulate(np.concatenate([np.ones(1, np.uint64), np.full(longest, _BASE)]))
     keys = np.array([_hashes(np.array([[ord(c) for c in p]]))[0, -1] for p in order], np.uint64)
-    to = np.argsort(keys)
     byte_ids = np.array([sp.piece_to_id(f"<0x{b:02X}>") for b in range(256)])
     texts = [b""] * sp.get_piece_size()
     for p, (_, i) in scores.items():
@@ -135,24 +156,27 @@ def load(path: str = MODEL) -> Vocabulary:
     for b, i in enumerate(byte_ids):
         texts[i] = bytes([b])
     at = np.concatenate([[0], np.cumsum([len(t) for t in texts])])
-    return Vocabulary(np.array([scores[p][1] for p in order]), left, right, pairs[by], by + n, keys[to], to, longest, scores, byte_ids, powers, n, np.frombuffer(b"".join(texts), np.uint8), at)
-
-
-def _probe(keys: np.ndarray, values: np.ndarray, wanted: np.ndarray, missing: int) -> np.ndarray:
-    place = np.minimum(np.searchsorted(keys, wanted), len(keys) - 1)
-    return np.where(keys[place] == wanted, values[place], missing)
+    runs = [p for p in scores if p == SPACE * len(p)]
+    widest = max(map(len, runs), default=1)
+    spaces = [np.array([scores[p][1] if p in scores else byte_ids[0x20] for p in merge(SPACE * k, {r: scores[r] for r in runs})[0]], np.int32) for k in range(widest + 1)]
+    values = np.array([scores[p][0] for p in order] + [min(s for s, _ in scores.values() if s > -1e8) - 10.0])
+    return Vocabulary(np.array([scores[p][1] for p in order]), left, right, Sorted(_pair_key(left[n:], right[n:]), np.arange(n, len(order))), Sorted(keys, np.arange(len(order))), longest, scores, byte_ids, powers, n, np.frombuffer(b"".join(texts), np.uint8), at, values, merges, spaces)
 
 
 def side_by_side(v: Vocabulary, one: np.ndarray, two: np.ndarray) -> np.ndarray:
     """Whether BPE leaves two pieces (ranks) unmerged, with all merges inside them done, when they adjoin."""
-    out = np.zeros(len(one), bool)
-    at = np.arange(len(one))
-    one, two, limit = one.copy(), two.copy(), np.full(len(one), _NONE)
+    key = _pair_key(one, two)
+    slot = key >> np.uint64(44)
+    out = v.answer[slot]
+    at = np.flatnonzero(v.asked[slot] != key)
+    ask = at
+    one, two, limit = one[at], two[at], np.full(len(at), _NONE)
+    out[at] = False
     while len(at):
-        pair = one.astype(np.int64) << 20 | two
+        pair = _pair_key(one, two)
         going = np.ones(len(at), bool)
-        rows = np.flatnonzero(v.maybe_pair[_slot(pair)])
-        merged = _probe(v.pairs, v.merged, pair[rows], _NONE)
+        rows = np.flatnonzero(v.pairs.maybe(pair))
+        merged = v.pairs.probe(pair[rows], _NONE)
         going[rows] = (merged >= limit[rows]) | (merged == _NONE)
         at, one, two, limit = at[going], one[going], two[going], limit[going]
         # undo the later merge of the two; if that one is a character, the other's
@@ -165,33 +189,38 @@ def side_by_side(v: Vocabulary, one: np.ndarray, two: np.ndarray) -> np.ndarray:
         limit = np.where(undo_one, one, two + 1)
         one, two = np.where(undo_one, v.right[one], one), np.where(undo_two, v.left[two], two)
         at, one, two, limit = at[~both], one[~both], two[~both], limit[~both]
+    v.asked[slot[ask]] = key[ask]
+    # of two pairs with one slot the last one stands in both tables
+    v.answer[slot[ask]] = out[ask]
     return out
 
 
-def _encode_equal(v: Vocabulary, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    """Ids of words of one length side by side, and how many each has."""
-    m, n = len(words), len(words[0])
-    codes = np.frombuffer("".join(words).encode("utf-32-le", "surrogatepass"), np.uint32).reshape(m, n)
+def _encode_equal(v: Vocabulary, codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Ids of words (rows of code points) side by side, and how many each has."""
+    m, n = codes.shape
     running = np.ascontiguousarray(_hashes(codes).T)
     unknown = len(v.ids)
-    last, back = np.full((n + 1, m), -1, np.int32), np.zeros((n + 1, m), np.int32)
+    last, back, best = np.full((n + 1, m), -1, np.int32), np.zeros((n + 1, m), np.int32), np.full((n + 1, m), -np.inf)
+    best[0] = 0
     for j in range(1, n + 1):
         for size in range(1, min(j, v.longest) + 1):
             key = running[j] - running[j - size] * v.powers[size]
             before = last[j - size]
-            rows = np.flatnonzero(v.maybe[key >> np.uint64(42)] & ((before >= 0) | (j == size))) if size > 1 else np.flatnonzero((before >= 0) | (j == 1))
+            rows = np.flatnonzero(v.pieces.maybe(key) & ((before >= 0) | (j == size))) if size > 1 else np.flatnonzero((before >= 0) | (j == 1))
             if not len(rows):
                 continue
-            found = _probe(v.keys, v.ranks, key[rows], unknown if size == 1 else -1)
+            found = v.pieces.probe(key[rows], unknown if size == 1 else -1)
             rows, found = rows[found >= 0], found[found >= 0]
-            if j > size and len(rows):
+            if v.merges and j > size and len(rows):
                 a = before[rows]
                 good = (a == unknown) | (found == unknown)
                 known = np.flatnonzero(~good)
                 good[known] = side_by_side(v, a[known], found[known])
                 rows, found = rows[good], found[good]
-            last[j, rows] = found
-            back[j, rows] = np.maximum(back[j, rows], size)
+            score = best[j - size, rows] + v.values[found]
+            better = score > best[j, rows]
+            rows = rows[better]
+            best[j, rows], last[j, rows], back[j, rows] = score[better], found[better], size
     place, tokens, column = np.full(m, n), [], np.arange(m)
     while (place > 0).any():
         tokens.append(np.where(place > 0, last[place, column], -1))
@@ -199,7 +228,7 @@ def _encode_equal(v: Vocabulary, words: list[str]) -> tuple[np.ndarray, np.ndarr
             # a character without a piece is its bytes, the last one first
             widest = 0
             for k in np.flatnonzero(tokens[-1] == unknown).tolist():
-                raw = words[k][place[k] - 1].encode("utf-8", "surrogatepass")[::-1]
+                raw = chr(codes[k, place[k] - 1]).encode("utf-8", "surrogatepass")[::-1]
                 for b, byte in enumerate(raw):
                     if b > widest:
                         tokens.append(np.full(m, -1))
@@ -212,69 +241,185 @@ def _encode_equal(v: Vocabulary, words: list[str]) -> tuple[np.ndarray, np.ndarr
     return np.where(ranks >= 0, v.ids[np.maximum(ranks, 0)], v.byte_ids[np.clip(-2 - ranks, 0, 255)]).astype(np.int32), used.sum(1)
 
 
-def _encode_merging(v: Vocabulary, word: str) -> np.ndarray:
-    parts = merge(word, v.scores)[0]
-    return np.concatenate([[v.scores[p][1]] if p in v.scores else v.byte_ids[np.frombuffer(p.encode("utf-8", "surrogatepass"), np.uint8)] for p in parts]).astype(np.int32)
-
-
-def learn(v: Vocabulary, words: set[str]) -> None:
-    """Encodes words that are not kept yet, LEARN at a time."""
-    fresh = [w for w in words if w not in v.cache]
-    if len(v.cache) + len(fresh) > CACHE:
-        v.forget()
-        fresh = list(words)
-    by_length: dict[int, list[str]] = {}
-    parts, sizes, order = [v.flat], [], []
-    for w in fresh:
-        if w.startswith(SPACE * 2):
-            parts.append(_encode_merging(v, w))
-            sizes.append(np.array([len(parts[-1])]))
-            order.append(w)
-        else:
-            by_length.setdefault(len(w), []).append(w)
-    for same in by_length.values():
-        for k in range(0, len(same), LEARN):
-            ids, number = _encode_equal(v, same[k : k + LEARN])
-            parts.append(ids)
-            sizes.append(number)
-            order += same[k : k + LEARN]
-    if order:
-        first = len(v.flat_at) - 1
-        v.cache.update((w, first + k) for k, w in enumerate(order))
-        v.flat_at = np.concatenate([v.flat_at, v.flat_at[-1] + np.cumsum(np.concatenate(sizes))])
-        v.flat = np.concatenate(parts)
-
-
-def _gather(values: np.ndarray, at: np.ndarray, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """values[at[k] : at[k + 1]] for each k wanted, side by side; and where each begins."""
-    sizes = at[wanted + 1] - at[wanted]
+class Walk:
+    """The same steps for one long word, with dictionaries: time linear in its length, whatever it repeats."""
+
+    def __init__(self, v: Vocabulary):
+        self.v, self.pairs = v, {(int(a), int(b)): len(v.ids) - len(v.left[v.chars :]) + k for k, (a, b) in enumerate(zip(v.left[v.chars :], v.right[v.chars :], strict=True))}
+        id_rank = {i: k for k, i in enumerate(v.ids.tolist())}
+        self.rank = {p: id_rank[i] for p, (_, i) in v.scores.items() if i in id_rank}
+        self.left, self.right, self.value, self.sure = v.left.tolist(), v.right.tolist(), v.values.tolist(), {}
+        self.two = {p[k : k + 2] for p in self.rank for k in range(len(p) - 1)}
+
+    def parts(self, word: str) -> list[str]:
+        """Cut where two letters meet that no piece has side by side."""
+        cut = [0, *[k for k in range(1, len(word)) if word[k - 1 : k + 1] not in self.two], len(word)]
+        return [word[a:b] for a, b in zip(cut, cut[1:], strict=False)]
+
+    def adjoin(self, one: int, two: int) -> bool:
+        limit = _NONE
+        while True:
+            if self.pairs.get((one, two), _NONE) < limit:
+                return False
+            atom_one, atom_two = self.right[one] == one, self.left[two] == two
+            if atom_one and atom_two:
+                return True
+            if not atom_one and (one > two or atom_two):
+                limit, one = one, self.right[one]
+            else:
+                limit, two = two + 1, self.left[two]
+
+    def encode(self, word: str) -> np.ndarray:
+        unknown, rank, sure, value = len(self.v.ids), self.rank, self.sure, self.value
+        last, back, best = [-1] * (len(word) + 1), [0] * (len(word) + 1), [0.0] + [-np.inf] * len(word)
+        wide, seen = self.v.longest, {}
+        for j in range(1, len(word) + 1):
+            # what repeats goes on alike: with merges, the next step follows from the letters and pieces before it
+            state = (word[j - wide : j], *last[j - wide : j]) if self.v.merges and j >= wide else None
+            if state in seen:
+                last[j], back[j] = seen[state]
+                best[j] = best[j - back[j]] + value[last[j]]
+                continue
+            for size in range(1, min(j, wide) + 1):
+                new, a = rank.get(word[j - size : j], unknown if size == 1 else -1), last[j - size]
+                if new < 0 or (a < 0 and j > size):
+                    continue
+                if self.v.merges and j > size and a != unknown and new != unknown:
+                    pair = a << 20 | new
+                    if pair not in sure:
+                        if len(sure) > LEARN * 10:
+                            sure.clear()
+                        sure[pair] = self.adjoin(a, new)
+                    if not sure[pair]:
+                        continue
+                if best[j - size] + value[new] > best[j]:
+                    best[j], last[j], back[j] = best[j - size] + value[new], new, size
+            if state is not None and len(seen) < LEARN:
+                seen[state] = last[j], back[j]
+        out, j = [], len(word)
+        while j:
+            out.append(self.v.byte_ids[np.frombuffer(word[j - 1].encode("utf-8", "surrogatepass"), np.uint8)] if last[j] == unknown else self.v.ids[last[j] : last[j] + 1])
+            j -= back[j]
+        return np.concatenate(out[::-1]).astype(np.int32)
+
+
+def _spaces(v: Vocabulary, n: int) -> np.ndarray:
+    widest = len(v.spaces) - 1
+    return np.concatenate([np.tile(v.spaces[widest], n // widest), v.spaces[n % widest]])
+
+
+def _gather(values: np.ndarray, at: np.ndarray, wanted: np.ndarray, end: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """values[at[k] : at[k + 1]] for each k wanted (or up to end[k]), side by side; and where each begins."""
+    sizes = (at[1:] if end is None else end)[wanted] - at[wanted]
     begin = np.concatenate([[0], np.cumsum(sizes)])
     return values[np.repeat(at[wanted] - begin[:-1], sizes) + np.arange(begin[-1])], begin
 
 
-def split(text: str) -> list[str]:
-    """Words with the spaces before them, as pieces write them. U+2581 in a text is what a space becomes."""
-    return _WORD.findall(" " + text.replace(SPACE, " ")) if text else []
-
-
-def encode(v: Vocabulary, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+def _encode_rows(v: Vocabulary, codes: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Ids of words of any length up to LONG (code points side by side), and n + 1 places where each one's begin."""
+    size = np.diff(at)
+    order = np.argsort(size, kind="stable")
+    out, number = [], np.zeros(len(size), np.int64)
+    edge = np.flatnonzero(np.diff(size[order], prepend=-1, append=-1))
+    for a, b in zip(edge[:-1].tolist(), edge[1:].tolist(), strict=True):
+        for k in range(a, b, LEARN):
+            rows = order[k : min(k + LEARN, b)]
+            ids, number[rows] = _encode_equal(v, codes[at[rows][:, None] + np.arange(size[rows[0]])])
+            out.append(ids)
+    ids = np.concatenate(out) if out else np.zeros(0, np.int32)
+    # they are in the order of lengths
+    place = np.zeros(len(size) + 1, np.int64)
+    np.cumsum(number[order], out=place[1:])
+    back = np.empty(len(size), np.int64)
+    back[order] = np.arange(len(size))
+    return _gather(ids, place, back)
+
+
+def _encode_odd(v: Vocabulary, word: str) -> np.ndarray:
+    """Ids of a word that is long or has several spaces before it."""
+    plain = word.lstrip(" ")
+    wide = len(word) - len(plain)
+    if not plain:
+        return _spaces(v, wide)
+    v.walk = v.walk or Walk(v)
+    parts = v.walk.parts(SPACE * (wide > 0) + plain)
+    some = list(dict.fromkeys(p for p in parts if len(p) <= LONG))
+    ids, at = _encode_rows(v, np.frombuffer("".join(some).encode("utf-32-le", "surrogatepass"), np.uint32), np.concatenate([[0], np.cumsum([len(p) for p in some])]).astype(np.int64))
+    found = {p: ids[at[k] : at[k + 1]] for k, p in enumerate(some)}
+    for p in parts:
+        if p not in found:
+            found[p] = v.walk.encode(p)
+    out = np.concatenate([found[p] for p in parts])
+    if wide < 2:
+        return out
+    # the space before the word joins the others if the word leaves it alone
+    lone = out[0] == v.scores[SPACE][1]
+    return np.concatenate([_spaces(v, wide - 1 + lone), out[1:] if lone else out])
+
+
+def learn(v: Vocabulary, body: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Ids of distinct words (spans of bytes) with the spaces before them, and n + 1 places where each one's begin."""
+    size = end - start
+    odd = (size > KEEP) | ((size > 1) & (body[start] == 0x20) & (body[np.minimum(start + 1, len(body) - 1)] == 0x20))
+    plain = np.flatnonzero(~odd)
+    raw, at = _gather(body, np.append(start[plain], 0), np.arange(len(plain)), end[plain])
+    codes = np.frombuffer(raw.tobytes().decode().encode("utf-32-le"), np.uint32).copy()
+    codes[codes == 0x20] = ord(SPACE)
+    letters = np.concatenate([[0], np.cumsum((raw & 0xC0) != 0x80)])
+    ids, begin = _encode_rows(v, codes, letters[at])
+    more = [_encode_odd(v, body[a:b].tobytes().decode()) for a, b in zip(start[odd].tolist(), end[odd].tolist(), strict=True)]
+    place = np.empty(len(size), np.int64)
+    place[plain], place[odd] = np.arange(len(plain)), len(plain) + np.arange(len(more))
+    begin = np.concatenate([begin, begin[-1] + np.cumsum([len(x) for x in more])]).astype(np.int64)
+    return _gather(np.concatenate([ids, *more]), begin, place)
+
+
+def spans(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Bytes of all texts with a space put before each, where its words begin, and n + 1 places of each text's first word.
+
+    A word has the spaces before it; a line feed is one of its own. U+2581 is a space.
+    """
+    body, at = batches.string_bytes(column)
+    if SPACE.encode() in body.tobytes():
+        body, at = batches.string_bytes(pc.replace_substring(column, SPACE, " "))
+    full = np.diff(at) > 0
+    body = np.insert(body, at[:-1][full], 0x20)
+    at = at + np.concatenate([[0], np.cumsum(full)])
+    line, space = body == 0x0A, body == 0x20
+    begin = line | space
+    begin[1:] &= ~(space[1:] & space[:-1])
+    begin[1:] |= line[:-1]
+    begin[at[:-1][full]] = True
+    begin = np.flatnonzero(begin)
+    return body, begin, np.searchsorted(begin, at)
+
+
+def encode(v: Vocabulary, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """Ids of all texts side by side, and n + 1 places where each text's begin."""
-    words = [[w.replace(" ", SPACE) for w in split(t)] for t in texts]
-    if any(w not in v.cache for p in words for w in p):
-        learn(v, {w for p in words for w in p})
-    ids, begin = _gather(v.flat, v.flat_at, np.array([v.cache[w] for p in words for w in p], np.int64))
-    return ids, begin[np.concatenate([[0], np.cumsum([len(p) for p in words])]).astype(np.int64)]
-
-
-def learn_from(v: Vocabulary, column: pa.Array) -> None:
-    """Encodes the distinct words of a batch at once, or of as much of it as can be kept."""
-    fresh: set[str] = set()
-    for a in range(0, len(column), ROWS):
-        for t in column.slice(a, ROWS).to_pylist():
-            fresh.update(split(t or ""))
-        if len(fresh) > CACHE // 2:
-            break
-    learn(v, {w.replace(" ", SPACE) for w in fresh})
+    body, start, first = spans(column)
+    end = np.append(start[1:], len(body)) if len(start) else start
+    hashes, where, word = np.unique(batches.span_hashes(body, start, end), return_index=True, return_inverse=True)
+    if len(v.known) + len(hashes) > CACHE:
+        v.forget()
+    place = np.searchsorted(v.known, hashes)
+    new = np.ones(len(hashes), bool)
+    inside = place < len(v.known)
+    new[inside] = v.known[place[inside]] != hashes[inside]
+    a, b = start[where[new]], end[where[new]]
+    ids, at = learn(v, body, a, b)
+    # ids of the words of this batch: kept ones, then new ones
+    both, both_at = np.concatenate([v.flat, ids]), np.concatenate([v.flat_at, v.flat_at[-1] + at[1:]])
+    number = place.copy()
+    number[new] = len(v.known) + np.arange(new.sum())
+    out, begin = _gather(both, both_at, number[word])
+    short = np.flatnonzero(b - a <= KEEP)
+    if len(short):
+        known = np.concatenate([v.known, hashes[new][short]])
+        order = np.argsort(known, kind="stable")
+        kept = np.concatenate([np.arange(len(v.known)), len(v.known) + short])[order]
+        v.flat, v.flat_at = _gather(both, both_at, kept)
+        v.known = known[order]
+    return out, begin[first]
 
 
 def decode(v: Vocabulary, ids: np.ndarray, begin: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -295,11 +440,10 @@ def encode_documents(docs: DataFrame, text: str = "text", keep: tuple[str, ...]
 
     def run(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in stream:
-            learn_from(v, batch.column(batch.schema.get_field_index(text)))
-            for lo, hi in ((a + k, min(a + k + ROWS, b)) for a, b in batches.pieces(batch, text) for k in range(0, b - a, ROWS)):
+            for lo, hi in batches.pieces(batch, text, PIECE):
                 part = batch.slice(lo, hi - lo)
                 column = part.column(part.schema.get_field_index(text))
-                ids, begin = encode(v, [t or "" for t in column.to_pylist()])
+                ids, begin = encode(v, column)
                 body, at = decode(v, ids, begin)
                 was, was_at = batches.string_bytes(column)
                 same = (np.diff(at) == np.diff(was_at)).copy()
