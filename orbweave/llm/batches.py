@@ -48,7 +48,7 @@ def pieces(batch: pa.RecordBatch, text: str, size: int = PIECE) -> Iterator[tupl
 
 def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     if "power" not in _tables or len(_tables["power"]) < n:
-        n = max(n, PIECE + PIECE // 4)
+        n = max(n + n // 4, 1 << 19)
         for name, base in (("power", _BASE), ("inverse", _INVERSE)):
             table = np.full(n, base, U)
             table[0] = 1

@@ -21,7 +21,7 @@ import re
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from orbweave.llm.expressions import let
+from orbweave.llm.expressions import let, running
 
 WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 #: Consecutive words, and the label that they give.
@@ -60,13 +60,9 @@ def phrase_starts(joined: Column, phrase: str) -> Column:
     """array<bigint>: numbers of the words at which the phrase starts, in a text of ' word word ... word '."""
     count = lambda s: (F.length(s) - F.length(F.replace(s, F.lit(" "), F.lit("")))).cast("bigint")
     inner, pattern = len(phrase.split()), f" {phrase}(?= )"
-    found = F.aggregate(
-        F.split(joined, pattern, -1),
-        F.struct(F.lit(0).cast("bigint").alias("at"), F.array().cast("array<bigint>").alias("out")),
-        lambda acc, gap: let(acc["at"] + count(gap), lambda at: F.struct((at + inner).alias("at"), F.concat(acc["out"], F.array(at)).alias("out"))),
-        # what follows the last match is no match
-        lambda acc: F.slice(acc["out"], F.lit(1), F.size(acc["out"]) - 1),
-    )
+    # what follows the last match is no match
+    gaps = let(F.split(joined, pattern, -1), lambda parts: F.transform(F.slice(parts, F.lit(1), F.size(parts) - 1), count))
+    found = F.transform(running(gaps), lambda at, k: at + k.cast("bigint") * inner)
     return F.when(joined.contains(f" {phrase} "), found).otherwise(F.array().cast("array<bigint>"))
 
 

@@ -38,10 +38,10 @@ from orbweave.llm import batches
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 SPACE = "▁"
 #: Words that are kept, the longest one in bytes, words that advance together, and letters of a word that walks alone.
-CACHE, KEEP, LEARN, LONG = 500_000, 64, 20_000, 256
+CACHE, KEEP, LEARN, LONG = 250_000, 64, 20_000, 256
 _BASE = np.uint64(0x9E3779B97F4A7C15)
-#: Bytes of text at a time.
-PIECE = 1_000_000
+#: Bytes of text at a time, and how many times so many share a look for new words.
+PIECE, TOGETHER = 500_000, 12
 _NONE = np.iinfo(np.int64).max
 
 
@@ -104,7 +104,7 @@ class Vocabulary:
         self.forget()
 
     def __getstate__(self):
-        return {k: v for k, v in self.__dict__.items() if k not in ("known", "flat", "flat_at", "asked", "answer", "walk")}
+        return {k: v for k, v in self.__dict__.items() if k not in ("known", "long", "flat", "flat_at", "asked", "answer", "walk")}
 
     def __setstate__(self, state):
         self.__dict__.update(state)
@@ -113,6 +113,7 @@ class Vocabulary:
     def forget(self):
         """known: sorted hashes of the kept words; flat: their ids, from flat_at[k] to flat_at[k + 1]."""
         self.known, self.flat, self.flat_at = np.zeros(0, np.uint64), np.zeros(0, np.int32), np.zeros(1, np.int64)
+        self.long = self.known  # those that go after the batch
 
 
 def merge(word: str, scores: dict[str, tuple[float, int]]) -> tuple[list[str], list[tuple[str, str]]]:
@@ -394,32 +395,53 @@ def spans(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return body, begin, np.searchsorted(begin, at)
 
 
-def encode(v: Vocabulary, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """Ids of all texts side by side, and n + 1 places where each text's begin."""
+def _hashed(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     body, start, first = spans(column)
     end = np.append(start[1:], len(body)) if len(start) else start
-    hashes, where, word = np.unique(batches.span_hashes(body, start, end), return_index=True, return_inverse=True)
-    if len(v.known) + len(hashes) > CACHE:
+    return batches.span_hashes(body, start, end), body, start, end, first
+
+
+def _meet(v: Vocabulary, columns: list[pa.Array]) -> None:
+    """Encodes the words of the texts that are not kept yet, all at once, and keeps them."""
+    if len(v.known) > CACHE:
         v.forget()
-    place = np.searchsorted(v.known, hashes)
-    new = np.ones(len(hashes), bool)
-    inside = place < len(v.known)
-    new[inside] = v.known[place[inside]] != hashes[inside]
-    a, b = start[where[new]], end[where[new]]
-    ids, at = learn(v, body, a, b)
-    # ids of the words of this batch: kept ones, then new ones
-    both, both_at = np.concatenate([v.flat, ids]), np.concatenate([v.flat_at, v.flat_at[-1] + at[1:]])
-    number = place.copy()
-    number[new] = len(v.known) + np.arange(new.sum())
-    out, begin = _gather(both, both_at, number[word])
-    short = np.flatnonzero(b - a <= KEEP)
-    if len(short):
-        known = np.concatenate([v.known, hashes[new][short]])
-        order = np.argsort(known, kind="stable")
-        kept = np.concatenate([np.arange(len(v.known)), len(v.known) + short])[order]
-        v.flat, v.flat_at = _gather(both, both_at, kept)
-        v.known = known[order]
-    return out, begin[first]
+    hashes, raw, size = [], [], []
+    for column in columns:
+        h, body, start, end, _ = _hashed(column)
+        h, where = np.unique(h, return_index=True)
+        place = np.minimum(np.searchsorted(v.known, h), max(len(v.known) - 1, 0))
+        new = v.known[place] != h if len(v.known) else np.ones(len(h), bool)
+        hashes.append(h[new])
+        word, at = _gather(body, start, where[new], end)
+        raw.append(word)
+        size.append(np.diff(at))
+    every, where = np.unique(np.concatenate(hashes), return_index=True)
+    if not len(every):
+        return
+    raw, size = np.concatenate(raw), np.concatenate(size)
+    start = np.cumsum(size) - size
+    ids, at = learn(v, raw, start[where], (start + size)[where])
+    known = np.concatenate([v.known, every])
+    order = np.argsort(known, kind="stable")
+    v.flat, v.flat_at = _gather(np.concatenate([v.flat, ids]), np.concatenate([v.flat_at, v.flat_at[-1] + at[1:]]), order)
+    v.known, v.long = known[order], np.union1d(v.long, every[size[where] > KEEP])
+
+
+def encode_all(v: Vocabulary, columns: list[pa.Array]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """For each column: ids of all texts side by side, and n + 1 places where each text's begin."""
+    _meet(v, columns)
+    for column in columns:
+        h, _, _, _, first = _hashed(column)
+        ids, begin = _gather(v.flat, v.flat_at, np.searchsorted(v.known, h))
+        yield ids, begin[first]
+    if len(v.long):
+        stay = np.flatnonzero(~np.isin(v.known, v.long))
+        v.flat, v.flat_at = _gather(v.flat, v.flat_at, stay)
+        v.known, v.long = v.known[stay], v.long[:0]
+
+
+def encode(v: Vocabulary, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    return next(iter([*encode_all(v, [column])]))
 
 
 def decode(v: Vocabulary, ids: np.ndarray, begin: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -440,10 +462,10 @@ def encode_documents(docs: DataFrame, text: str = "text", keep: tuple[str, ...]
 
     def run(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in stream:
-            for lo, hi in batches.pieces(batch, text, PIECE):
-                part = batch.slice(lo, hi - lo)
-                column = part.column(part.schema.get_field_index(text))
-                ids, begin = encode(v, column)
+            where = batch.schema.get_field_index(text)
+            cut = [batch.slice(lo, hi - lo) for lo, hi in batches.pieces(batch, text, PIECE)]
+            columns = [part.column(where) for part in cut]
+            for part, column, (ids, begin) in zip(cut, columns, (x for k in range(0, len(columns), TOGETHER) for x in encode_all(v, columns[k : k + TOGETHER])), strict=True):
                 body, at = decode(v, ids, begin)
                 was, was_at = batches.string_bytes(column)
                 same = (np.diff(at) == np.diff(was_at)).copy()

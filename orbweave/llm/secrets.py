@@ -16,7 +16,8 @@ three are combined (Stouffer) and Benjamini-Hochberg runs within bands of length
 histogram of log p whose cells round p up.
 
 Defined results: a null text counts as empty; a null id is kept; repeated rows are scanned each on their own; extra
-columns are ignored; an empty table gives no rows.
+columns are ignored; an empty table gives no rows. A text of one long token, or of a hundred thousand matches, takes a time
+that grows with its length and the matches, not with pairs of them.
 """
 
 from __future__ import annotations
@@ -26,7 +27,7 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from orbweave.llm.expressions import let
+from orbweave.llm.expressions import let, running
 
 ASSIGN = r"""(?i)(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
 #: Whole runs, so the least length can stand in the pattern.
@@ -49,19 +50,35 @@ def spans(text: Column, pattern: str, group: int = 0) -> Column:
     """array<struct<start, end, value>> of all matches, in code points; value is that of the group."""
     found = F.arrays_zip(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)).alias("all"), F.regexp_extract_all(text, F.lit(pattern), F.lit(group)).alias("value"))
     kind = "array<struct<start:bigint,end:bigint,value:string>>"
-    steps = F.zip_with(F.split(text, pattern, -1), found, lambda gap, m: F.struct(F.length(gap).cast("bigint").alias("gap"), F.length(m["all"]).cast("bigint").alias("len"), m["value"].alias("value")))
-    walked = F.aggregate(
-        steps,
-        F.struct(F.lit(0).cast("bigint").alias("at"), F.array().cast(kind).alias("out")),
-        lambda acc, s: F.when(s["len"].isNull(), acc).otherwise(
-            F.struct(
-                (acc["at"] + s["gap"] + s["len"]).alias("at"),
-                F.concat(acc["out"], F.array(F.struct((acc["at"] + s["gap"]).alias("start"), (acc["at"] + s["gap"] + s["len"]).alias("end"), s["value"].alias("value")))).alias("out"),
-            )
-        ),
-        lambda acc: acc["out"],
-    )
-    return F.when(text.rlike(pattern), walked).otherwise(F.array().cast(kind))
+    gaps = F.transform(F.split(text, pattern, -1), lambda gap: F.length(gap).cast("bigint"))
+
+    def placed(m):
+        # a match ends where the gaps and matches up to it do; what follows the last match is no match
+        sizes = F.transform(m, lambda x: F.length(x["all"]).cast("bigint"))
+        ends = running(F.zip_with(F.slice(gaps, F.lit(1), F.size(m)), sizes, lambda gap, size: gap + size))
+        return F.zip_with(ends, m, lambda end, x: F.struct((end - F.length(x["all"])).cast("bigint").alias("start"), end.alias("end"), x["value"].alias("value")))
+
+    return F.when(text.rlike(pattern), let(found, placed)).otherwise(F.array().cast(kind))
+
+
+def untouched(found: Column, base: Column) -> Column:
+    """The found spans that no base span overlaps (arrays of structs with start and end), in the order of start.
+
+    Both are put in one order; a base span before overlaps if the largest end so far is over the start, one behind if
+    the next start is under the end. So the steps grow with the number of spans, not with the pairs.
+    """
+    both = F.array_sort(F.concat(F.transform(base, lambda s: F.struct(s["start"].alias("start"), F.lit(0).alias("own"), s["end"].alias("end"))), F.transform(found, lambda s: F.struct(s["start"].alias("start"), F.lit(1).alias("own"), s["end"].alias("end")))))
+    far = F.lit(1 << 60).cast("bigint")
+
+    def kept(x):
+        before = running(F.transform(x, lambda s: F.when(s["own"] == 0, s["end"]).otherwise(F.lit(-1).cast("bigint"))), F.greatest)
+        after = F.reverse(running(F.reverse(F.transform(x, lambda s: F.when(s["own"] == 0, s["start"]).otherwise(far))), F.least))
+        sides = F.zip_with(before, after, lambda b, a: F.struct(b.alias("b"), a.alias("a")))
+        free = F.zip_with(x, sides, lambda s, e: F.when((s["own"] == 1) & (e["b"] <= s["start"]) & (e["a"] >= s["end"]), F.struct(s["start"].alias("start"), s["end"].alias("end"))))
+        return F.filter(free, lambda s: s.isNotNull())
+
+    plain = F.transform(found, lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end")))
+    return F.when((F.size(found) == 0) | (F.size(base) == 0), plain).otherwise(let(both, kept))
 
 
 def _upper_tail(z: Column) -> Column:
@@ -197,7 +214,7 @@ def find_secrets(docs: DataFrame, text: str = "text", keep: tuple[str, ...] = ("
 
     base = F.concat(as_kind(F.filter(spans(whole, ASSIGN, 2), lambda s: F.length(s["value"]) >= ASSIGN_CHARS), 0), as_kind(spans(whole, ACCESS), 1), as_kind(spans(whole, HEX), 2))
     rows = docs.select(*keep, base.alias("_base"), _candidates(whole).alias("_tested")).withColumn("_limits", limits)
-    passed = F.filter("_tested", lambda s: (s["cell"] >= F.element_at(F.col("_limits"), s["band"])) & ~F.exists("_base", lambda b: (b["start"] < s["end"]) & (s["start"] < b["end"])))
+    passed = untouched(F.filter("_tested", lambda s: s["cell"] >= F.element_at(F.col("_limits"), s["band"])), F.col("_base"))
     return rows.select(*keep, F.array_sort(F.concat("_base", as_kind(passed, 3))).alias("secrets"))
 
 
