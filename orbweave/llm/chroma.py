@@ -11,13 +11,14 @@ BLOCK; a block is an index by bytes that all tasks have, and every class votes a
 shuffled; chance votes grow with queries times classes.
 
 Defined results: a null, an empty and a too short recording have an empty fingerprint and match nothing; bytes that
-are no WAV file are raw samples; a null id is not a query; repeated rows are one class; extra columns are ignored;
+do not begin as a WAV file are raw 16-bit samples; a broken WAV file has an empty fingerprint; a null id is not a query; repeated rows are one class; extra columns are ignored;
 an empty table gives no rows.
 """
 
 from __future__ import annotations
 
 import io
+import struct
 import wave
 from collections.abc import Iterator
 
@@ -38,23 +39,44 @@ CUT = 0.25
 #: At most this part of the bits may differ, and so many numbers must be shared (in two bytes at least), for a match.
 BIT_ERROR, LEAST_SHARED = 0.2, 3
 NOTES, SEGMENTS = 48, 16
+FRAMES = 1_024
 #: Queries of an index, and votes that are counted at a time.
 BLOCK, VOTES = 16_384, 2_000_000
 
 
-def samples(data: bytes | None) -> np.ndarray:
-    """Mono samples at RATE, -1 to 1."""
-    rate, data = RATE, data or b""
-    if data[:4] == b"RIFF":
+def _wav(data: bytes) -> tuple[int, np.ndarray]:
+    """Rate and mono samples of a WAV file with 8, 16, 24 or 32 bits; none of a broken one."""
+    try:
         with wave.open(io.BytesIO(data)) as f:
             rate, channels, width = f.getframerate(), f.getnchannels(), f.getsampwidth()
             raw = f.readframes(f.getnframes())
-        kind = {1: np.uint8, 2: np.int16, 4: np.int32}[width]
-        x = np.frombuffer(raw, kind).astype(np.float32).reshape(-1, channels).mean(1)
-        x = (x - 128) / 128 if width == 1 else x / (1 << (8 * width - 1))
+    except (wave.Error, EOFError, OSError, struct.error):
+        return RATE, np.zeros(0, np.float32)
+    if width not in (1, 2, 3, 4) or rate < 1:
+        return RATE, np.zeros(0, np.float32)
+    raw = raw[: len(raw) // (width * channels) * width * channels]
+    if width == 3:  # as the upper bytes of four
+        wide = np.zeros((len(raw) // 3, 4), np.uint8)
+        wide[:, 1:] = np.frombuffer(raw, np.uint8).reshape(-1, 3)
+        x, width = wide.reshape(-1).view("<i4"), 4
+    else:
+        x = np.frombuffer(raw, {1: np.uint8, 2: "<i2", 4: "<i4"}[width])
+    x = x.reshape(-1, channels).mean(1, dtype=np.float32)
+    return rate, (x - 128) / 128 if width == 1 else x / np.float32(1 << (8 * width - 1))
+
+
+def samples(data: bytes | None) -> np.ndarray:
+    """Mono samples at RATE, -1 to 1; a low-pass filter comes before fewer samples."""
+    rate, data = RATE, bytes(data or b"")
+    if data[:4] == b"RIFF":
+        rate, x = _wav(data)
     else:
-        x = np.frombuffer(data[: len(data) // 2 * 2], np.int16).astype(np.float32) / 32768
+        x = np.frombuffer(data[: len(data) // 2 * 2], "<i2").astype(np.float32) / 32768
     if rate != RATE and len(x):
+        if rate > RATE:
+            half = int(np.ceil(8 * rate / RATE))
+            taps = np.sinc(np.arange(-half, half + 1) * 0.9 * RATE / rate) * np.hamming(2 * half + 1)
+            x = np.convolve(x, (taps / taps.sum()).astype(np.float32), "same") if len(x) > 2 * half else x
         x = np.interp(np.arange(0, len(x), rate / RATE), np.arange(len(x)), x).astype(np.float32)
     return x
 
@@ -70,8 +92,9 @@ def chroma(x: np.ndarray) -> np.ndarray:
     """(frames, 12), each frame of length 1 (or 0 where it is silent)."""
     if len(x) < FRAME:
         return np.zeros((0, 12), np.float32)
-    frames = np.lib.stride_tricks.sliding_window_view(x, FRAME)[::HOP] * np.hanning(FRAME).astype(np.float32)
-    energy = np.abs(np.fft.rfft(frames, axis=1)) ** 2 @ _FOLD.T
+    frames, window = np.lib.stride_tricks.sliding_window_view(x, FRAME)[::HOP], np.hanning(FRAME).astype(np.float32)
+    # some frames at a time, so that a long recording takes little more than its samples
+    energy = np.concatenate([np.abs(np.fft.rfft(frames[k : k + FRAMES] * window, axis=1)) ** 2 @ _FOLD.T for k in range(0, len(frames), FRAMES)])
     norm = np.linalg.norm(energy, axis=1, keepdims=True)
     return np.where(norm > 1e-6, energy / np.maximum(norm, 1e-6), 0).astype(np.float32)
 

@@ -3,16 +3,18 @@
 A hash of the last seven bytes rolls over the text; where it hits a residue of the block size, a chunk ends. Each
 chunk gives one character of a signature, from a hash of its bytes. A fingerprint holds the block size and the
 signatures at that size and at twice it: `size:one:two`. The block size is the smallest power of two times LEAST_BLOCK
-at which at most CHARS chunks are expected, halved while the text gives less than CHARS / 4 of them. Two
+at which at most CHARS chunks are expected, halved while the text gives less than CHARS / 4 of them, and doubled while it
+gives more than MOST_CHARS. A text of one repeated passage may jump from a few chunks to one for each repeat: the few
+stand. So a signature is short because of the block size, and no chunk is left out. Two
 fingerprints are comparable at a block size that both have; their likeness is 1 less the edit distance over the longer
 length, the best of the sizes.
 
-Hashes of all positions, and of all chunks, of a batch come from a few numpy expressions. A signature has no cap:
-each chunk counts, to the end of the longest text.
+Hashes of all positions, and of all chunks, of a batch come from a few numpy expressions.
 
 Defined results: a null text counts as empty; an empty text has the fingerprint of its size and two empty signatures;
 two empty signatures are alike (1). Rows without an id come first in the order of ids; rows with equal ids are in the
-order of their texts; an empty table gives no rows; extra columns are ignored.
+order of their texts' hashes; ids of any type that has an order will do; an empty table gives no rows; extra columns
+are ignored. A lone document is followed by itself.
 """
 
 from __future__ import annotations
@@ -27,11 +29,14 @@ from pyspark.sql import functions as F
 
 from orbweave.llm import batches
 from orbweave.llm.expressions import let
+from orbweave.llm.storage import checkpointed
 
 WINDOW, CHARS, LEAST_BLOCK = 7, 64, 4
+#: Chunks of a text at its block size, at most.
+MOST_CHARS = 4 * CHARS
 ALPHABET = np.frombuffer(b"ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/", np.uint8)
-#: Bytes of text in a task that pairs each document with the next one, about.
-TASK_BYTES = 16_000_000
+#: Bytes of files for a task that pairs each document with the next one, about.
+TASK_BYTES = 32_000_000
 
 
 def _signatures(body: np.ndarray, at: np.ndarray, roll: np.ndarray, block: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -57,16 +62,32 @@ def fingerprints(body: np.ndarray, at: np.ndarray) -> list[str]:
     for k in range(WINDOW):
         # bytes before the text's start count as none
         moved = np.zeros(len(body), np.uint64)
-        moved[k:] = x[: len(body) - k] + np.uint64(1) if k else x + np.uint64(1)
+        moved[k:] = x[: max(0, len(body) - k)] + np.uint64(1)
         roll = roll * np.uint64(0x100000001B3) + np.where(place >= k, moved, 0).astype(np.uint64)
     roll = (batches.mixed(roll) >> np.uint64(11)).astype(np.int64)
     block = LEAST_BLOCK << np.maximum(0, np.ceil(np.log2(np.maximum(sizes, 1) / (CHARS * LEAST_BLOCK)))).astype(np.int64)
+    full = np.flatnonzero(sizes)
+
+    def count(size):
+        """Chunks of each text at its block size."""
+        out = np.zeros(len(sizes), np.int64)
+        if len(full):
+            out[full] = np.add.reduceat((roll & np.repeat(size - 1, sizes)) == 0, at[:-1][full], dtype=np.int64) + 1
+        return out
+
+    number = count(block)
     while True:
-        chars, begin = _signatures(body, at, roll, block)
-        low = (np.diff(begin) < CHARS // 4) & (block > LEAST_BLOCK)
-        if not low.any():
+        less = (number < CHARS // 4) & (block > LEAST_BLOCK)
+        smaller = np.where(less, block // 2, block)
+        after = count(smaller)
+        less &= after <= MOST_CHARS  # a text that jumps from too few to too many stays at too few
+        if not less.any():
             break
-        block = np.where(low, block // 2, block)
+        block, number = np.where(less, smaller, block), np.where(less, after, number)
+    while (number > MOST_CHARS).any():
+        block = np.where(number > MOST_CHARS, 2 * block, block)
+        number = count(block)
+    chars, begin = _signatures(body, at, roll, block)
     more, next_ = _signatures(body, at, roll, 2 * block)
     one, two = chars.tobytes().decode(), more.tobytes().decode()
     return [f"{block[k]}:{one[begin[k] : begin[k + 1]]}:{two[next_[k] : next_[k + 1]]}" for k in range(len(sizes))]
@@ -106,94 +127,86 @@ def fingerprint_documents(docs: DataFrame, text: str = "text", keep: tuple[str,
     return read.mapInArrow(run, ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in fields) + ", fingerprint string")
 
 
-def _ranges(docs: DataFrame, doc_id: str, text: str) -> tuple[np.ndarray, list[int | None]]:
-    """Borders of ranges of ids with about TASK_BYTES of text each, and the smallest id of each range.
+def with_next(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, next_fingerprint of all rows, next being the next
+    document by id (the first one after the last).
 
-    The borders are quantiles of the ids, two numbers for each task of the next stage. Nulls are in the first range.
+    Rows are dealt to ranges of (id, hash), so that equal ids are split as well, and sorted there; a task pairs each row
+    with the one behind it. The first and the last row of each task come out with their texts and meet in a second, small
+    step: there are two of them for each task.
     """
-    known = docs.select(F.col(doc_id).cast("bigint").alias("id"))
-    amount = docs.agg(F.sum(F.octet_length(text))).first()[0] or 0
-    number = max(1, int(amount // TASK_BYTES), 4 * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions", "200")))
-    cuts = known.where("id is not null").approxQuantile("id", [k / number for k in range(1, number)], 0.2 / number) if number > 1 else []
-    borders = np.unique(np.array(cuts, np.float64).astype(np.int64))
-
-    def least(stream):
-        low: dict[int, int] = {}
+    spark = docs.sparkSession
+    kind = docs.select(F.col(doc_id).alias("doc_id")).schema["doc_id"].dataType.simpleString()
+    base = docs.select(F.col(doc_id).alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text")).withColumn("h", F.xxhash64("text"))
+    size = int(str(base._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    number = max(int(spark.conf.get("spark.sql.shuffle.partitions", "200")), min(size, 1 << 50) // TASK_BYTES + 1)
+    order = [F.col("doc_id").asc_nulls_first(), "h"]
+    dealt = base.repartitionByRange(number, *order, F.rand(7)).sortWithinPartitions(*order)
+    dealt = dealt.select("doc_id", "text", F.spark_partition_id().alias("task"))
+
+    def pair(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = None  # the row that waits for its next one
         for batch in stream:
-            ids = batch.column(0).to_numpy(zero_copy_only=False)
-            for k, v in zip(np.searchsorted(borders, ids, "right").tolist(), ids.tolist(), strict=True):
-                low[k] = min(v, low.get(k, v))
-        yield pa.RecordBatch.from_arrays([pa.array(list(low), pa.int64()), pa.array(list(low.values()), pa.int64())], names=["range", "id"])
+            for a, b in batches.pieces(batch, "text", batches.PIECE // 2):
+                part = batch.slice(a, b - a)
+                if held is None:
+                    yield _edge(part.slice(0, 1), True)
+                else:
+                    part = pa.Table.from_batches([held, part]).combine_chunks().to_batches()[0]
+                held = part.slice(part.num_rows - 1)
+                if part.num_rows > 1:
+                    yield _found(part.column(0).slice(0, part.num_rows - 1), *_edited(part.column(1)))
+        if held is not None:
+            yield _edge(held, False)
+
+    kinds = f"doc_id {kind}, {FOUND}"
+    out = checkpointed(dealt.mapInArrow(pair, f"{kinds}, task int, first boolean, text string"))
+    inner = out.where("task is null").drop("task", "first", "text")
+    edges = out.where("task is not null")
+    tasks = sorted(r[0] for r in edges.where("first").select("task").collect())
+    if not tasks:
+        return inner
+    follow = spark.createDataFrame(list(zip(tasks, tasks[1:] + tasks[:1], strict=True)), "task int, next_task int")
+    heads = edges.where("first").select(F.col("task").alias("next_task"), F.col("text").alias("next_text"))
+    ends = edges.where("not first").join(follow, "task").join(heads, "next_task").select("doc_id", "text", "next_text")
+
+    def close(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in stream:
+            for k in range(batch.num_rows):
+                two = pa.concat_arrays([batch.column(1).slice(k, 1), batch.column(2).slice(k, 1)])
+                found = _found(batch.column(0).slice(k, 1), *_edited(two))
+                yield found.select(range(6))
 
-    first: list[int | None] = [None] * (len(borders) + 1)
-    for r in known.where("id is not null").mapInArrow(least, "range bigint, id bigint").groupBy("range").agg(F.min("id").alias("id")).collect():
-        first[r["range"]] = r["id"]
-    return borders, first
+    return inner.unionByName(ends.mapInArrow(close, kinds))
 
 
-def with_next(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """doc_id, text and next_text, the text of the next document by id (of the first one after the last).
+FOUND = "n_chars bigint, edited_sha256 string, fingerprint string, edited_fingerprint string, next_fingerprint string"
+_NAMES = ["doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "next_fingerprint", "task", "first", "text"]
 
-    Texts are dealt once, by ranges of ids, and the first document of each range goes to the range before as well; so no
-    row meets another range, and no order over all rows is needed.
-    """
-    borders, first = _ranges(docs, doc_id, text)
-    some = [k for k, v in enumerate(first) if v is not None]
-    has_null = docs.where(F.col(doc_id).isNull()).limit(1).count() > 0
-    if has_null and 0 not in some:
-        some.insert(0, 0)
-    before = {k: some[i - 1] for i, k in enumerate(some)}
-    lead = {k: None if k == 0 and has_null else first[k] for k in some}
-
-    def deal(stream):
-        for batch in stream:
-            ids = batch.column(0).to_pylist()
-            ranges = [0 if v is None else int(k) for v, k in zip(ids, np.searchsorted(borders, [0 if v is None else v for v in ids], "right"), strict=True)]
-            twice = [k for k, v in enumerate(ids) if lead[ranges[k]] == v]
-            rows = batch.take(pa.array([*range(len(ids)), *twice], pa.int64()))
-            at = [*ranges, *[before[ranges[k]] for k in twice]]
-            guest = [False] * len(ids) + [True] * len(twice)
-            # a guest is behind all rows of the range
-            yield pa.RecordBatch.from_arrays([pa.array(at, pa.int64()), pa.array(guest), rows.column(0), rows.column(1)], names=["range", "guest", "id", "text"])
-
-    base = docs.select(F.col(doc_id).cast("bigint").alias("id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
-    number = max(1, len(borders) + 1)
-    dealt = base.mapInArrow(deal, "range bigint, guest boolean, id bigint, text string").repartition(number, "range").sortWithinPartitions("range", "guest", F.col("id").asc_nulls_first(), "text")
-
-    def pair(stream):
-        held = None  # the row that waits for its next one
-        for batch in stream:
-            out = {"doc_id": [], "text": [], "next_text": []}
-            for at, guest, i, t in zip(*[c.to_pylist() for c in batch.columns], strict=True):
-                if held is not None and held[0] == at:
-                    out["doc_id"].append(held[1])
-                    out["text"].append(held[2])
-                    out["next_text"].append(t)
-                held = None if guest else (at, i, t)
-            if out["doc_id"]:
-                yield pa.RecordBatch.from_arrays([pa.array(out["doc_id"], pa.int64()), pa.array(out["text"], pa.string()), pa.array(out["next_text"], pa.string())], names=list(out))
-
-    return dealt.mapInArrow(pair, "doc_id bigint, text string, next_text string")
-
-
-def edited(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """mapInArrow function on (doc_id, text, next_text): the contract's fingerprints, without the texts."""
-    for batch in stream:
-        for a, b in batches.pieces(batch, "text", batches.PIECE // 2):
-            part = batch.slice(a, b - a)
-            texts, later = part.column(1).to_pylist(), part.column(2).to_pylist()
-            changed = [t[: len(t) - len(t) // 2] + n[: len(t) // 2] for t, n in zip(texts, later, strict=True)]
-            prints = [fingerprints(*batches.string_bytes(c)) for c in (part.column(1), pa.array(changed, pa.string()), part.column(2))]
-            yield pa.RecordBatch.from_arrays(
-                [part.column(0), pa.array([len(t) for t in texts], pa.int64()), pa.array([hashlib.sha256(t.encode()).hexdigest() for t in changed]), *[pa.array(p, pa.string()) for p in prints]],
-                names=["doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "next_fingerprint"],
-            )
+
+def _edited(texts: pa.Array) -> tuple[list[int], list[str], list[str], list[str], list[str]]:
+    """The contract's values of each text but the last one, which is only the next of the one before."""
+    rows = texts.to_pylist()
+    changed = [t[: len(t) - len(t) // 2] + n[: len(t) // 2] for t, n in zip(rows, rows[1:], strict=False)]
+    own, new = fingerprints(*batches.string_bytes(texts)), fingerprints(*batches.string_bytes(pa.array(changed, pa.string())))
+    return [len(t) for t in rows[:-1]], [hashlib.sha256(t.encode()).hexdigest() for t in changed], own[:-1], new, own[1:]
+
+
+def _found(ids: pa.Array, *values: list) -> pa.RecordBatch:
+    columns = [pa.array(v, pa.int64() if k == 0 else pa.string()) for k, v in enumerate(values)]
+    none = [pa.nulls(len(ids), t) for t in (pa.int32(), pa.bool_(), pa.string())]
+    return pa.RecordBatch.from_arrays([ids, *columns, *none], names=_NAMES)
+
+
+def _edge(row: pa.RecordBatch, first: bool) -> pa.RecordBatch:
+    none = [pa.nulls(1, pa.int64()), *[pa.nulls(1, pa.string())] * 4]
+    return pa.RecordBatch.from_arrays([row.column(0), *none, row.column(2), pa.array([first]), row.column(1)], names=_NAMES)
 
 
 def op10_document_fingerprints(spark, sf_dir: str) -> DataFrame:
     """The contract's columns over all documents."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
-    found = with_next(docs).mapInArrow(edited, "doc_id bigint, n_chars bigint, edited_sha256 string, fingerprint string, edited_fingerprint string, next_fingerprint string")
+    found = with_next(docs)
     return found.select(
         "doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", likeness(F.col("fingerprint"), F.col("edited_fingerprint")).alias("near_edited"), likeness(F.col("fingerprint"), F.col("next_fingerprint")).alias("near_next")
     )

@@ -14,8 +14,8 @@
 Only hashes are paired; texts are joined once, with the lines to delete.
 
 Defined results: a null text stays null and has no lines; a row with a null id stays as it is; rows with equal ids and
-different texts are documents of their own in the order of the texts' hashes; repeated rows are one document; extra columns are kept; an empty
-table gives no rows.
+different texts are documents of their own in the order of the texts' hashes; repeated rows are one document; extra columns of any name are
+kept, but for n_lines and n_removed, which are made anew; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -209,11 +209,13 @@ def line_dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", bloc
             gone = merged(gone.unionByName(aligned(tried.join(partners, ["line", "at"]).select("id", "h", "id0", "h0"))))
             left = spread(records.join(todo.select("id", "h").distinct(), ["id", "h"], "left_semi").join(gone, ["id", "h"], "left"))
             low *= 2
-    gone = gone.select(F.col("id").alias("_id"), F.col("h").alias("_h"), F.col("gone").alias("_gone"))
-    found = docs.join(gone, (F.col(doc_id) == F.col("_id")) & (row == F.col("_h")), "left")
-    kept = F.array_join(F.filter(lines, lambda x, k: ~F.array_contains("_gone", k)), "\n")
-    cut = F.when(F.col("_gone").isNull(), F.col(text)).otherwise(kept)
-    return found.select(*[cut.alias(c) if c == text else F.col(c) for c in docs.columns], F.coalesce(F.size(lines), F.lit(0)).cast("long").alias("n_lines"), F.coalesce(F.size("_gone"), F.lit(0)).cast("long").alias("n_removed"))
+    of = lambda c: F.col(f"full.`{c}`")
+    mine = F.split(of(text), "\n")
+    found = docs.select(F.struct(*[c for c in docs.columns if c not in ("n_lines", "n_removed")]).alias("full")).join(gone, (of(doc_id) == F.col("id")) & (F.xxhash64(of(text)) == F.col("h")), "left")
+    kept = F.array_join(F.filter(mine, lambda x, k: ~F.array_contains("gone", k)), "\n")
+    cut = F.when(F.col("gone").isNull(), of(text)).otherwise(kept)
+    columns = [(cut if c == text else of(c)).alias(c) for c in docs.columns if c not in ("n_lines", "n_removed")]
+    return found.select(*columns, F.coalesce(F.size(mine), F.lit(0)).cast("long").alias("n_lines"), F.coalesce(F.size("gone"), F.lit(0)).cast("long").alias("n_removed"))
 
 
 def op4_line_dedup(spark, sf_dir: str) -> DataFrame:

@@ -10,8 +10,8 @@ hash, folds each group in one expression, settles all but one document of it, an
 A source of any size is many groups, and each level holds about 1 / GROUP of the rows of the one before. Levels go
 through checkpoint files. Everything is a DataFrame expression.
 
-Defined results: a null text has size 0 and is taken 0 times; null sources are one source; rows alike in id, source
-and size (repeated rows, null ids) share one decision; an empty table gives no rows; extra columns are kept by mix.
+Defined results: a null text has size 0 and is taken 0 times; null sources are one source; each row has a decision of its
+own, repeated rows and rows without an id too; an empty table gives no rows; extra columns, of any name, are kept by mix.
 """
 
 from __future__ import annotations
@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from orbweave.llm.expressions import let
-from orbweave.llm.storage import checkpointed, small_side
+from orbweave.llm.storage import checkpointed, repeated, small_side
 
 #: Weights of the sources by code point, null last, over and over.
 WEIGHTS = (5, 2, 1)
@@ -112,36 +112,51 @@ def pivotal(units: DataFrame, seed: int = 0, group: int = GROUP) -> DataFrame:
     return out
 
 
-def decide(docs: DataFrame, doc_id: str = "doc_id", source: str = "source", text: str = "text", seed: int = 0) -> DataFrame:
-    """For each unit (rows alike in id, source and size): doc_id, source, size, rows, source_size, target, copies."""
-    sized = docs.select(F.col(doc_id).alias("doc_id"), F.col(source).alias("source"), word_count(F.col(text)).alias("size"))
-    units = checkpointed(sized.groupBy("doc_id", "source", "size").agg(F.count("*").alias("rows")))
-    by_source = targets(checkpointed(units.groupBy("source").agg(F.sum(F.col("size") * F.col("rows")).alias("source_size"), F.count("*").alias("n"))))
-    wide = small_side(checkpointed(by_source.withColumnRenamed("source", "_source")))
+def _units(docs: DataFrame, doc_id: str, source: str, text: str) -> DataFrame:
+    """doc_id, source, size, h (hash of the text) and rows: how many rows are alike in all of these."""
+    sized = docs.select(F.col(doc_id).alias("doc_id"), F.col(source).alias("source"), word_count(F.col(text)).alias("size"), F.xxhash64(text).alias("h"))
+    return checkpointed(sized.groupBy("doc_id", "source", "size", "h").agg(F.count("*").alias("rows")))
+
+
+def _decided(units: DataFrame, seed: int) -> DataFrame:
+    """doc_id, source, size, h, rows, source_size, target, copies: a row for each row of the documents."""
+    by_source = targets(checkpointed(units.groupBy("source").agg(F.sum(F.col("size") * F.col("rows")).alias("source_size"), F.sum("rows").alias("n"))))
+    wide = small_side(checkpointed(by_source.withColumnRenamed("source", "of_source")))
     share = F.col("target") / F.nullif(F.col("source_size"), F.lit(0))
-    rows = units.join(wide, F.col("source").eqNullSafe(F.col("_source")), "left").drop("_source").withColumn("_share", F.coalesce(share, F.lit(0.0)))
-    rows = rows.withColumn("_whole", F.floor(F.col("_share") + _EPS)).withColumn("_p", F.col("_share") - F.col("_whole"))
-    unsettled = (F.col("_p") > _EPS) & (F.col("size") > 0)
-    row = F.struct("doc_id", "source", "size", "rows", "source_size", "target", F.col("_whole").alias("copies"))
-    won = pivotal(rows.where(unsettled).select("source", row.alias("row"), (F.col("size") * F.col("rows")).cast("double").alias("words"), F.col("_p").alias("p"), "n"), seed)
+    each = repeated(units, F.col("rows"), "nth")
+    rows = each.join(wide, F.col("source").eqNullSafe(F.col("of_source")), "left").drop("of_source").withColumn("share", F.coalesce(share, F.lit(0.0)))
+    rows = rows.withColumn("whole", F.floor(F.col("share") + _EPS)).withColumn("p", F.col("share") - F.col("whole"))
+    unsettled = (F.col("p") > _EPS) & (F.col("size") > 0)
+    row = F.struct("doc_id", "source", "size", "h", "nth", "rows", "source_size", "target", F.col("whole").alias("copies"))
+    won = pivotal(rows.where(unsettled).select("source", row.alias("row"), F.col("size").cast("double").alias("words"), "p", "n"), seed)
     plain = rows.where(~unsettled).select(row.alias("row"), F.lit(0).cast("long").alias("extra"))
-    return plain.unionByName(won).select("row.*", "extra").withColumn("copies", F.when(F.col("size") > 0, F.col("copies") + F.col("extra")).otherwise(0)).drop("extra")
+    return plain.unionByName(won).select("row.*", "extra").withColumn("copies", F.when(F.col("size") > 0, F.col("copies") + F.col("extra")).otherwise(0)).drop("extra", "nth")
+
+
+def decide(docs: DataFrame, doc_id: str = "doc_id", source: str = "source", text: str = "text", seed: int = 0) -> DataFrame:
+    """For each row of docs: doc_id, source, size, h (hash of the text), rows (rows alike in these), source_size, target, copies."""
+    return _decided(_units(docs, doc_id, source, text), seed)
 
 
 def mix(docs: DataFrame, doc_id: str = "doc_id", source: str = "source", text: str = "text", seed: int = 0) -> DataFrame:
-    """The rows of docs, each as often as the mix takes it. The decisions are short rows; texts are shuffled once."""
-    copies = decide(docs, doc_id, source, text, seed).select(F.col("doc_id").alias("_id"), F.col("source").alias("_source"), F.col("size").alias("_size"), F.col("copies").cast("int").alias("_copies"))
-    sized = docs.withColumn("_words", word_count(F.col(text)))
-    same = F.col(doc_id).eqNullSafe(F.col("_id")) & F.col(source).eqNullSafe(F.col("_source")) & (F.col("_words") == F.col("_size"))
-    taken = sized.join(copies.where("_copies > 0"), same)
-    return taken.withColumn("_copy", F.explode(F.sequence(F.lit(1), "_copies"))).select(*docs.columns)
+    """The rows of docs, each as often as the mix takes it. The decisions are short rows; texts are shuffled once.
+
+    Of rows alike in id, source and text, which each have a decision, one stands for all.
+    """
+    copies = decide(docs, doc_id, source, text, seed).groupBy("doc_id", "source", "size", "h").agg(F.first("rows").alias("rows"), F.sum("copies").alias("copies")).where("copies > 0")
+    of = lambda c: F.col(f"full.`{c}`")
+    full = docs.select(F.struct(*docs.columns).alias("full"))
+    keyed = full.select("full", of(doc_id).alias("own_id"), of(source).alias("own_source"), word_count(of(text)).alias("own_size"), F.xxhash64(of(text)).alias("own_h"))
+    same = F.col("own_id").eqNullSafe(F.col("doc_id")) & F.col("own_source").eqNullSafe(F.col("source")) & (F.col("own_size") == F.col("size")) & (F.col("own_h") == F.col("h"))
+    one = keyed.join(copies.where("rows = 1"), same)
+    more = keyed.join(copies.where("rows > 1"), same).dropDuplicates(["own_id", "own_source", "own_size", "own_h"])
+    return repeated(one.unionByName(more).select("full", "copies"), F.col("copies"), "nth").select("full.*")
 
 
 def op7_mix_sources(spark, sf_dir: str) -> DataFrame:
     """The contract's columns from decide over all documents."""
     found = decide(spark.read.parquet(f"{sf_dir}/documents.parquet"))
-    each = found.withColumn("_row", F.explode(F.sequence(F.lit(1).cast("long"), "rows")))
-    return each.select("doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"))
+    return found.select("doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"))
 
 
 QUERIES = {"op7_mix_sources": op7_mix_sources}

@@ -1,23 +1,27 @@
 """Surrogates for personal data: emails, phone, card, social security and IP numbers, and names.
 
-Each entity found gets a keyed replacement of its kind and format. Numbers go through a keyed permutation of their own
-digits (a Feistel network, conjugated with "add one"): two numbers never meet in one surrogate, none is its
-own, and equal ones are replaced alike in every document and format, so distinctness and coreference hold without a
-table of entities. Card numbers keep their distance from a valid check digit. Emails get an 80-bit keyed name under a
-domain that is reserved for examples. Names are replaced word by word, by words of the same gender and script; within a
-document a check moves a word on while its surrogate is taken by another word or is a word of the document's own names.
+Each entity found gets a keyed replacement of its kind and format. Everything goes through keyed permutations (a Feistel
+network, conjugated with "add one"): two values never meet in one surrogate, none is its own, and equal ones are
+replaced alike in every document and format. So the collision check and coreference hold over all documents without a
+table of entities. Card numbers keep their distance from a valid check digit. The letters and digits of an email are permuted
+in their places; its domain goes under one that is reserved for examples. A word of a name is a number in the letters of
+its script; its permuted number is written in syllables of that script, with an ending for a given name of either
+gender and for a family name, so that one word has one surrogate of a kind and no other word has it.
 
 A map over whole texts: no shuffle, no key, no state beyond a document.
 
 Defined results: a null text stays null and has no entities; repeated rows are replaced alike; null ids and extra columns
-are kept; a text without entities comes back as it is; an empty table gives no rows.
+are kept, but for a column entities, which is made anew; a text without entities comes back as it is; an empty table gives
+no rows. The time grows with the length of a text, whatever it repeats.
 """
 
 from __future__ import annotations
 
 import hashlib
+import math
 import re
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -25,8 +29,9 @@ from pyspark.sql import DataFrame
 
 from orbweave.llm import batches
 
-KEY = b"orbweave"
-EMAIL = re.compile(r"[A-Za-z0-9][A-Za-z0-9._%+-]*@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,}")
+#: An email is looked for from its @ to both sides: what may stand before it, from a letter or digit on, and its domain.
+LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
+DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,}")
 IP = re.compile(r"(?<![\w.])(?:(?:25[0-5]|2[0-4]\d|1?\d?\d)\.){3}(?:25[0-5]|2[0-4]\d|1?\d?\d)(?![\d]|\.\d)", re.A)
 CARD = re.compile(r"(?<![\w.-])(?:\d{4}([ -]?)\d{4}\1\d{4}\1\d{4}|3[47]\d{2}([ -]?)\d{6}\2\d{5})(?![\w]|-\d)", re.A)
 SSN = re.compile(r"(?<![\w-])\d{3}-\d{2}-\d{4}(?![\w]|-\d)", re.A)
@@ -38,7 +43,9 @@ GIVEN = {
     ("cyrillic", "f"): "Анна Вера Галина Дарья Елена Ирина Ксения Лариса Мария Наталья Ольга Полина Светлана Татьяна Юлия".split(),
     ("cyrillic", "m"): "Андрей Борис Виктор Григорий Дмитрий Евгений Иван Кирилл Леонид Михаил Николай Олег Павел Сергей Юрий".split(),
 }
-_SYLLABLES = {"latin": ("bar hal wes mor lin cor tan del fer gra hol ken lam nor pel ros sut tol ven wil".split(), "a e i o u".split(), "ton ley man field ford well wood son ner dale".split()), "cyrillic": ("бар вол гор дан жар зим кал лог мор нов пет рож сав тар хар".split(), "а е и о".split(), "нов лов ров тин шин дин".split())}
+#: Letters of the words, and consonants, vowels and endings (given f, given m, family) of their surrogates.
+LETTERS = {"latin": "abcdefghijklmnopqrstuvwxyz", "marked": "abcdefghijklmnopqrstuvwxyzßàáâãäåæçèéêëìíîïðñòóôõöøùúûüýþÿ'-", "cyrillic": "абвгдежзийклмнопрстуфхцчшщъыьэюяё"}
+SYLLABLES = {"latin": ("bdfghjklmnprstvwxz", "aeiou", {"f": "lia", "m": "dor", "": "son"}), "marked": ("bdfghjklmnprstvwxz", "aeiou", {"f": "line", "m": "bert", "": "mann"}), "cyrillic": ("бвгджзклмнпрстфхцчш", "аеиоу", {"f": "лина", "m": "мир", "": "нов"})}
 _KNOWN = {w: g for (_, g), ws in GIVEN.items() for w in ws}
 _CAP = r"[A-ZÀ-ÖØ-Þ][a-zß-öø-ÿ]+(?:['-][A-ZÀ-ÖØ-Þ][a-zß-öø-ÿ]+)?"
 _CYR = r"[А-ЯЁ][а-яё]+"
@@ -47,7 +54,8 @@ NAMED = re.compile(rf"\b((?:{'|'.join(w for (s, _), ws in GIVEN.items() if s ==
 _FEMALE = {"Mrs", "Ms", "Miss", "Frau", "Madame", "Señora"}
 
 
-def _prf(key: bytes, what: str, size: int = 8) -> int:
+@lru_cache(100_000)
+def _prf(key: bytes, what: str, size: int = 24) -> int:
     return int.from_bytes(hashlib.blake2b(what.encode(), key=key, digest_size=size).digest(), "big")
 
 
@@ -106,42 +114,75 @@ def _ip(key: bytes, text: str) -> str:
     return ".".join(str(x >> s & 255) for s in (24, 16, 8, 0))
 
 
-def _email(key: bytes, text: str) -> str:
-    code = _prf(key, "email:" + text.lower(), 10)
-    name = "".join(chr(97 + code // 26**k % 26) for k in range(17))
-    return f"{name}@mail.example"
+def _in_places(key: bytes, tag: str, text: str) -> str:
+    """Letters to letters and digits to digits, in their places, by a permutation of all texts of that shape."""
+    low = text.lower()
+    places = [(k, 10 if c.isdigit() else 26, ord(c) - (48 if c.isdigit() else 97)) for k, c in enumerate(low) if c.isalnum()]
+    if not places:
+        return text
+    shape = re.sub("[a-z]", "a", re.sub(r"[0-9]", "0", low))
+    half, x, sizes = len(places) // 2, 0, [1, 1]
+    for n, (_, base, v) in enumerate(places):
+        x = x * base + v
+        sizes[n >= half] *= base
+    y, out = permuted(key, tag + shape, x, *sizes), list(text)
+    for k, base, _ in reversed(places):
+        y, v = divmod(y, base)
+        c = chr(v + (48 if base == 10 else 97))
+        out[k] = c.upper() if text[k].isupper() else c
+    return "".join(out)
 
 
-NUMBERS = (("email", EMAIL, _email), ("card", CARD, _card), ("ssn", SSN, lambda key, t: _in_format(t, permuted_digits(key, "ssn", re.sub(r"\D", "", t)))), ("ip", IP, _ip), ("phone", PHONE, _phone))
+def _email(key: bytes, text: str) -> str:
+    name, domain = text.split("@")
+    labels = domain.split(".")
+    return f"{_in_places(key, 'local', name)}@{'.'.join(_in_places(key, 'domain', x) for x in labels[:-1])}.{labels[-1].lower()}.example"
+
+
+def emails(text: str) -> Iterator[tuple[int, int]]:
+    """Leftmost emails that don't overlap, in time that grows with the text."""
+    end, at = 0, text.find("@")
+    while at >= 0:
+        low = at
+        while low > end and text[low - 1] in LOCAL:
+            low -= 1
+        while low < at and not (text[low].isascii() and text[low].isalnum()):
+            low += 1
+        found = DOMAIN.match(text, at + 1) if low < at else None
+        if found:
+            end = found.end()
+            yield low, end
+        else:
+            end = at + 1
+        at = text.find("@", max(end, at + 1))
 
 
-class Names:
-    """Surrogates of the words of names within a document."""
+NUMBERS = (("card", CARD, _card), ("ssn", SSN, lambda key, t: _in_format(t, permuted_digits(key, "ssn", re.sub(r"\D", "", t)))), ("ip", IP, _ip), ("phone", PHONE, _phone))
 
-    def __init__(self, key: bytes, own: set[str]):
-        self.key, self.own, self.done, self.taken = key, own, {}, set()
 
-    def __call__(self, word: str, kind: str, gender: str) -> str:
-        script = "cyrillic" if re.match("[А-ЯЁа-яё]", word) else "latin"
-        held = (word.lower(), kind, gender)
-        k = 0
-        while held not in self.done:
-            x = _prf(self.key, f"{kind}{gender}{script}:{word.lower()}:{k}")
-            if kind == "given" and k < 40:
-                new = GIVEN[script, gender][x % len(GIVEN[script, gender])]
-            else:
-                first, mid, last = _SYLLABLES[script]
-                new = first[x % len(first)] + mid[(x >> 16) % len(mid)] + (first[(x >> 32) % len(first)] if k > 20 else "") + last[(x >> 48) % len(last)]
-                new = new.capitalize()
-            if new.lower() not in self.own and new.lower() not in self.taken:
-                self.done[held] = new
-                self.taken.add(new.lower())
-            k += 1
-        new = self.done[held]
-        return new.upper() if word.isupper() and len(word) > 1 else new
+def name_word(key: bytes, word: str, gender: str) -> str:
+    """The surrogate of a word of a name; gender: f or m of a given name, empty for a family name.
 
+    Words of up to two letters, up to four, and so on are one space each, and have more syllables than shorter ones.
+    """
+    low = word.lower()
+    script = "cyrillic" if low[0] in LETTERS["cyrillic"] else "latin" if all(c in LETTERS["latin"] for c in low) else "marked"
+    letters, (consonants, vowels, endings) = LETTERS[script], SYLLABLES[script]
+    base, size = len(letters) + 1, len(low) + len(low) % 2
+    x = 0
+    for c in low.ljust(size):
+        x = x * base + letters.find(c) + 1
+    y = permuted(key, f"name{gender}{script}{size}", x, base ** (size // 2), base ** (size // 2))
+    each = len(consonants) * len(vowels)
+    out = ""
+    for _ in range(math.ceil(size * math.log(base) / math.log(each) - 1e-9)):
+        y, v = divmod(y, each)
+        out = consonants[v // len(vowels)] + vowels[v % len(vowels)] + out
+    new = (out + endings[gender]).capitalize()
+    return new.upper() if word.isupper() and len(word) > 1 else new
 
-def surrogates(text: str, key: bytes = KEY, digits: bool = True) -> tuple[str, list[tuple[str, int, int]]]:
+
+def surrogates(text: str, key: bytes, digits: bool = True) -> tuple[str, list[tuple[str, int, int]]]:
     """The text with surrogates, and (kind, start, end) of the entities in the text as it was; digits: it may hold numbers."""
     found: list[tuple[int, int, str, str]] = []
     free = bytearray(len(text) + 1)
@@ -151,19 +192,19 @@ def surrogates(text: str, key: bytes = KEY, digits: bool = True) -> tuple[str, l
             free[a:b] = b"\1" * (b - a)
             found.append((a, b, kind, new))
 
-    for kind, pattern, make in NUMBERS:
-        if ("@" in text) if kind == "email" else digits:
+    if "@" in text:
+        for a, b in emails(text):
+            claim("email", a, b, _email(key, text[a:b]))
+    if digits:
+        for kind, pattern, make in NUMBERS:
             for m in pattern.finditer(text):
                 claim(kind, m.start(), m.end(), make(key, m[0]))
     people = [(m.start(3), m.end(3), m[3], "f" if m[1] in _FEMALE else "m") for m in TITLED.finditer(text)]
     people += [(m.start(), m.end(), m[0], _KNOWN[m[0].split()[0]]) for m in NAMED.finditer(text)]
-    if people:
-        names = Names(key, {w.lower() for _, _, name, _ in people for w in name.split()})
-        for a, b, name, gender in people:
-            words = name.split(" ")
-            gender = _KNOWN.get(words[0], gender)
-            new = " ".join(names(w, "given" if k < len(words) - 1 or w in _KNOWN else "family", gender if k < len(words) - 1 or w in _KNOWN else "") for k, w in enumerate(words))
-            claim("name", a, b, new)
+    for a, b, name, gender in people:
+        words = name.split(" ")
+        gender = _KNOWN.get(words[0], gender)
+        claim("name", a, b, " ".join(name_word(key, w, gender if k < len(words) - 1 or w in _KNOWN else "") for k, w in enumerate(words)))
     if not found:
         return text, []
     out, at = [], 0
@@ -173,8 +214,12 @@ def surrogates(text: str, key: bytes = KEY, digits: bool = True) -> tuple[str, l
     return "".join([*out, text[at:]]), [(kind, a, b) for a, b, kind, _ in sorted(found)]
 
 
-def replace_pii(docs: DataFrame, text: str = "text", key: bytes = KEY) -> DataFrame:
-    """docs with surrogates in the text, and entities: array<struct<kind, start, end>> of the text as it was."""
+def replace_pii(docs: DataFrame, key: bytes, text: str = "text") -> DataFrame:
+    """docs with surrogates in the text, and entities: array<struct<kind, start, end>> of the text as it was.
+
+    Who has the key can undo the permutations: keep it secret.
+    """
+    docs = docs.drop("entities")
     fields = docs.schema
 
     def run(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -197,7 +242,7 @@ def op6_pii_surrogates(spark, sf_dir: str) -> DataFrame:
     """doc_id, text with surrogates, n_entities and the entities' places, of all documents."""
     from pyspark.sql import functions as F
 
-    found = replace_pii(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"))
+    found = replace_pii(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"), b"a key for this query")
     return found.select("doc_id", "text", F.size("entities").cast("long").alias("n_entities"), "entities")
 
 

@@ -1,5 +1,6 @@
 import hashlib
 import random
+import time
 
 import pyarrow as pa
 from pyspark.sql import functions as F
@@ -29,21 +30,72 @@ def test_an_edit_changes_a_part(spark):
     assert v[0] == 1 and v[1] > 0.9 and 0.3 < v[2] < 0.8 and v[3] < 0.3
 
 
+def edited(text, later):
+    return text[: len(text) - len(text) // 2] + later[: len(text) // 2]
+
+
+def sha(text):
+    return hashlib.sha256(text.encode()).hexdigest()
+
+
 def test_next_documents(spark):
     rng = random.Random(8)
     rows = [(k * k * 7 - 50_000, f"text {k} " * rng.randrange(1, 9), k) for k in range(300)]
     rng.shuffle(rows)
-    got = {r.doc_id: r.next_text for r in with_next(spark.createDataFrame(rows, "doc_id long, text string, guest int").repartition(7)).collect()}
     order = sorted(rows)
-    assert got == {i: order[(k + 1) % len(order)][1] for k, (i, _, _) in enumerate(order)}
+    want = {i: (sha(edited(t, order[(k + 1) % 300][1])), prints([order[(k + 1) % 300][1]])[0]) for k, (i, t, _) in enumerate(order)}
+    for cast in (lambda i: i, lambda i: f"{i + 100_000:09d}"):
+        docs = spark.createDataFrame([(cast(i), *r) for i, *r in rows], f"doc_id {'string' if cast(1) != 1 else 'long'}, text string, guest int")
+        got = {r.doc_id: (r.edited_sha256, r.next_fingerprint) for r in with_next(docs.repartition(7)).collect()}
+        assert got == {cast(i): w for i, w in want.items()}
 
 
 def test_next_with_nulls_and_repeats(spark):
-    rows = [(None, "n"), (3, "c"), (3, "b"), (1, None), (9, "z")]
-    got = sorted((r.doc_id is not None, r.doc_id or 0, r.text, r.next_text) for r in with_next(spark.createDataFrame(rows, "doc_id long, text string")).collect())
-    assert got == [(False, 0, "n", ""), (True, 1, "", "b"), (True, 3, "b", "c"), (True, 3, "c", "z"), (True, 9, "z", "n")]
-    assert with_next(spark.createDataFrame([(1, "one")], "doc_id long, text string")).collect()[0].next_text == "one"
+    rows = [(None, "none"), (3, "three"), (3, "three"), (1, None), (9, "nine")]
+    got = sorted((r.doc_id or 0, r.n_chars, r.edited_sha256) for r in with_next(spark.createDataFrame(rows, "doc_id long, text string")).collect())
+    want = [(0, "none", ""), (1, "", "three"), (3, "three", "three"), (3, "three", "nine"), (9, "nine", "none")]
+    assert got == sorted((i, len(t), sha(edited(t, n))) for i, t, n in want)
+    assert with_next(spark.createDataFrame([(1, "one")], "doc_id long, text string")).collect()[0].edited_sha256 == sha(edited("one", "one"))
     assert with_next(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+    # one id for all rows
+    docs = spark.range(3000).selectExpr("cast(null as bigint) AS doc_id", "concat('text ', id) AS text")
+    assert with_next(docs).count() == 3000
+
+
+def levenshtein(a, b):
+    row = list(range(len(b) + 1))
+    for i, x in enumerate(a, 1):
+        new = [i]
+        for j, y in enumerate(b, 1):
+            new.append(min(row[j] + 1, new[-1] + 1, row[j - 1] + (x != y)))
+        row = new
+    return row[-1]
+
+
+def test_likeness_is_the_edit_distance_at_common_sizes(spark):
+    rng = random.Random(9)
+    texts = [" ".join(f"w{rng.randrange(50)}" for _ in range(rng.randrange(1, 900))) for _ in range(25)]
+    texts += [t[: len(t) // 2] + " and " + t[len(t) // 2 :] for t in texts[:10]] + [t * 2 for t in texts[:5]]
+    found = prints(texts)
+    pairs = [(a, b) for a in found for b in found]
+
+    def plain(a, b):
+        if a == b:
+            return 1.0
+        (m, *p), (n, *q) = a.split(":"), b.split(":")
+        p, q = {int(m): p[0], 2 * int(m): p[1]}, {int(n): q[0], 2 * int(n): q[1]}
+        return max((1 - levenshtein(p[s], q[s]) / max(len(p[s]), len(q[s]), 1) for s in p.keys() & q.keys()), default=0.0)
+
+    got = spark.createDataFrame(pairs, "a string, b string").select("a", "b", likeness(F.col("a"), F.col("b")).alias("v")).collect()
+    assert all(abs(r.v - plain(r.a, r.b)) < 1e-9 for r in got)
+
+
+def test_repeated_passages_have_short_signatures():
+    began = time.perf_counter()
+    texts = [" " * 1_000_000, "ab " * 333_333, "the same line\n" * 70_000, "x" * 1_000_000, "0123456789abcdef" * 60_000]
+    for t, p in zip(texts, prints(texts)):
+        assert len(p) < 600 and prints([t]) == [p]
+    assert time.perf_counter() - began < 20
 
 
 def test_query(spark, sf_dir):

@@ -109,3 +109,11 @@ def test_passages_of_short_lines_are_found(spark):
     rows = [(k, f"{sentence(rng, 3)}\n{verse}\n{sentence(rng, 3)}") for k in range(3)]
     got = left(spark, rows)
     assert got == all_pairs(rows) and [k for k, t in got.items() if verse in t] == [0]
+
+
+def test_clashing_columns_are_kept(spark):
+    long = sentence(random.Random(8), 30)
+    names = ["_id", "_h", "_gone", "id", "h", "gone", "full", "lines", "words"]
+    docs = spark.createDataFrame([(k, long, *names, 7) for k in (1, 2)], "doc_id long, text string, " + ", ".join(f"{n} string" for n in names) + ", n_lines int")
+    got = {r.doc_id: r for r in line_dedup(docs).collect()}
+    assert all([r[n] for n in names] == names and r.n_lines == 1 for r in got.values()) and [got[1].text, got[2].text] == [long, ""]

@@ -58,7 +58,8 @@ def test_nulls_empty_texts_repeats_and_empty_table(spark):
     got = {(r.doc_id, r.source, r.size): r for r in decide(docs).collect()}
     assert got[1, "a", 0].copies == 0 and got[2, "a", 0].copies == 0 and got[4, "a", 2].rows == 2
     out = mix(docs.withColumn("copies", docs.doc_id)).collect()
-    assert len(out) == sum(r.copies * r.rows for r in got.values())
+    assert len(out) == sum(r.copies for r in decide(docs).collect())
+    assert {r.copies for r in out} <= {1, 2, 3, 4, 5, None}
     assert decide(docs.limit(0)).count() == 0
 
 
@@ -68,3 +69,21 @@ def test_query_holds_every_document(spark, sf_dir):
     assert len(got) == len(docs)
     for r in got:
         assert r.size == len(re.findall(r"[^\x20\x09-\x0D]+", docs[r.doc_id].text or "")) and r.taken <= 3 * r.size and (r.size == 0 or r.taken % r.size == 0)
+
+
+def test_rows_without_an_id_are_rows_of_their_own(spark):
+    rows = [(None, "w " * 10, "a")] * 1000 + [(k, "w " * 10, "b") for k in range(1000)]
+    got = run(spark, rows)
+    assert len(got) == 2000
+    for s in "ab":
+        words = sum(r.copies * r.size for r in got if r.source == s)
+        assert abs(words - next(r.target for r in got if r.source == s)) <= 5
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    assert mix(docs).where("source = 'a'").count() == sum(r.copies for r in got if r.source == "a")
+
+
+def test_clashing_columns_are_kept(spark):
+    names = ["_id", "_copies", "_size", "_words", "_copy", "full", "copies", "rows", "h", "own_id", "nth", "size"]
+    docs = spark.createDataFrame([(k, "a b c", "s", *names) for k in range(5)], "doc_id long, text string, source string, " + ", ".join(f"{n} string" for n in names))
+    out = mix(docs).collect()
+    assert len(out) == 5 and all([r[n] for n in names] == names and r.text == "a b c" for r in out)
