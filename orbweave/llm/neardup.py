@@ -8,7 +8,7 @@
    group of edited copies. Components formed from the links found so far then say which members of a bucket are still apart. For these an exact filter takes the place of
    pairs. Let L lead x and y, and let x lack d shingles for a link with L. What x and y share of L's shingles is at most
    what x and L share, so a link of x and y needs d + t (|y| - |L|) shingles that both have and L has not, t being
-   s / (1 + s) for a similarity of s. Members meet on such added shingles only, x with its rarest ones (prefix
+   s / (1 + s) for a similarity of s. Members meet on such added shingles only, both with their rarest ones (prefix
    filter); where the bound is not positive, for a y smaller than L, they meet by sizes.
 3. Candidates with sizes and sketches (within six standard deviations) that allow the similarity are confirmed on
    their full shingle sets, made anew from the two texts.
@@ -17,7 +17,8 @@
 With 4 rows and 24 bands a pair at 0.85 is missed with probability 2e-8.
 
 Defined results: a null text and one without words has an empty set and no links; a null id has no component and is
-kept; rows with equal ids and different texts are documents of their own; repeated rows are copies; extra columns are ignored; an empty table gives no rows.
+kept; rows with equal ids and different texts are documents of their own, each with its component; repeated rows are
+copies; ids of any type that has an order will do; extra columns are ignored; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -148,7 +149,7 @@ def added(width: int):
 def _rest(open_: DataFrame, texts: DataFrame, width: int, percent: int) -> tuple[DataFrame, DataFrame]:
     """Candidate pairs (a, b) among members of open buckets (see 2), and links with leaders that came out on the way."""
     plausible = _plausible(percent)
-    kind = open_.select("id").schema["id"].dataType.simpleString()
+    kind = "bigint"
     lead = checkpointed(open_.groupBy("band", "key").agg(F.min(F.struct((-F.col("mass")).alias("m"), "id", "n")).alias("l")))
     family = checkpointed(open_.join(lead, ["band", "key"]).where("id != l.id").select(F.col("l.id").alias("lead"), F.col("l.n").alias("lead_n"), "id", "n", "comp", "s1", "s2").distinct())
     one, two = texts.select(F.col("id").alias("lead"), F.col("z").alias("z_a")), texts.select("id", F.col("z").alias("z_b"))
@@ -165,9 +166,11 @@ def _rest(open_: DataFrame, texts: DataFrame, width: int, percent: int) -> tuple
     apart = (F.col("m_comp") != F.col("l_comp")) & plausible("m_", "l_")
     pair = lambda df: df.select(F.least("m_id", "l_id").alias("a"), F.greatest("m_id", "l_id").alias("b"))
     floor = F.greatest(F.lit(1), F.ceil(F.col("short") - 1e-6 + t * (F.greatest(F.col("least_n"), F.ceil(F.col("n") * percent / 100)) - F.col("lead_n"))))
-    rare = items.where("not linked").groupBy(*own).agg(F.array_sort(F.collect_list(F.struct("c", "item"))).alias("x")).where(F.size("x") >= floor)
-    rare = rare.withColumn("item", F.explode(F.slice("x.item", F.lit(1), (F.size("x") - floor + 1).cast("int"))))
-    meet = side(rare, "m_", ["item"]).join(side(items, "l_", ["item"]).drop("lead_n"), ["lead", "item"]).where(apart)
+    rare = items.groupBy(*own).agg(F.array_sort(F.collect_list(F.struct("c", "item"))).alias("x")).where(F.size("x") >= floor)
+    rare = checkpointed(rare.withColumn("item", F.explode(F.slice("x.item", F.lit(1), (F.size("x") - floor + 1).cast("int")))).drop("x"))
+    # a pair of open members meets once
+    once = F.col("l_linked") | (F.col("m_id") < F.col("l_id"))
+    meet = side(rare.where("not linked"), "m_", ["item"]).join(side(rare, "l_", ["item", F.col("linked").alias("l_linked")]).drop("lead_n"), ["lead", "item"]).where(once & apart)
     # an y that is smaller than L, where the bound allows a link without any added shingle
     bound = lambda p, q: F.col(f"{p}short") <= t * (F.col("lead_n") - F.col(f"{q}n")) + 1e-6
     small = side(family.where("n < lead_n"), "l_").drop("lead_n")
@@ -197,21 +200,23 @@ def _plausible(percent: int):
 
 def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", width: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
     """For each row: doc_id, n_shingles, component_id (the smallest id reachable, itself included), kept."""
-    schema = docs.select(F.col(doc_id).alias("id")).schema
-    kind = schema["id"].dataType.simpleString()
-    base = docs.select(F.col(doc_id).alias("id"), F.col(text).alias("text"))
-    all_ = checkpointed(base.mapInArrow(records(width, "text", ["id"]), f"id {kind}, {RECORD}"))
+    kind = docs.select(F.col(doc_id).alias("id")).schema["id"].dataType.simpleString()
+    base = docs.select(F.col(doc_id).alias("id"), F.xxhash64(text).alias("th"), F.col(text).alias("text"))
+    all_ = checkpointed(base.mapInArrow(records(width, "text", ["id", "th"]), f"id {kind}, th bigint, {RECORD}"))
     named = all_.where("id is not null and n_shingles > 0")
-    # equal sets: one class by its smallest id
-    classes = checkpointed(named.groupBy("h1", "h2", F.col("n_shingles").alias("n")).agg(F.min(F.struct("id", "keys", "s1", "s2")).alias("x")).select("h1", "h2", "n", "x.*"))
+    # equal sets: one class, which stands for its row with the smallest id and goes on by a number
+    found = named.groupBy("h1", "h2", F.col("n_shingles").alias("n")).agg(F.min(F.struct("id", "th", "keys", "s1", "s2")).alias("x"))
+    named_classes = checkpointed(found.select("h1", "h2", "n", F.col("x.id").alias("name"), "x.th", "x.keys", "x.s1", "x.s2", F.monotonically_increasing_id().alias("id")))
+    classes = named_classes.select("id", "n", "keys", "s1", "s2")
     banded = classes.select("id", "n", "s1", "s2", F.posexplode("keys").alias("band", "key"))
     shared = banded.groupBy("band", "key").agg(F.count("*").alias("members")).where("members > 1")
     met = banded.join(checkpointed(shared), ["band", "key"])
     mass = met.groupBy("id").agg(F.sum("members").alias("mass"))
     members = checkpointed(met.drop("members").join(checkpointed(mass), "id"))
     # the texts that any candidate can need, compressed, once for all rounds
-    wanted = small_side(checkpointed(members.select("id").distinct()), WANTED_ROWS)
-    texts = checkpointed(base.join(wanted, "id", "left_semi").mapInArrow(packed, f"id {kind}, z binary"))
+    wanted = small_side(checkpointed(named_classes.select("id", "name", "th").join(members.select("id").distinct(), "id")).select(F.col("id").alias("number"), "name", F.col("th").alias("name_th")), WANTED_ROWS)
+    named_texts = base.join(wanted, (F.col("id") == F.col("name")) & (F.col("th") == F.col("name_th"))).select(F.col("number").alias("id"), "text")
+    texts = checkpointed(named_texts.mapInArrow(packed, "id bigint, z binary").groupBy("id").agg(F.first("z").alias("z")))
     plausible = _plausible(percent)
 
     def side(table: DataFrame, p: str) -> DataFrame:
@@ -228,9 +233,12 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     more = checkpointed(more.unionByName(_confirmed(checkpointed(pairs), texts, width, percent)))
     if not more.isEmpty():
         comps = connected_components(comps.where("node != component").select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(more))
-    by_class = classes.select("h1", "h2", F.col("n").alias("n_shingles"), F.col("id").alias("class")).join(comps, F.col("class") == F.col("node"), "left").select("h1", "h2", "n_shingles", F.coalesce("component", "class").alias("component"))
-    found = all_.drop("keys", "s1", "s2").join(by_class, ["h1", "h2", "n_shingles"], "left").withColumn("component", F.when(F.col("id").isNotNull(), F.coalesce("component", "id")))
-    return found.select(F.col("id").alias("doc_id"), "n_shingles", F.col("component").alias("component_id"), F.coalesce(F.col("id") == F.col("component"), F.lit(True)).alias("kept"))
+    linked = checkpointed(named_classes.select("h1", "h2", "n", "name", "id").join(comps, F.col("id") == F.col("node")).select("h1", "h2", F.col("n").alias("n_shingles"), "name", "component"))
+    smallest = linked.groupBy("component").agg(F.min("name").alias("smallest"))
+    alone = named_classes.select("h1", "h2", F.col("n").alias("n_shingles"), "name", "id").join(comps, F.col("id") == F.col("node"), "left_anti").select("h1", "h2", "n_shingles", F.col("name").alias("smallest"))
+    by_class = linked.join(smallest, "component").select("h1", "h2", "n_shingles", "smallest").unionByName(alone)
+    out = all_.select("id", "n_shingles", "h1", "h2").join(by_class, ["h1", "h2", "n_shingles"], "left").withColumn("component", F.when(F.col("id").isNotNull(), F.coalesce("smallest", "id")))
+    return out.select(F.col("id").alias("doc_id"), "n_shingles", F.col("component").alias("component_id"), F.coalesce(F.col("id") == F.col("component"), F.lit(True)).alias("kept"))
 
 
 def op8_minhash_near_dedup(spark, sf_dir: str) -> DataFrame:
