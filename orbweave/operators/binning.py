@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from orbweave.operators.ranges import numbered
+
 #: Lower edges of the octave bands in kHz; the last one is open above. Fixed values.
 OCTAVES = {"mouse": (0.0, 2.0, 4.0, 8.0, 16.0, 32.0, 64.0), "gerbil": (0.0, 0.5, 1.0, 2.0, 4.0, 8.0, 16.0, 32.0)}
 
@@ -88,6 +90,6 @@ def otsu(table: DataFrame, value: str, bins: int = 256) -> DataFrame:
 
 def largest_gaps(table: DataFrame, value: str, n: int) -> DataFrame:
     """The n widest gaps between neighbouring distinct values."""
-    d = table.select(F.col(value).alias("low")).where("low is not null").distinct()
-    gaps = d.withColumn("high", F.lead("low").over(Window.orderBy("low"))).where("high is not null")
+    d = numbered(table.select(F.col(value).alias("low")).where("low is not null").distinct(), ["low"], "place")
+    gaps = d.join(d.select((F.col("place") - 1).alias("place"), F.col("low").alias("high")), "place").select("low", "high")
     return gaps.withColumn("gap", F.col("high") - F.col("low")).orderBy(F.desc("gap"), "low").limit(n)

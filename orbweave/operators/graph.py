@@ -2,22 +2,13 @@
 
 from __future__ import annotations
 
-import tempfile
-
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from orbweave.operators.ranges import checkpointed, numbered
 from orbweave.operators.spatial import XYZ, radius_join
 
 
-def checkpointed(df: DataFrame) -> DataFrame:
-    """df written to the shared folder in spark.checkpoint.dir (a folder of its own where that is unset)."""
-    context = df.sparkSession.sparkContext
-    if context.getCheckpointDir() is None:
-        context.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="orbweave-checkpoint-"))
-    return df.checkpoint(eager=True)
-
-
 def components(edges: DataFrame) -> DataFrame:
     """From edges (a, b): node, component (its smallest node).
 
@@ -45,7 +36,7 @@ def radius_components(objects: DataFrame, distance: float, least: int = 1, key:
     found = components(edges)
     named = objects.select(key).join(found, F.col(key) == F.col("node"), "left").select(key, F.coalesce("component", key).alias("component"))
     sizes = named.groupBy("component").agg(F.count("*").alias("n")).where(F.col("n") >= least)
-    ranks = sizes.select("component", F.row_number().over(Window.orderBy(F.desc("n"), "component")).cast("long").alias("rank"))
+    ranks = numbered(sizes.select("component", (-F.col("n")).alias("size")), ["size", "component"], "rank").select("component", "rank")
     return named.join(ranks, "component", "left").select(key, F.coalesce("rank", F.lit(0)).cast("long").alias("component_labels"))
 
 
@@ -62,6 +53,8 @@ def label_custom(objects: DataFrame, runs: list[dict], min_size: int, forced: li
     for r in runs:
         part = label_components(objects, r["min_size"], r["distance"], r["least"]).where(F.col("component_labels").isin(*r["components"])).select("label_id")
         chosen = part if chosen is None else chosen.unionByName(part)
+    if chosen is None:
+        chosen = objects.select("label_id").limit(0)
     table = objects.drop("component_labels").join(chosen.distinct().withColumn("_in", F.lit(True)), "label_id", "left")
     inside = (F.col("_in") & (F.col("n_pixels") >= min_size)) | F.col("label_id").isin(*forced)
     return table.withColumn("component_labels", F.when(F.coalesce(inside, F.lit(False)), 1).otherwise(0).cast("long")).drop("_in")
@@ -70,4 +63,4 @@ def label_custom(objects: DataFrame, runs: list[dict], min_size: int, forced: li
 def filter_by_statistic(objects: DataFrame, statistic: DataFrame, column: str, threshold: float, min_size: int, key: str = "label_id") -> DataFrame:
     """Drops objects of min_size pixels or fewer, and those whose statistic is over the threshold; numbers the others anew."""
     kept = objects.where(F.col("n_pixels") > min_size).join(statistic.where(F.col(column) > threshold).select(key), key, "left_anti")
-    return kept.withColumn("new_label", F.row_number().over(Window.orderBy(key)).cast("long"))
+    return numbered(kept, [key], "new_label")

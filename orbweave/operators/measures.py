@@ -12,13 +12,15 @@ PERCENTILES = (5, 10, 25, 75, 90, 95)
 def intensity_aggregates(value: str, digits: int | None = None) -> list[Column]:
     """median, mean, stdev (population), min, max and the percentiles (linear interpolation) of a column."""
     v = F.col(value)
+    # one aggregate for all of them, so that a label's values are held once
+    at = F.percentile(v, F.array(F.lit(0.5), *[F.lit(p / 100) for p in PERCENTILES]))
     out = {
-        "median": F.percentile(v, F.lit(0.5)),
+        "median": F.get(at, F.lit(0)),
         "mean": F.avg(v),
         "stdev": F.stddev_pop(v),
         "min": F.min(v),
         "max": F.max(v),
-    } | {f"percentile_{p}": F.percentile(v, F.lit(p / 100)) for p in PERCENTILES}
+    } | {f"percentile_{p}": F.get(at, F.lit(k + 1)) for k, p in enumerate(PERCENTILES)}
     # ties go up, and a bit below them already: a mean can be a tie but for the order of its sum
     return [(c if digits is None else F.bround(c + 10.0 ** -(digits + 3), digits)).alias(name) for name, c in out.items()]
 

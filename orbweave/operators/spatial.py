@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from orbweave.operators.ranges import checkpointed
+
 XYZ = ("anchor_x", "anchor_y", "anchor_z")
 
 
@@ -15,7 +17,7 @@ def distance(a: list[Column], b: list[Column]) -> Column:
 def radius_join(left: DataFrame, right: DataFrame, radius: float, key: str = "label_id", right_key: str | None = None, places: tuple[str, ...] = XYZ, strict: bool = False) -> DataFrame:
     """Pairs (a, b, distance) of rows within the radius.
 
-    Cells have the radius as edge; one side is put into its cell and the 26 around it, the other into its own, so a
+    Cells have the radius as edge; the left side is put into its cell and the 26 around it, the right one into its own, so a
     pair meets once in an equi-join, and the distance is tested exactly. A crowded cell is split by the join (AQE).
     """
     right_key = right_key or key
@@ -23,7 +25,7 @@ def radius_join(left: DataFrame, right: DataFrame, radius: float, key: str = "la
     a = left.select(F.col(key).alias("a"), *[F.col(c).alias(f"a{k}") for k, c in enumerate(places)], *[cell(c).alias(f"g{k}") for k, c in enumerate(places)])
     b = right.select(F.col(right_key).alias("b"), *[F.col(c).alias(f"b{k}") for k, c in enumerate(places)], *[cell(c).alias(f"g{k}") for k, c in enumerate(places)])
     for k in range(len(places)):
-        b = b.withColumn(f"g{k}", F.explode(F.array(*[F.col(f"g{k}") + s for s in (-1, 0, 1)])))
+        a = a.withColumn(f"g{k}", F.explode(F.array(*[F.col(f"g{k}") + s for s in (-1, 0, 1)])))
     d = distance([F.col(f"a{k}") for k in range(len(places))], [F.col(f"b{k}") for k in range(len(places))])
     pairs = a.join(b, [f"g{k}" for k in range(len(places))]).select("a", "b", d.alias("distance"))
     return pairs.where(F.col("distance") < radius if strict else F.col("distance") <= radius)
@@ -42,48 +44,62 @@ def local_ripleys_k(table: DataFrame, radius: float, volume: float, key: str = "
     return near.select(key, (F.col("neighbors") / (total / volume)).alias("ripley"))
 
 
+def _placed(table: DataFrame, places: tuple[str, ...]) -> Column:
+    test = F.lit(True)
+    for c in places:
+        test = test & F.col(c).isNotNull() & ~F.isnan(F.col(c).cast("double"))
+    return test
+
+
 def nearest_neighbors(table: DataFrame, k: int, radius: float, key: str = "label_id", places: tuple[str, ...] = XYZ) -> DataFrame:
-    """Mean distance of each row to its k nearest others, exactly.
+    """Mean distance of each row to its k nearest others, exactly; rows without a place, and a lone row, have none.
 
-    Rows with k others within the radius are done; for the rest the radius doubles, until all are or have seen all.
+    Rows with k others within the radius are done; for the rest, which are fewer each time, the radius doubles, until
+    all are or have seen all. Rounds go through checkpoints.
     """
+    table = table.where(_placed(table, places))
     total = table.count()
     out, todo = None, table
     while True:
         pairs = radius_join(todo, table, radius, key, places=places).where("a != b")
         ranked = pairs.withColumn("n", F.row_number().over(Window.partitionBy("a").orderBy("distance", "b"))).where(F.col("n") <= k)
-        found = ranked.groupBy(F.col("a").alias(key)).agg(F.avg("distance").alias(f"distance_nn{k}"), F.count("*").alias("_n")).where(F.col("_n") >= min(k, total - 1)).drop("_n")
+        found = checkpointed(ranked.groupBy(F.col("a").alias(key)).agg(F.avg("distance").alias(f"distance_nn{k}"), F.count("*").alias("_n")).where(F.col("_n") >= min(k, total - 1)).drop("_n"))
         out = found if out is None else out.unionByName(found)
-        todo = todo.join(found.select(key), key, "left_anti")
+        todo = checkpointed(todo.join(found.select(key), key, "left_anti"))
         if total <= 1 or todo.isEmpty():
             return out
         radius *= 2
 
 
-def nearest_node(points: DataFrame, nodes: DataFrame, key: str = "label_id", node_key: str = "node_idx", places: tuple[str, ...] = XYZ, node_places: tuple[str, ...] = ("x", "y", "z"), most: int = 20_000) -> DataFrame:
-    """For each point its nearest node (the first among equals) and the distance.
+def nearest_node(points: DataFrame, nodes: DataFrame, key: str = "label_id", node_key: str = "node_idx", places: tuple[str, ...] = XYZ, node_places: tuple[str, ...] = ("x", "y", "z"), most: int = 500, radius: float = 10.0) -> DataFrame:
+    """For each point its nearest node (the first among equals) and the distance; nulls where it has no place or there is no node.
 
-    A path of up to `most` nodes (by count) travels as one array with the points, and no pair becomes a row. A longer
-    one is thinned to a grid join: the radius doubles until every point has a node.
+    A short path, of up to `most` nodes (by count), travels as one array with the points. A longer one meets the points
+    in grid cells: the radius doubles for points that have no node yet. Both give the same rows. Nodes without a place
+    are none.
     """
-    if nodes.count() <= most:
+    nodes = nodes.where(_placed(nodes, node_places))
+    number = nodes.count()
+    if number <= most:
         path = nodes.agg(F.array_sort(F.collect_list(F.struct(F.col(node_key).alias("node"), *[F.col(c).cast("double").alias(f"n{k}") for k, c in enumerate(node_places)])))).scalar()
         gap = lambda n: distance([F.col(c) for c in places], [n[f"n{k}"] for k in range(len(node_places))])
-        best = F.array_min(F.transform("_path", lambda n: F.struct(gap(n).alias("distance"), n["node"].alias("node"))))
+        best = F.when(_placed(points, places), F.array_min(F.transform("_path", lambda n: F.struct(gap(n).alias("distance"), n["node"].alias("node")))))
         return points.withColumn("_path", path).withColumn("_best", best).drop("_path").select("*", F.col("_best.node").alias("node"), F.col("_best.distance").alias("node_distance")).drop("_best")
-    radius, todo, out = 10.0, points, None
-    renamed = nodes.select(F.col(node_key).alias("_node"), *[F.col(c).cast("double").alias(p) for c, p in zip(node_places, places, strict=True)])
+    renamed = checkpointed(nodes.select(F.col(node_key).alias("_node"), *[F.col(c).cast("double").alias(p) for c, p in zip(node_places, places, strict=True)]))
+    todo = checkpointed(points.where(_placed(points, places)).select(key, *places).distinct())
+    found = None
     while not todo.isEmpty():
-        near = radius_join(todo, renamed, radius, key, "_node", places).groupBy(F.col("a").alias(key)).agg(F.min(F.struct("distance", F.col("b").alias("node"))).alias("x"))
-        found = todo.join(near, key).select(*todo.columns, F.col("x.node").alias("node"), F.col("x.distance").alias("node_distance"))
-        out = found if out is None else out.unionByName(found)
-        todo, radius = todo.join(near.select(key), key, "left_anti"), radius * 2
-    return out if out is not None else points.withColumns({"node": F.lit(None).cast("long"), "node_distance": F.lit(None).cast("double")})
+        near = checkpointed(radius_join(todo, renamed, radius, key, "_node", places).groupBy(F.col("a").alias(key)).agg(F.min(F.struct("distance", F.col("b").alias("node"))).alias("x")))
+        found = near if found is None else found.unionByName(near)
+        todo, radius = checkpointed(todo.join(near.select(key), key, "left_anti")), radius * 2
+    if found is None:
+        return points.withColumns({"node": F.lit(None).cast(nodes.schema[node_key].dataType), "node_distance": F.lit(None).cast("double")})
+    return points.join(found, key, "left").select(*points.columns, F.col("x.node").alias("node"), F.col("x.distance").alias("node_distance"))
 
 
 def mutual_nearest(a: DataFrame, b: DataFrame, radius: float, key: str = "label_id", places: tuple[str, ...] = XYZ) -> DataFrame:
     """Pairs within the radius of which each is the other's nearest (the smaller key among equals)."""
-    pairs = radius_join(a, b, radius, key, places=places)
+    pairs = checkpointed(radius_join(a, b, radius, key, places=places))
     best = lambda x, y: pairs.groupBy(x).agg(F.min(F.struct("distance", F.col(y).alias(y))).alias("m")).select(x, F.col(f"m.{y}").alias(y), F.col("m.distance").alias("distance"))
     return best("a", "b").join(best("b", "a").select("a", "b"), ["a", "b"])
 

@@ -7,6 +7,9 @@ from collections.abc import Iterable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from orbweave.operators.ranges import numbered
+from orbweave.operators.spatial import nearest_node
+
 
 def add_volume(objects: DataFrame, voxel: tuple[float, float, float], name: str = "volume") -> DataFrame:
     """n_pixels times the voxel's volume, where the column is missing."""
@@ -58,26 +61,23 @@ def main_table(objects: DataFrame, components: Iterable[int], measures: dict[str
 
 
 def nearest_rows(table: DataFrame, values: DataFrame, column: str, order: str = "label_id") -> DataFrame:
-    """For each row of values (value): the row of table nearest in column, the first by order among equals.
+    """For each distinct row of values (value): the row of table nearest in column, the first by order among equals.
 
-    values is a handful of rows: one aggregate for each, side by side in one scan, no cross join.
+    Both sides meet in cells of the column's range, which widen for values that have no row near; a null value, and a
+    row without the column, meets nothing.
     """
-    wanted = [r[0] for r in values.distinct().collect()]
-    row = F.struct(*[F.col(c) for c in table.columns])
-    aggregates = [F.min(F.struct(F.abs(F.col(column) - v).alias("gap"), F.col(order).alias("first"), row.alias("row"))).alias(f"v{k}") for k, v in enumerate(wanted)]
-    if not wanted:
-        return table.limit(0).withColumn("value", F.lit(None).cast("double"))
-    one = table.where(F.col(column).isNotNull()).agg(*aggregates)
-    each = one.select(F.explode(F.array(*[F.struct(F.lit(float(v)).alias("value"), F.col(f"v{k}.row").alias("row")) for k, v in enumerate(wanted)])).alias("x"))
-    return each.where("x.row is not null").select("x.value", "x.row.*")
+    wanted = values.select(F.col("value").cast("double")).where("value is not null").distinct()
+    nodes = table.where(F.col(column).isNotNull())
+    low, high, n = nodes.agg(F.min(column).cast("double"), F.max(column).cast("double"), F.count("*")).first()
+    if not n:
+        return table.limit(0).select(F.lit(None).cast("double").alias("value"), "*")
+    near = nearest_node(wanted, nodes, "value", order, ("value",), (column,), most=0, radius=max((high - low) / n, 1e-12)).select("value", F.col("node").alias(order))
+    return near.join(nodes, order).select("value", *table.columns)
 
 
 def relabel(table: DataFrame, key: str, name: str = "new_label") -> DataFrame:
-    """Numbers 1..n in order of a key of few values (labels of a volume)."""
-    from pyspark.sql import Window
-
-    keys = table.select(key).distinct().withColumn(name, F.row_number().over(Window.orderBy(key)).cast("long"))
-    return table.join(keys, key)
+    """Numbers 1..n in order of a key (labels of a volume). Rows without a key go."""
+    return table.join(numbered(table.select(key).where(F.col(key).isNotNull()).distinct(), [key], name), key)
 
 
 def mark_members(table: DataFrame, ids: DataFrame, name: str, key: str = "label_id") -> DataFrame:

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from orbweave.operators import ranges
+
 ZYX = ("z", "y", "x")
 
 
@@ -164,4 +166,4 @@ def nearest_marker(voxels: DataFrame, markers: DataFrame, reach: int) -> DataFra
 
 def numbered(rows: DataFrame, order: list[str], name: str = "spot_id") -> DataFrame:
     """1..n in an order of a table of spots."""
-    return rows.withColumn(name, F.row_number().over(Window.orderBy(*order)).cast("long"))
+    return ranges.numbered(rows, order, name)

@@ -65,13 +65,11 @@ def every_path(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def path(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The paths of five users, which PATH has too."""
-    return every_path(spark, sf_dir).where("dataset < 5")
+path = every_path
 
 
 PATH = """path AS (SELECT user_id AS dataset, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1 AS node_idx,
-  (event_id % 97)::DOUBLE AS x, value AS y, (event_id % 13)::DOUBLE AS z FROM events WHERE user_id < 5)"""
+  (event_id % 97)::DOUBLE AS x, value AS y, (event_id % 13)::DOUBLE AS z FROM events)"""
 
 
 def cells(spark: SparkSession, sf_dir: str) -> DataFrame:

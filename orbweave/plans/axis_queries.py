@@ -21,11 +21,11 @@ def query(name: str, sql: str):
 
 
 def path_query(name: str, sql: str):
-    """The query on the paths that its SQL has, and as name_all on every path, without SQL."""
+    """The query on every path, also as name_all."""
 
     def keep(f):
         query(name, sql)(lambda s, d: f(path(s, d)))
-        Q[f"{name}_all"] = lambda s, d: f(every_path(s, d))
+        query(f"{name}_all", sql)(lambda s, d: f(every_path(s, d)))
         return f
 
     return keep

@@ -184,18 +184,17 @@ def _(s, d):
     return A.find_annotations(e)
 
 
-_CROPC = "cr AS (SELECT label_id AS crop, anchor_x AS center_x, anchor_y AS center_y, anchor_z AS center_z FROM objects WHERE label_id % 25 = 0)"
+_CROPC = "cr AS (SELECT label_id AS crop, anchor_x AS center_x, anchor_y AS center_y, anchor_z AS center_z FROM objects)"
 _OFF = "greatest(" + ", ".join(f"abs(o.anchor_{c} - cr.center_{c})" for c in "xyz") + ")"
 
 
 @query("crop_fractions", with_(OBJECTS, _CROPC) + f"SELECT crop, round_even(coalesce(avg(length_fraction) FILTER ({_OFF} < 2), avg(length_fraction) FILTER ({_OFF} < 4), avg(length_fraction) FILTER ({_OFF} < 8)), 6) AS fraction, 2.0::DOUBLE AS halo FROM cr, objects o WHERE {_OFF} < 8 GROUP BY 1")
 def _(s, d):
-    return _fractions(objects(s, d), F.col("label_id") % 25 == 0)
+    return _fractions(objects(s, d), F.lit(True))
 
 
-@query("crop_fractions_all", None)
+@query("crop_fractions_all", SQL["crop_fractions"])
 def _(s, d):
-    """A crop around each object; test_whole_tables has its comparison."""
     return _fractions(objects(s, d), F.lit(True))
 
 

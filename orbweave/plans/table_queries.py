@@ -124,17 +124,16 @@ def _(s, d):
 
 
 _PAIRS = "SELECT a.label_id AS a, b.label_id AS b FROM boxes a, boxes b WHERE a.label_id < b.label_id AND " + " AND ".join(f"a.bb_min_{c} < b.bb_max_{c} AND b.bb_min_{c} < a.bb_max_{c}" for c in "xyz")
-_BOXES = "boxes AS (SELECT * FROM objects WHERE component_labels < 5)"
+_BOXES = "boxes AS (SELECT * FROM objects)"
 
 
 @query("overlapping_crops", with_(OBJECTS, _BOXES) + _PAIRS)
 def _(s, d):
-    return T.overlapping_boxes(objects(s, d).where("component_labels < 5"), 10.0)
+    return T.overlapping_boxes(objects(s, d), 10.0)
 
 
-@query("overlapping_crops_all", None)
+@query("overlapping_crops_all", SQL["overlapping_crops"])
 def _(s, d):
-    """Of all objects; test_whole_tables has its comparison."""
     return T.overlapping_boxes(objects(s, d), 10.0)
 
 
