@@ -26,11 +26,12 @@ def numbered(rows: DataFrame, order: list[str], name: str) -> DataFrame:
     Rows are dealt to ranges and sorted there; the driver sees one count for each task, and the counts of the ranges
     before are added to the places within a range.
     """
-    columns = rows.columns
-    dealt = checkpointed(rows.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_at", F.monotonically_increasing_id()))
-    part = F.shiftright("_at", 33)
-    sizes = sorted(dealt.groupBy(part.alias("_part")).count().collect())
+    full = rows.select(F.struct(*[F.col(f"`{c}`") for c in rows.columns]).alias("full"))
+    key = [F.col(f"full.`{c}`") for c in order]
+    dealt = checkpointed(full.repartitionByRange(*key).sortWithinPartitions(*key).withColumn("at", F.monotonically_increasing_id()))
+    part = F.shiftright("at", 33)
+    sizes = sorted(dealt.groupBy(part.alias("part")).count().collect())
     before = list(zip([p for p, _ in sizes], accumulate([n for _, n in sizes], initial=0), strict=False))
-    starts = rows.sparkSession.createDataFrame(before, "_part long, _before long")
-    place = F.col("_before") + (F.col("_at") - F.shiftleft("_part", 33)) + 1
-    return dealt.withColumn("_part", part).join(F.broadcast(starts), "_part").select(*[F.col(f"`{c}`") for c in columns], place.cast("long").alias(name))
+    starts = rows.sparkSession.createDataFrame(before, "part long, before long")
+    place = F.col("before") + (F.col("at") - F.shiftleft("part", 33)) + 1
+    return dealt.withColumn("part", part).join(F.broadcast(starts), "part").select("full.*", place.cast("long").alias(name))
