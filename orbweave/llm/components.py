@@ -8,18 +8,22 @@ from pyspark.sql import functions as F
 from orbweave.llm.storage import checkpointed
 
 
-def _large_star(edges: DataFrame) -> DataFrame:
+#: Links of a partition, at least: a small table goes on in few files, a large one in as many as the shuffle has.
+LINKS = 100_000
+
+
+def _large_star(edges: DataFrame, parts: int) -> DataFrame:
     """Each node links its larger neighbours to the smallest node around it (itself included)."""
     both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    least = both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("u"), F.least("a", "m").alias("m"))
-    return both.join(least, F.col("a") == F.col("u")).where("b > a and b != m").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
+    least = both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("u"), F.least("a", "m").alias("m")).coalesce(parts)
+    return both.join(least, F.col("a") == F.col("u")).where("b > a and b != m").select(F.col("b").alias("a"), F.col("m").alias("b")).coalesce(parts).distinct().coalesce(parts)
 
 
-def _small_star(edges: DataFrame) -> DataFrame:
+def _small_star(edges: DataFrame, parts: int) -> DataFrame:
     """Each node links itself and its smaller neighbours to the smallest of them."""
-    least = edges.groupBy("a").agg(F.min("b").alias("m"))
+    least = edges.groupBy("a").agg(F.min("b").alias("m")).coalesce(parts)
     moved = edges.join(least.withColumnRenamed("a", "u"), F.col("a") == F.col("u")).where("b != m").select(F.col("b").alias("a"), F.col("m").alias("b"))
-    return moved.unionByName(least.withColumnRenamed("m", "b")).distinct()
+    return moved.unionByName(least.withColumnRenamed("m", "b")).coalesce(parts).distinct().coalesce(parts)
 
 
 def connected_components(links: DataFrame) -> DataFrame:
@@ -35,5 +39,6 @@ def connected_components(links: DataFrame) -> DataFrame:
         if state[0] == 0 or tuple(state) == mark:
             break
         mark = tuple(state)
-        edges = checkpointed(_small_star(_large_star(edges)))
+        parts = max(1, state[0] // LINKS)
+        edges = checkpointed(_small_star(_large_star(edges.coalesce(parts), parts), parts))
     return edges.select(F.col("a").alias("node"), F.col("b").alias("component")).unionByName(edges.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct())

@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 
 from orbweave.llm import batches
 from orbweave.llm.components import connected_components
-from orbweave.llm.storage import checkpointed, small_side
+from orbweave.llm.storage import checkpointed, compact, small_side
 
 BANDS, ROWS, SKETCH = 24, 4, 128
 #: Words in a shingle and least similarity in hundredths, where nothing else is asked for.
@@ -150,24 +150,24 @@ def _rest(open_: DataFrame, texts: DataFrame, width: int, percent: int) -> tuple
     """Candidate pairs (a, b) among members of open buckets (see 2), and links with leaders that came out on the way."""
     plausible = _plausible(percent)
     kind = "bigint"
-    lead = checkpointed(open_.groupBy("band", "key").agg(F.min(F.struct((-F.col("mass")).alias("m"), "id", "n")).alias("l")))
-    family = checkpointed(open_.join(lead, ["band", "key"]).where("id != l.id").select(F.col("l.id").alias("lead"), F.col("l.n").alias("lead_n"), "id", "n", "comp", "s1", "s2").distinct())
+    lead = compact(open_.groupBy("band", "key").agg(F.min(F.struct((-F.col("mass")).alias("m"), "id", "n")).alias("l")))
+    family = compact(open_.join(lead, ["band", "key"]).where("id != l.id").select(F.col("l.id").alias("lead"), F.col("l.n").alias("lead_n"), "id", "n", "comp", "s1", "s2").distinct())
     one, two = texts.select(F.col("id").alias("lead"), F.col("z").alias("z_a")), texts.select("id", F.col("z").alias("z_b"))
     delta = family.select("lead", "id").join(two, "id").join(one, "lead").select("lead", "id", "z_a", "z_b").mapInArrow(added(width), f"lead {kind}, id {kind}, common bigint, added array<bigint>")
     t = percent / (100 + percent)
-    least = checkpointed(family.groupBy("lead").agg(F.min("n").alias("least_n")))
+    least = compact(family.groupBy("lead").agg(F.min("n").alias("least_n")))
     both = family.join(delta, ["lead", "id"]).withColumn("short", t * (F.col("n") + F.col("lead_n")) - F.col("common")).withColumn("linked", (100 + percent) * F.col("common") >= percent * (F.col("n") + F.col("lead_n")))
-    family = checkpointed(both.join(least, "lead"))
+    family = compact(both.join(least, "lead"))
     own = ["lead", "lead_n", "id", "n", "comp", "s1", "s2", "short", "least_n", "linked"]
     items = family.select(*own, F.explode("added").alias("item"))
-    shared = checkpointed(items.groupBy("lead", "item").agg(F.count("*").alias("c")).where("c > 1"))
-    items = checkpointed(items.join(shared, ["lead", "item"]))
+    shared = compact(items.groupBy("lead", "item").agg(F.count("*").alias("c")).where("c > 1"))
+    items = compact(items.join(shared, ["lead", "item"]))
     side = lambda table, p, more=(): table.select("lead", "lead_n", *more, *[F.col(c).alias(f"{p}{c}") for c in ("id", "n", "comp", "s1", "s2", "short")])
     apart = (F.col("m_comp") != F.col("l_comp")) & plausible("m_", "l_")
     pair = lambda df: df.select(F.least("m_id", "l_id").alias("a"), F.greatest("m_id", "l_id").alias("b"))
     floor = F.greatest(F.lit(1), F.ceil(F.col("short") - 1e-6 + t * (F.greatest(F.col("least_n"), F.ceil(F.col("n") * percent / 100)) - F.col("lead_n"))))
     rare = items.groupBy(*own).agg(F.array_sort(F.collect_list(F.struct("c", "item"))).alias("x")).where(F.size("x") >= floor)
-    rare = checkpointed(rare.withColumn("item", F.explode(F.slice("x.item", F.lit(1), (F.size("x") - floor + 1).cast("int")))).drop("x"))
+    rare = compact(rare.withColumn("item", F.explode(F.slice("x.item", F.lit(1), (F.size("x") - floor + 1).cast("int")))).drop("x"))
     # a pair of open members meets once
     once = F.col("l_linked") | (F.col("m_id") < F.col("l_id"))
     meet = side(rare.where("not linked"), "m_", ["item"]).join(side(rare, "l_", ["item", F.col("linked").alias("l_linked")]).drop("lead_n"), ["lead", "item"]).where(once & apart)
@@ -182,7 +182,7 @@ def _confirmed(pairs: DataFrame, texts: DataFrame, width: int, percent: int) ->
     """Pairs (a, b) of class names that hold on full sets. Hot names, which many pairs share, are split by the joins."""
     one, two = texts.select(F.col("id").alias("b"), F.col("z").alias("z_b")), texts.select(F.col("id").alias("a"), F.col("z").alias("z_a"))
     wide = pairs.join(one, "b").join(two, "a").select("a", "b", "z_a", "z_b")
-    return checkpointed(wide.mapInArrow(similar(width, percent), pairs.select("a", "b").schema))
+    return compact(wide.mapInArrow(similar(width, percent), pairs.select("a", "b").schema))
 
 
 def _plausible(percent: int):
@@ -210,9 +210,9 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     classes = named_classes.select("id", "n", "keys", "s1", "s2")
     banded = classes.select("id", "n", "s1", "s2", F.posexplode("keys").alias("band", "key"))
     shared = banded.groupBy("band", "key").agg(F.count("*").alias("members")).where("members > 1")
-    met = banded.join(checkpointed(shared), ["band", "key"])
+    met = banded.join(compact(shared), ["band", "key"])
     mass = met.groupBy("id").agg(F.sum("members").alias("mass"))
-    members = checkpointed(met.drop("members").join(checkpointed(mass), "id"))
+    members = compact(met.drop("members").join(compact(mass), "id"))
     # the texts that any candidate can need, compressed, once for all rounds
     wanted = small_side(checkpointed(named_classes.select("id", "name", "th").join(members.select("id").distinct(), "id")).select(F.col("id").alias("number"), "name", F.col("th").alias("name_th")), WANTED_ROWS)
     named_texts = base.join(wanted, (F.col("id") == F.col("name")) & (F.col("th") == F.col("name_th"))).select(F.col("number").alias("id"), "text")
@@ -222,15 +222,15 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     def side(table: DataFrame, p: str) -> DataFrame:
         return table.select("band", "key", *[F.col(c).alias(f"{p}{c}") for c in table.columns if c not in ("band", "key")])
 
-    lead = checkpointed(members.groupBy("band", "key").agg(F.min(F.struct((-F.col("mass")).alias("m"), "id", "n", "s1", "s2")).alias("x")).select("band", "key", "x.*"))
+    lead = compact(members.groupBy("band", "key").agg(F.min(F.struct((-F.col("mass")).alias("m"), "id", "n", "s1", "s2")).alias("x")).select("band", "key", "x.*"))
     stars = side(members, "m_").join(side(lead, "l_"), ["band", "key"]).where((F.col("m_id") != F.col("l_id")) & plausible("m_", "l_"))
     links = _confirmed(stars.select(F.least("m_id", "l_id").alias("a"), F.greatest("m_id", "l_id").alias("b")).distinct(), texts, width, percent)
     comps = connected_components(links)
     placed = members.join(comps.withColumnRenamed("component", "comp"), members["id"] == comps["node"], "left").drop("node").withColumn("comp", F.coalesce("comp", "id"))
     apart = placed.groupBy("band", "key").agg((F.min("comp") != F.max("comp")).alias("apart")).where("apart").select("band", "key")
-    open_ = checkpointed(placed.join(checkpointed(apart), ["band", "key"]))
+    open_ = compact(placed.join(compact(apart), ["band", "key"]))
     pairs, more = _rest(open_, texts, width, percent)
-    more = checkpointed(more.unionByName(_confirmed(checkpointed(pairs), texts, width, percent)))
+    more = compact(more.unionByName(_confirmed(checkpointed(pairs), texts, width, percent)))
     if not more.isEmpty():
         comps = connected_components(comps.where("node != component").select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(more))
     linked = checkpointed(named_classes.select("h1", "h2", "n", "name", "id").join(comps, F.col("id") == F.col("node")).select("h1", "h2", F.col("n").alias("n_shingles"), "name", "component"))

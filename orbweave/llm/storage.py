@@ -31,6 +31,13 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def compact(df: DataFrame, rows: int = 100_000) -> DataFrame:
+    """A checkpointed table of short rows, which goes on in partitions of so many rows at least: where few rows are left,
+    the shuffles behind it write a few files and not one for each pair of partitions."""
+    df = checkpointed(df)
+    return df.coalesce(max(1, df.count() // rows))
+
+
 def small_side(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     """A checkpointed table of short rows: broadcast where its count allows it, else shuffled by the join."""
     return F.broadcast(df) if df.count() <= rows else df
