@@ -81,3 +81,50 @@ def test_every_value_of_a_long_vector_sounds():
     y = np.concatenate([x[:64], x[:63:-1]])
     assert len(sonified(list(x))) == 50 * 1_380 and not np.array_equal(sonified(list(x)), sonified(list(y)))
     assert len(sonified(list(x[:64]))) == len(sonified(list(x[:9]))) == 16 * 1_380
+
+
+def test_broken_and_odd_wav_files():
+    import io
+    import wave
+
+    import numpy as np
+
+    from orbweave.llm.chroma import samples
+
+    tone = np.sin(2 * np.pi * 440 * np.arange(22_050) / 22_050)
+
+    def wav(width, rate=22_050):
+        raw = (tone * 0.5 * (1 << (8 * width - 1))).astype(np.int64)
+        data = b"".join(int(v).to_bytes(4, "little", signed=True)[:width] for v in raw) if width > 1 else (raw + 128).astype(np.uint8).tobytes()
+        out = io.BytesIO()
+        with wave.open(out, "wb") as f:
+            f.setnchannels(1)
+            f.setsampwidth(width)
+            f.setframerate(rate)
+            f.writeframes(data)
+        return out.getvalue()
+
+    for width in (1, 2, 3, 4):
+        x = samples(wav(width))
+        assert abs(len(x) - 5_512) <= 2 and 0.4 < np.abs(x).max() < 0.6
+    assert [len(samples(b)) for b in (None, b"", b"RIFF junk", b"RIFF" + bytes(50), b"x")] == [0] * 5
+
+
+def test_cuts_off_the_grid_are_found(spark):
+    import numpy as np
+
+    from orbweave.llm import chroma
+
+    rng = np.random.default_rng(3)
+
+    def tune():
+        t = np.arange(1_378) / chroma.RATE
+        x = np.concatenate([sum(np.sin(2 * np.pi * 220 * 2 ** (rng.integers(0, 36) / 12) * t) for _ in range(3)) for _ in range(24)])
+        return x / np.abs(x).max()
+
+    tunes = [tune() for _ in range(30)]
+    raw = lambda x: (np.clip(x, -1, 1) * 20_000).astype("<i2").tobytes()
+    rows = [(20 * k, raw(x)) for k, x in enumerate(tunes)] + [(20 * k + 1, raw(x[256:] + 0.05 * rng.standard_normal(len(x) - 256))) for k, x in enumerate(tunes)]
+    got = {r.id: r for r in chroma.align(chroma.fingerprints(spark.createDataFrame([(i, bytearray(b)) for i, b in rows], "id long, audio binary")), lambda i: i % 20 == 0).collect()}
+    hit = sum(got[20 * k].best == 20 * k + 1 for k in range(30))
+    assert hit >= 27
