@@ -60,14 +60,25 @@ def main_table(objects: DataFrame, components: Iterable[int], measures: dict[str
     return add_measures(kept.withColumnRenamed("offset", "dist_from_center"), measures)
 
 
+#: So many values at most meet every row of a table.
+FEW_VALUES = 16
+
+
 def nearest_rows(table: DataFrame, values: DataFrame, column: str, order: str = "label_id") -> DataFrame:
     """For each distinct row of values (value): the row of table nearest in column, the first by order among equals.
 
     Both sides meet in cells of the column's range, which widen for values that have no row near; a null value, and a
-    row without the column, meets nothing.
+    row without the column, meets nothing. Up to FEW_VALUES values, which a count shows, travel as one array to all rows
+    instead, and one aggregate with a partial one before its shuffle finds the rows.
     """
     wanted = values.select(F.col("value").cast("double")).where("value is not null").distinct()
     nodes = table.where(F.col(column).isNotNull())
+    if wanted.count() <= FEW_VALUES:
+        all_values = wanted.agg(F.collect_list("value")).scalar()
+        gap = F.abs(F.col(column).cast("double") - F.col("value")).alias("gap")
+        met = nodes.select(F.col(column), F.col(order), F.explode(all_values).alias("value"))
+        near = met.groupBy("value").agg(F.min(F.struct(gap, F.col(order).alias("node"))).alias("near")).select("value", F.col("near.node").alias(order))
+        return near.join(nodes, order).select("value", *table.columns)
     low, high, n = nodes.agg(F.min(column).cast("double"), F.max(column).cast("double"), F.count("*")).first()
     if not n:
         return table.limit(0).select(F.lit(None).cast("double").alias("value"), "*")
