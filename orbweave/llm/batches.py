@@ -88,6 +88,17 @@ def words(body: np.ndarray, at: np.ndarray, apart: np.ndarray = SPACE) -> tuple[
     return starts, ends, np.searchsorted(starts, at)
 
 
+def word_array(body: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> pa.LargeBinaryArray:
+    """The words, folded to lower case, as an Arrow array."""
+    size = ends - starts
+    offsets = np.concatenate([[0], np.cumsum(size)]).astype(np.int64)
+    cover = np.zeros(len(body) + 1, np.int8)
+    cover[starts] += 1
+    cover[ends] -= 1
+    data = FOLD[body[np.cumsum(cover[:-1], dtype=np.int8).astype(bool)]]
+    return pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(starts), [None, pa.py_buffer(offsets), pa.py_buffer(np.ascontiguousarray(data))])
+
+
 def shingles(body: np.ndarray, at: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of n successive words, folded to lower case, and n + 1 places where each text's begin.
 

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from orbweave.llm import chroma, ctph, langid, licenses, linededup, mixing, neardup, pieces, pii, secrets
+from orbweave.llm import chroma, conversations, ctph, decontaminate, divergence, langid, licenses, linededup, mixing, neardup, pieces, pii, secrets
 
-MODULES = (secrets, licenses, langid, linededup, mixing, neardup, pieces, pii, chroma, ctph)
+MODULES = (secrets, licenses, langid, linededup, mixing, neardup, pieces, pii, chroma, ctph, decontaminate, divergence, conversations)
 
 
 def queries() -> dict:
