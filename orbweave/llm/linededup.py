@@ -7,7 +7,8 @@
    one, the next two, the next four and so on, up to itself. The rounds grow with the logarithm of the largest group,
    and the result is that of all pairs.
 3. Each pair is aligned by patience diff: lines that occur once on both sides, in longest increasing order, and what
-   adjoins them, over and over between them.
+   adjoins them, over and over between them. Lines that repeat on both sides have no such anchor, and moved blocks are out of order: windows
+   that both documents have and the alignment left alone count as well, as often as the earlier document has them.
 4. Common blocks of BLOCK_WORDS words or more go from the later document (the larger id). The first holder of a line
    keeps it, so one copy of everything stays.
 
@@ -96,15 +97,11 @@ def common_blocks(aligned: list[tuple[int, int]], words: list[int], least: int)
 _BASE = 0x9E3779B97F4A7C15
 
 
-def windows(lines: np.ndarray, words: np.ndarray, begin: np.ndarray, live: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray]:
-    """(document, hash) of the windows with a live line, each once; begin has where each document starts, and the end.
-
-    A window is hashed as a polynomial in _BASE, which is odd and so has an inverse, by differences of running sums.
-    """
-    n = len(lines)
-    power = lambda base: np.cumprod(np.concatenate([np.ones(1, np.uint64), np.full(n, base, np.uint64)]), dtype=np.uint64)
-    total = lambda x, kind: np.concatenate([np.zeros(1, kind), np.cumsum(x, dtype=kind)])
-    sums, count, alive = total(lines.astype(np.uint64) * power(_BASE)[:n], np.uint64), total(words, np.int64), total(live, np.int64)
+def _spans(words: np.ndarray, begin: np.ndarray, live: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(first line, line behind, document) of the windows with a live line; begin has where each document starts, and the end."""
+    n = len(words)
+    total = lambda x: np.concatenate([np.zeros(1, np.int64), np.cumsum(x, dtype=np.int64)])
+    count, alive = total(words), total(live)
     doc = np.repeat(np.arange(len(begin) - 1), np.diff(begin))
     at = np.arange(n)
     low = np.concatenate([at, np.searchsorted(count, count[1:] - least, "right") - 1])
@@ -113,8 +110,20 @@ def windows(lines: np.ndarray, words: np.ndarray, begin: np.ndarray, live: np.nd
     ok = (low >= begin[of]) & (high <= begin[of + 1])
     low, high, of = low[ok], high[ok], of[ok]
     ok = alive[high] > alive[low]
-    low, high, of = low[ok], high[ok], of[ok]
-    value = (sums[high] - sums[low]) * power(pow(_BASE, -1, 1 << 64))[low]
+    return low[ok], high[ok], of[ok]
+
+
+def _values(lines: np.ndarray, low: np.ndarray, high: np.ndarray) -> np.ndarray:
+    """A window is hashed as a polynomial in _BASE, which is odd and so has an inverse, by differences of running sums, and by its number of lines."""
+    power = lambda base: np.cumprod(np.concatenate([np.ones(1, np.uint64), np.full(len(lines), base, np.uint64)]), dtype=np.uint64)
+    sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(lines.astype(np.uint64) * power(_BASE)[: len(lines)], dtype=np.uint64)])
+    return (sums[high] - sums[low]) * power(pow(_BASE, -1, 1 << 64))[low] + (high - low).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93)
+
+
+def windows(lines: np.ndarray, words: np.ndarray, begin: np.ndarray, live: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray]:
+    """(document, hash) of the windows with a live line, each once."""
+    low, high, of = _spans(words, begin, live, least)
+    value = _values(lines, low, high)
     order = np.lexsort((value, of))
     of, value = of[order], value[order]
     new = np.ones(len(of), bool)
@@ -122,6 +131,54 @@ def windows(lines: np.ndarray, words: np.ndarray, begin: np.ndarray, live: np.nd
     return of[new], value[new].view(np.int64)
 
 
+def unaligned(first: list[int], first_words: list[int], lines: list[int], words: list[int], gone: list[int], least: int) -> list[int]:
+    """Further places of the later list in windows that both lists have: repeated or moved blocks, which no alignment of lines
+    that occur once can reach. A window counts as often as the first list has it, less the times that the alignment took it."""
+    known, taken = set(first), set(gone)
+    # a run of lines that the first list has, with a line that stays and words enough
+    total, stays, some = 0, False, False
+    for k, x in enumerate(lines):
+        if x not in known:
+            total, stays = 0, False
+            continue
+        total, stays = total + words[k], stays or k not in taken
+        some = some or (stays and total >= least)
+    if not some:
+        return []
+    every = lambda x: np.ones(len(x), bool)
+    of_one = lambda x: np.array([0, len(x)])
+    both = np.array(first + lines, np.int64)  # hashed together, so that equal windows have equal values
+    held = _spans(np.array(first_words), of_one(first), every(first), least)
+    mine = _spans(np.array(words), of_one(lines), every(lines), least)
+    spans = lambda s: np.unique(np.stack(s[:2], 1), axis=0)  # noqa: E731  the same window from its start and from its end counts once
+    held, mine = spans(held), spans(mine)
+    value = _values(both, np.concatenate([held[:, 0], mine[:, 0] + len(first)]), np.concatenate([held[:, 1], mine[:, 1] + len(first)]))
+    names, name = np.unique(value, return_inverse=True)
+    left = np.bincount(name[: len(held)], minlength=len(names))
+    mine_name = name[len(held) :]
+    out = np.ones(len(lines) + 1, np.int64)
+    out[gone] = 0
+    live = np.concatenate([[0], np.cumsum(out[:-1])])
+    open_ = live[mine[:, 1]] > live[mine[:, 0]]
+    left -= np.bincount(mine_name[~open_], minlength=len(names))
+    # the first ones of each window, in order
+    mine, mine_name = mine[open_], mine_name[open_]
+    order = np.argsort(mine_name, kind="stable")
+    place = np.empty(len(order), np.int64)
+    place[order] = np.arange(len(order)) - np.searchsorted(mine_name[order], mine_name[order])
+    mine = mine[place < left[mine_name]]
+    cover = np.zeros(len(lines) + 1, np.int64)
+    np.add.at(cover, mine[:, 0], 1)
+    np.subtract.at(cover, mine[:, 1], 1)
+    return [int(k) for k in np.flatnonzero((np.cumsum(cover[:-1]) > 0) & (out[:-1] > 0))]
+
+
+def pair_blocks(first: list[int], first_words: list[int], lines: list[int], words: list[int], least: int) -> list[int]:
+    """Places of the later list that go: aligned blocks, then repeated or moved ones."""
+    gone = common_blocks(patience(first, lines), words, least)
+    return sorted(gone + unaligned(first, first_words, lines, words, gone, least))
+
+
 def _windows(least: int):
     """mapInArrow function on (id, h, lines, words, gone): id, h, line (the hash of a window)."""
 
@@ -144,13 +201,13 @@ def _windows(least: int):
 
 
 def _align(least: int):
-    """mapInArrow function on (id, h, first_lines, lines, words): id, h, gone (places of lines to delete)."""
+    """mapInArrow function on (id, h, first_lines, first_words, lines, words): id, h, gone (places of lines to delete)."""
 
     def run(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in stream:
             for a in range(0, batch.num_rows, 512):
                 part = batch.slice(a, 512)
-                gone = [common_blocks(patience(x, y), w, least) for x, y, w in zip(*[part.column(k).to_pylist() for k in (2, 3, 4)], strict=True)]
+                gone = [pair_blocks(*pair, least) for pair in zip(*[part.column(k).to_pylist() for k in (2, 3, 4, 5)], strict=True)]
                 keep = [k for k, g in enumerate(gone) if g]
                 yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(keep, pa.int64())), part.column(1).take(pa.array(keep, pa.int64())), pa.array([gone[k] for k in keep], pa.list_(pa.int32()))], names=["id", "h", "gone"])
 
@@ -179,13 +236,13 @@ def line_dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", bloc
         .select(F.col(doc_id).alias("id"), row.alias("h"), F.transform(lines, lambda x: F.xxhash64(F.trim(x))).alias("lines"), F.transform(lines, lambda x: F.regexp_count(x, F.lit(WORD))).alias("words"))
         .dropDuplicates(["id", "h"])
     )
-    early = records.select(F.col("id").alias("id0"), F.col("h").alias("h0"), F.col("lines").alias("first_lines"))
+    early = records.select(F.col("id").alias("id0"), F.col("h").alias("h0"), F.col("lines").alias("first_lines"), F.col("words").alias("first_words"))
 
     def spread(rows: DataFrame) -> DataFrame:
         return rows.select("id", "h", "lines", "words", "gone").mapInArrow(_windows(block_words), f"id {kind}, h bigint, line bigint")
 
     def aligned(pairs: DataFrame) -> DataFrame:
-        both = pairs.distinct().join(records, ["id", "h"]).join(early, ["id0", "h0"]).select("id", "h", "first_lines", "lines", "words")
+        both = pairs.distinct().join(records, ["id", "h"]).join(early, ["id0", "h0"]).select("id", "h", "first_lines", "first_words", "lines", "words")
         return both.mapInArrow(_align(block_words), f"id {kind}, h bigint, gone array<int>")
 
     def merged(parts: DataFrame) -> DataFrame:
