@@ -29,16 +29,25 @@ def mean_threshold(rows: DataFrame) -> DataFrame:
 def band_labels(cells: DataFrame, bands: DataFrame, value: str, most: int = 10_000) -> DataFrame:
     """cells with label: 1 at or over the threshold of the band whose open limits hold the fraction, 2 under it, else 0.
 
-    bands (lo, hi, threshold) is one row for each crop; up to `most` of them travel as an array.
+    bands (lo, hi, threshold) is one row for each crop; where several hold a fraction, the first by (lo, hi, threshold) counts. Up to `most` of them travel as an
+    array. More meet the fractions in slots of [0, 1), one for each band; a band is dealt to the slots that it touches, so narrow bands, as many
+    bands are, meet few fractions in vain. Both ways give the same rows.
     """
-    if bands.count() > most:
-        raise ValueError(f"more than {most} bands")
-    listed = bands.agg(F.array_sort(F.collect_list(F.struct("lo", "hi", "threshold")))).scalar()
     v, f = F.col(value), F.col("length_fraction")
-    rows = cells.withColumn("_bands", listed)
-    t = F.get(F.filter("_bands", lambda b: (f > b["lo"]) & (f < b["hi"])), F.lit(0))["threshold"]
+    number = bands.count()
+    if number <= most:
+        listed = bands.agg(F.array_sort(F.collect_list(F.struct("lo", "hi", "threshold")))).scalar()
+        rows = cells.withColumn("_bands", listed)
+        rows = rows.withColumn("_t", F.get(F.filter("_bands", lambda b: (f > b["lo"]) & (f < b["hi"])), F.lit(0))["threshold"]).drop("_bands")
+    else:
+        slot = lambda c: F.floor(F.least(F.greatest(c, F.lit(-1.0)), F.lit(2.0)) * number).cast("long")
+        dealt = bands.where("lo < hi").select("lo", "hi", "threshold").withColumn("_slot", F.explode(F.sequence(slot(F.col("lo")), slot(F.col("hi")))))
+        places = cells.select(f.alias("_f")).where(f.isNotNull() & ~F.isnan(f)).distinct().withColumn("_slot", slot(F.col("_f")))
+        held = places.join(dealt, "_slot").where((F.col("_f") > F.col("lo")) & (F.col("_f") < F.col("hi"))).groupBy("_f").agg(F.min(F.struct("lo", "hi", "threshold")).alias("_b"))
+        rows = cells.join(held.select("_f", F.col("_b.threshold").alias("_t")), f == F.col("_f"), "left").drop("_f")
+    t = F.col("_t")
     known = v.isNotNull() & ~F.isnan(v) & t.isNotNull()
-    return rows.withColumn("label", F.when(known & (v >= t), 1).when(known & (v < t), 2).otherwise(0)).drop("_bands")
+    return rows.withColumn("label", F.when(known & (v >= t), 1).when(known & (v < t), 2).otherwise(0)).drop("_t")
 
 
 def marker_volume_label(segment: Column, positive: Column, negative: Column) -> Column:

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from orbweave.functions.scalar import GREENWOOD
 from orbweave.operators import grids
 from orbweave.operators.ordered import moving_average, path_length
-from orbweave.operators.ranges import checkpointed
+from orbweave.operators.ranges import written
 from orbweave.operators.summaries import outer_ends
 
 XYZ = ("x", "y", "z")
@@ -26,10 +26,10 @@ HALF_WINDOW = 3
 
 def mask_paths(objects: DataFrame, scales: DataFrame, by: tuple[str, ...]) -> DataFrame:
     """by, scale, node_idx, z, y, x (cells) of the central path of each group's mask; groups whose mask has none are missing."""
-    cells = checkpointed(grids.coarse(objects.join(scales, list(by)), F.col("scale"), by))
-    box = checkpointed(grids.boxes(cells, by))
-    mask = checkpointed(grids.closed(grids.grown(cells, box, by), box, by))
-    ends = checkpointed(grids.axis_end_cells(mask, by))
+    cells = written(grids.coarse(objects.join(scales, list(by)), F.col("scale"), by))
+    box = written(grids.boxes(cells, by))
+    mask = written(grids.closed(grids.grown(cells, box, by), box, by))
+    ends = written(grids.axis_end_cells(mask, by))
     return grids.least_paths(grids.depth(mask, box, by), ends, by).join(scales, list(by))
 
 
@@ -42,18 +42,18 @@ def central_paths(objects: DataFrame, components: tuple, by: str = "dataset", co
     group = (by, component)
     order = F.coalesce(*[F.when(F.col(component) == c, k) for k, c in enumerate(components)])
     chosen = objects.where(F.col(component).isin(*components) & F.col(by).isNotNull()).select(*group, *[f"anchor_{c}" for c in XYZ])
-    todo = checkpointed(chosen.select(*group).distinct().select(*group, order.cast("int").alias("place"), F.lit(scale).alias("scale")))
+    todo = written(chosen.select(*group).distinct().select(*group, order.cast("int").alias("place"), F.lit(scale).alias("scale")))
     done = None
     while True:
-        found = checkpointed(mask_paths(chosen, todo.select(*group, "scale"), group))
+        found = written(mask_paths(chosen, todo.select(*group, "scale"), group))
         stale = todo.select(*group)
-        done = found if done is None else checkpointed(done.join(stale, list(group), "left_anti").unionByName(found))
+        done = found if done is None else written(done.join(stale, list(group), "left_anti").unionByName(found))
         reached = done.select(*group, "scale").distinct().withColumn("again", F.lit(False))
         failed = todo.join(reached, list(group), "left_anti").select(*group, (F.col("scale") * 2).alias("scale"), F.lit(True).alias("again")).where(F.col("scale") <= MOST)
         # a coarser edge holds for all components behind
         state = reached.unionByName(failed).withColumn("place", order.cast("int"))
         least = F.max("scale").over(Window.partitionBy(by).orderBy("place").rowsBetween(Window.unboundedPreceding, 0))
-        todo = checkpointed(state.withColumn("least", least).where(F.col("again") | (F.col("least") > F.col("scale"))).select(*group, "place", F.col("least").alias("scale")))
+        todo = written(state.withColumn("least", least).where(F.col("again") | (F.col("least") > F.col("scale"))).select(*group, "place", F.col("least").alias("scale")))
         if todo.isEmpty():
             break
     nodes = done.select(*group, F.struct(*group).alias("path"), "node_idx", *[(F.col(c) * F.col("scale")).alias(c) for c in XYZ])
@@ -142,7 +142,7 @@ def nearest_by(objects: DataFrame, nodes: DataFrame, by: str = "dataset", key: s
     Both meet in cells as wide as the radius, which doubles for objects that have no node in the cells around.
     """
     placed = nodes.select(by, "node_idx", *XYZ)
-    todo = checkpointed(objects.join(placed.select(by).distinct(), by, "left_semi").select(by, key, *[f"anchor_{c}" for c in XYZ]).distinct())
+    todo = written(objects.join(placed.select(by).distinct(), by, "left_semi").select(by, key, *[f"anchor_{c}" for c in XYZ]).distinct())
     for c in XYZ:
         todo = todo.where(F.col(f"anchor_{c}").isNotNull() & ~F.isnan(f"anchor_{c}"))
     out = None
@@ -154,9 +154,9 @@ def nearest_by(objects: DataFrame, nodes: DataFrame, by: str = "dataset", key: s
             b = b.withColumn(f"g{c}", F.explode(F.array(*[F.col(f"g{c}") + s for s in (-1, 0, 1)])))
         gap = F.sqrt(sum(((F.col(f"anchor_{c}") - F.col(c)) * (F.col(f"anchor_{c}") - F.col(c)) for c in XYZ), F.lit(0.0)))
         near = a.join(b, [by, *[f"g{c}" for c in XYZ]]).groupBy(by, key).agg(F.min(F.struct(gap.alias("offset"), "node_idx")).alias("n")).where(F.col("n.offset") <= radius)
-        near = checkpointed(near.select(by, key, "n.node_idx", "n.offset"))
+        near = written(near.select(by, key, "n.node_idx", "n.offset"))
         out = near if out is None else out.unionByName(near)
-        todo = checkpointed(todo.join(near.select(by, key), [by, key], "left_anti"))
+        todo = written(todo.join(near.select(by, key), [by, key], "left_anti"))
         if todo.isEmpty():
             return out
         radius *= 2
@@ -177,7 +177,7 @@ def mapped(objects: DataFrame, run: DataFrame, components: tuple, by: str = "dat
 
 def measure_run_length(objects: DataFrame, components: tuple, by: str = "dataset", component: str = "component_labels", scale: int = SCALE, **options) -> DataFrame:
     """central_paths and chained together: the run of the larger cell type of each data set."""
-    return chained(checkpointed(central_paths(objects, components, by, component, scale)), by, component, **options)
+    return chained(written(central_paths(objects, components, by, component, scale)), by, component, **options)
 
 
 def organ_mask(larger: DataFrame, smaller: DataFrame, by: str = "dataset", scale: tuple[float, float, float] = (18.24, 18.24, 18.24), rounds: int = 12, padding: float = 456.0, method: str = "individual", guided_rounds: int = 20, offset: float = 0.4) -> DataFrame:
@@ -192,9 +192,9 @@ def organ_mask(larger: DataFrame, smaller: DataFrame, by: str = "dataset", scale
     cells = lambda t: t.where(F.col(by).isNotNull()).select(by, *[F.floor(F.col(f"anchor_{c}") / edge[c]).cast("long").alias(c) for c in grids.ZYX]).distinct()
     both = larger.select(by, *[f"anchor_{c}" for c in XYZ]).unionByName(smaller.select(by, *[f"anchor_{c}" for c in XYZ]))
     lows = [F.least(F.lit(0), F.min(F.floor(F.col(f"anchor_{c}") / edge[c]))).cast("long").alias(f"lo_{c}") for c in grids.ZYX]
-    box = checkpointed(both.where(F.col(by).isNotNull()).groupBy(by).agg(*lows, *[F.floor((F.max(f"anchor_{c}") + padding) / edge[c]).cast("long").alias(f"hi_{c}") for c in grids.ZYX]))
-    a, b = checkpointed(cells(larger)), checkpointed(cells(smaller))
-    between = checkpointed(grids.downhill(b, a, box, group, guided_rounds, offset))
+    box = written(both.where(F.col(by).isNotNull()).groupBy(by).agg(*lows, *[F.floor((F.max(f"anchor_{c}") + padding) / edge[c]).cast("long").alias(f"hi_{c}") for c in grids.ZYX]))
+    a, b = written(cells(larger)), written(cells(smaller))
+    between = written(grids.downhill(b, a, box, group, guided_rounds, offset))
     if method == "individual":
         parts = between.unionByName(grids.grown(b, box, group, rounds)).unionByName(grids.grown(a, box, group, rounds)).distinct()
         return grids.grown(parts, box, group, 1)
@@ -206,9 +206,9 @@ def type_mask(objects: DataFrame, by: str = "dataset", scale: tuple[float, float
     """by, z, y, x: coarse cells of one cell type, dilated by so many rounds and closed; 0 closes only, less leaves them as they are."""
     edge = dict(zip(XYZ, scale, strict=True))
     rows = objects.where(F.col(by).isNotNull())
-    cells = checkpointed(rows.select(by, *[F.floor(F.col(f"anchor_{c}") / edge[c]).cast("long").alias(c) for c in grids.ZYX]).distinct())
+    cells = written(rows.select(by, *[F.floor(F.col(f"anchor_{c}") / edge[c]).cast("long").alias(c) for c in grids.ZYX]).distinct())
     lows = [F.least(F.lit(0), F.min(F.floor(F.col(f"anchor_{c}") / edge[c]))).cast("long").alias(f"lo_{c}") for c in grids.ZYX]
-    box = checkpointed(rows.groupBy(by).agg(*lows, *[F.floor((F.max(f"anchor_{c}") + padding) / edge[c]).cast("long").alias(f"hi_{c}") for c in grids.ZYX]))
+    box = written(rows.groupBy(by).agg(*lows, *[F.floor((F.max(f"anchor_{c}") + padding) / edge[c]).cast("long").alias(f"hi_{c}") for c in grids.ZYX]))
     if rounds < 0:
         return cells
     return grids.closed(grids.grown(cells, box, (by,), rounds) if rounds else cells, box, (by,))

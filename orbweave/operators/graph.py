@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from orbweave.operators.ranges import checkpointed, numbered
+from orbweave.operators.ranges import numbered, written
 from orbweave.operators.spatial import XYZ, radius_join
 
 
@@ -15,13 +15,13 @@ def components(edges: DataFrame) -> DataFrame:
     Labels fall to the smallest one around, then to that one's own label (pointer jumping), so chains of objects close
     in a number of rounds that grows with the logarithm of their length. Rounds are checkpointed.
     """
-    both = checkpointed(edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).where("a != b").distinct())
-    labels = checkpointed(both.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.first("a")).alias("component")))
+    both = written(edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).where("a != b").distinct())
+    labels = written(both.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.first("a")).alias("component")))
     while True:
         around = both.join(labels, F.col("b") == F.col("node")).groupBy("a").agg(F.min("component").alias("m"))
         near = labels.join(around, F.col("node") == F.col("a")).select("node", F.col("component").alias("old"), F.least("component", "m").alias("m"))
         jump = labels.select(F.col("node").alias("m"), F.col("component").alias("far"))
-        moved = checkpointed(near.join(jump, "m", "left").select("node", "old", F.least("m", F.coalesce("far", "m")).alias("component")))
+        moved = written(near.join(jump, "m", "left").select("node", "old", F.least("m", F.coalesce("far", "m")).alias("component")))
         labels = moved.select("node", "component")
         if moved.where("old != component").isEmpty():
             return labels

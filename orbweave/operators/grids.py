@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from orbweave.operators.ranges import checkpointed
+from orbweave.operators.ranges import written
 
 ZYX = ("z", "y", "x")
 #: Edge of the blocks that a path spreads through in one round.
@@ -208,7 +208,7 @@ def spread(cells: DataFrame, starts: DataFrame, by: tuple[str, ...]) -> DataFram
     tasks = int(cells.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     state = cells.join(at, [*by, *ZYX], "left").select(*by, *ZYX, F.col("depth").cast("double").alias("depth"), F.coalesce("_zero", F.lit(float("inf"))).alias("cost"), F.col("_zero").isNotNull().alias("fell"), *[_block(c).alias(f"b{c}") for c in ZYX])
     kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in state.schema if f.name != "fell")
-    state = checkpointed(state)
+    state = written(state)
     moves = F.array(*[F.struct(*[F.lit(s if c == axis else 0).alias(c) for c in ZYX]) for axis in ZYX for s in (-1, 1)])
 
     def met(told: Column) -> DataFrame:
@@ -222,11 +222,11 @@ def spread(cells: DataFrame, starts: DataFrame, by: tuple[str, ...]) -> DataFram
 
     while True:
         walked = met(F.col("fell")).groupBy(*by, *blocks).applyInPandas(_falling, kinds + ", fell boolean")
-        state = checkpointed(walked)
+        state = written(walked)
         if state.where("fell").isEmpty():
             break
     traced = met(F.lit(True)).groupBy(*by, *blocks).applyInPandas(_traced, kinds + ", " + ", ".join(f"before_{c} long" for c in ZYX))
-    return checkpointed(traced.select(*by, *ZYX, "depth", "cost", *[f"before_{c}" for c in ZYX]))
+    return written(traced.select(*by, *ZYX, "depth", "cost", *[f"before_{c}" for c in ZYX]))
 
 
 def least_paths(cells: DataFrame, ends: DataFrame, by: tuple[str, ...]) -> DataFrame:
@@ -238,17 +238,17 @@ def least_paths(cells: DataFrame, ends: DataFrame, by: tuple[str, ...]) -> DataF
     costs = spread(cells, side("start"), by)
     back = {c: F.col(f"before_{c}") for c in ZYX}
     named = costs.where("cost < double('infinity')").withColumns({"id": cell_id(), "before": sum(((back[c] + _HALF) * (1 << 21 * k) for k, c in enumerate(reversed(ZYX))), F.lit(0)).cast("long")})
-    named = checkpointed(named.select(*by, *ZYX, "cost", "id", "before"))
-    found = checkpointed(side("end").withColumn("id", cell_id()).join(named.select(*by, "id"), [*by, "id"], "left_semi").select(*by, "id"))
+    named = written(named.select(*by, *ZYX, "cost", "id", "before"))
+    found = written(side("end").withColumn("id", cell_id()).join(named.select(*by, "id"), [*by, "id"], "left_semi").select(*by, "id"))
     jump = named.where("before is not null").select(*by, "id", "before")
     while True:
         more = found.join(jump, [*by, "id"]).select(*by, F.col("before").alias("id"))
-        both = checkpointed(found.unionByName(more).distinct())
+        both = written(found.unionByName(more).distinct())
         if both.count() == found.count():
             break
         found = both
         far = jump.select(*by, F.col("id").alias("before"), F.col("before").alias("far"))
-        jump = checkpointed(jump.join(far, [*by, "before"]).select(*by, "id", F.col("far").alias("before")))
+        jump = written(jump.join(far, [*by, "before"]).select(*by, "id", F.col("far").alias("before")))
     order = Window.partitionBy(*by).orderBy("cost", "id")
     return named.join(found, [*by, "id"], "left_semi").select(*by, (F.row_number().over(order) - 1).cast("long").alias("node_idx"), *ZYX)
 
@@ -310,14 +310,14 @@ def downhill(seeds: DataFrame, targets: DataFrame, box: DataFrame, by: tuple[str
     refused stays out. Seeds of a group without targets stay as they are.
     """
     tasks = int(seeds.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    gap = checkpointed(gaps(targets, box, by))
+    gap = written(gaps(targets, box, by))
     moves = F.array(*[F.struct(*[F.lit(s if c == axis else 0).alias(c) for c in ZYX]) for axis in ZYX for s in (-1, 1)])
-    seen = checkpointed(seeds.select(*by, *ZYX).distinct().join(gap, [*by, *ZYX]).withColumn("inside", F.lit(True)))
+    seen = written(seeds.select(*by, *ZYX).distinct().join(gap, [*by, *ZYX]).withColumn("inside", F.lit(True)))
     front = seen
     for _ in range(rounds):
         sent = front.withColumn("_m", F.explode(moves)).select(*by, *[(F.col(c) + F.col(f"_m.{c}")).cast("long").alias(c) for c in ZYX], F.col("depth").alias("source"))
         asked = sent.groupBy(*by, *ZYX).agg(F.min("source").alias("source")).join(gap, [*by, *ZYX]).join(seen.select(*by, *ZYX), [*by, *ZYX], "left_anti")
-        asked = checkpointed(asked.select(*by, *ZYX, "depth", (F.col("depth") < F.col("source") - offset).alias("inside")))
+        asked = written(asked.select(*by, *ZYX, "depth", (F.col("depth") < F.col("source") - offset).alias("inside")))
         front = asked.where("inside")
         seen = seen.unionByName(asked).coalesce(tasks)
         if front.isEmpty():

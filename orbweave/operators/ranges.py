@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 from itertools import accumulate
 
 from pyspark.sql import DataFrame
@@ -20,6 +21,21 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def written(df: DataFrame) -> DataFrame:
+    """df as a table in the checkpoint folder, for loops of joins.
+
+    A checkpoint keeps the planner's guess of its size, and the guess for a join is the product of both sides: over the
+    rounds of a loop it grows to numbers of thousands of digits, and planning takes longer than the work. A written table has its real
+    size, so small sides are broadcast as well. The tables go with the folder.
+    """
+    context = df.sparkSession.sparkContext
+    if context.getCheckpointDir() is None:
+        checkpointed(df.limit(0))
+    path = f"{context.getCheckpointDir()}/table-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def numbered(rows: DataFrame, order: list[str], name: str) -> DataFrame:
     """1..n in the order of the columns, nulls first.
 

@@ -48,7 +48,7 @@ def _(s, d):
 
 
 @query(
-    "name_thresholds",
+    "crop_values_or_names",
     """WITH t AS (SELECT p_partkey AS label_id, CASE WHEN p_partkey % 3 != 0 THEN p_retailprice::DOUBLE END AS value,
     CASE WHEN p_partkey % 5 != 0 THEN (p_partkey % 200)::DOUBLE END AS a, CASE WHEN p_partkey % 7 != 0 THEN p_partkey % 300 + 0.5::DOUBLE END AS b FROM part)
     SELECT label_id, coalesce(value, (a + b) / 2, a, b) AS value, CASE WHEN value IS NOT NULL THEN 'annotations' WHEN coalesce(a, b) IS NOT NULL THEN 'filename' END AS value_source FROM t""",
