@@ -6,7 +6,14 @@ replaced alike in every document and format. So the collision check and corefere
 table of entities. Card numbers keep their distance from a valid check digit. The letters and digits of an email are permuted
 in their places; its domain goes under one that is reserved for examples. A word of a name is a number in the letters of
 its script; its permuted number is written in syllables of that script, with an ending for a given name of either
-gender and for a family name, so that one word has one surrogate of a kind and no other word has it.
+gender or of none known and for a family name, so that one word has one surrogate of a kind and no other word has it. Chinese
+names go to other ideographs, as many.
+
+Names are found by what stands around them (a title, "my name is", "Dear ...,", a closing line, 先生 and the like after them) and by a list of
+given names before a capitalised word. The words of a name that was found are then replaced wherever they stand alone in that
+text, capitalised or in capitals; a word that was both a given and a family name counts as what it was first. So "Mr Brown" takes
+"Brown" at the start of a sentence along. Inflected forms, initials, and names that nothing points to are left. Runs of
+digits are phone numbers only after a word that says so; IBANs only with valid check digits.
 
 A map over whole texts: no shuffle, no key, no state beyond a document.
 
@@ -18,6 +25,7 @@ no rows. The time grows with the length of a text, whatever it repeats.
 from __future__ import annotations
 
 import hashlib
+import ipaddress
 import math
 import re
 from collections.abc import Iterator
@@ -37,21 +45,43 @@ CARD = re.compile(r"(?<![\w.-])(?:\d{4}([ -]?)\d{4}\1\d{4}\1\d{4}|3[47]\d{2}([ -
 SSN = re.compile(r"(?<![\w-])\d{3}-\d{2}-\d{4}(?![\w]|-\d)", re.A)
 PHONE = re.compile(r"(?<![\w.])(?:\+\d{1,3}[ .-]?)?(?:\(\d{2,4}\)[ .-]?|\d{3}[ .-])\d{3}[ .-]\d{4}(?!\w)|(?<![\w.])\+\d{1,3}(?:[ .-]?\d{2,4}){3,4}(?!\w)", re.A)
 
+IBAN = re.compile(r"(?<!\w)[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?!\w)", re.A)
+IPV6 = re.compile(r"(?<![\w:.])(?:[0-9A-Fa-f]{0,4}:){2,7}[0-9A-Fa-f]{0,4}(?![\w:.]*:|\w)", re.A)
+SAID_PHONE = re.compile(r"(?i:\b(?:phone|telephone|tel|mobile|cell|fax|whatsapp|call(?: me| us)?(?: at| on)?)\b)[ .:#-]{1,3}(\d{7,15})(?![\w-])", re.A)
+
 GIVEN = {
-    ("latin", "f"): "Alice Barbara Caroline Diana Eleanor Fiona Gabriela Hannah Isabella Julia Katherine Laura Margaret Natalie Olivia Patricia Rachel Sophia Theresa Victoria".split(),
-    ("latin", "m"): "Andrew Benjamin Charles Daniel Edward Frederick George Henry Isaac James Kenneth Lewis Michael Nathan Oliver Patrick Robert Samuel Thomas William".split(),
+    ("latin", "f"): "Agnieszka Aisha Alice Barbara Caroline Diana Eleanor Emma Fatima Fiona Gabriela Hannah Ingrid Isabella Jane Julia Katarzyna Katherine Laura Margaret Maria Mary Natalie Olivia Patricia Rachel Sarah Sophia Theresa Victoria".split(),
+    ("latin", "m"): "Ahmed Andrew Benjamin Carlos Charles Daniel David Edward Frederick George Hans Henry Isaac James John José Kenneth Lewis Łukasz Marcin Michael Mohammed Nathan Oliver Omar Patrick Paweł Peter Pierre Robert Samuel Thomas William".split(),
     ("cyrillic", "f"): "Анна Вера Галина Дарья Елена Ирина Ксения Лариса Мария Наталья Ольга Полина Светлана Татьяна Юлия".split(),
     ("cyrillic", "m"): "Андрей Борис Виктор Григорий Дмитрий Евгений Иван Кирилл Леонид Михаил Николай Олег Павел Сергей Юрий".split(),
 }
-#: Letters of the words, and consonants, vowels and endings (given f, given m, family) of their surrogates.
-LETTERS = {"latin": "abcdefghijklmnopqrstuvwxyz", "marked": "abcdefghijklmnopqrstuvwxyzßàáâãäåæçèéêëìíîïðñòóôõöøùúûüýþÿ'-", "cyrillic": "абвгдежзийклмнопрстуфхцчшщъыьэюяё"}
-SYLLABLES = {"latin": ("bdfghjklmnprstvwxz", "aeiou", {"f": "lia", "m": "dor", "": "son"}), "marked": ("bdfghjklmnprstvwxz", "aeiou", {"f": "line", "m": "bert", "": "mann"}), "cyrillic": ("бвгджзклмнпрстфхцчш", "аеиоу", {"f": "лина", "m": "мир", "": "нов"})}
-_KNOWN = {w: g for (_, g), ws in GIVEN.items() for w in ws}
-_CAP = r"[A-ZÀ-ÖØ-Þ][a-zß-öø-ÿ]+(?:['-][A-ZÀ-ÖØ-Þ][a-zß-öø-ÿ]+)?"
-_CYR = r"[А-ЯЁ][а-яё]+"
-TITLED = re.compile(rf"\b(Mr|Mrs|Ms|Miss|Mister|Herr|Frau|Monsieur|Madame|Señor|Señora)(\.?[ ])((?:{_CAP})(?: {_CAP})?)")
-NAMED = re.compile(rf"\b((?:{'|'.join(w for (s, _), ws in GIVEN.items() if s == 'latin' for w in ws)}) {_CAP}|(?:{'|'.join(w for (s, _), ws in GIVEN.items() if s == 'cyrillic' for w in ws)}) {_CYR})")
-_FEMALE = {"Mrs", "Ms", "Miss", "Frau", "Madame", "Señora"}
+#: Chinese family names that a name may start with.
+SURNAMES = "王李张刘陈杨赵黄周吴徐孙胡朱高林何郭马罗"
+FIRST_IDEOGRAPH, IDEOGRAPHS = 0x4E00, 20992
+
+#: Latin letters with marks; the capital dotted I has no lower case of one letter and is left out.
+_EXTENDED = [chr(c) for c in range(0x100, 0x180) if c != 0x130]
+_UP = "A-ZÀ-ÖØ-Þ" + "".join(c for c in _EXTENDED if c.isupper())
+_LOW = "a-zß-öø-ÿ" + "".join(c for c in _EXTENDED if c.islower())
+#: Letters of the words, and consonants, vowels and endings (given f, given m, given of no known gender, family) of their surrogates.
+LETTERS = {"latin": "abcdefghijklmnopqrstuvwxyz", "marked": "abcdefghijklmnopqrstuvwxyzßàáâãäåæçèéêëìíîïðñòóôõöøùúûüýþÿ'-" + "".join(c for c in _EXTENDED if c.islower()), "cyrillic": "абвгдежзийклмнопрстуфхцчшщъыьэюяё"}
+SYLLABLES = {"latin": ("bdfghjklmnprstvwxz", "aeiou", {"f": "lia", "m": "dor", "n": "ren", "": "son"}), "marked": ("bdfghjklmnprstvwxz", "aeiou", {"f": "line", "m": "bert", "n": "gard", "": "mann"}), "cyrillic": ("бвгджзклмнпрстфхцчш", "аеиоу", {"f": "лина", "m": "мир", "n": "тан", "": "нов"})}
+_KNOWN = {w.lower(): g for (_, g), ws in GIVEN.items() for w in ws}
+_CAP = rf"(?:[{_UP}]')?[{_UP}][{_LOW}]+(?:[{_UP}][{_LOW}]+)?(?:['-][{_UP}][{_LOW}]+){{0,2}}(?!\w)"
+_ALL = rf"(?:[{_UP}]')?[{_UP}]{{2,}}(?:['-][{_UP}]{{2,}}){{0,2}}(?!\w)"
+_CYR, _CYR_ALL = r"[А-ЯЁ][а-яё]+(?!\w)", r"[А-ЯЁ]{2,}(?!\w)"
+_NAME = rf"(?:{_CAP}(?: {_CAP})?|{_ALL}(?: {_ALL})?)"
+_FEMALE = {"mrs", "ms", "miss", "madam", "frau", "madame", "señora", "signora", "госпожа", "г-жа"}
+_NEUTRAL = {"dr", "prof", "professor"}
+_TITLES = "Mr Mrs Ms Miss Mister Sir Madam Dr Prof Professor Herr Frau Monsieur Madame Señor Señora Signor Signora".split()
+TITLED = re.compile(rf"\b({'|'.join(_TITLES + [t.upper() for t in _TITLES])})(\.?[ ](?:[{_UP}]\. ){{0,2}})({_NAME})|\b([Гг]осподин|[Гг]оспожа|[Гг]-(?:н|жа)) ({_CYR}(?: {_CYR})?)")
+_LISTED = {s: "|".join(w for (t, _), ws in GIVEN.items() if t == s for w in ws) for s in ("latin", "cyrillic")}
+NAMED = re.compile(rf"\b(?:(?:{_LISTED['latin']}) (?:[{_UP}]\. )?{_CAP}|(?:{_LISTED['latin'].upper()}) (?:[{_UP}]\. )?{_ALL}|(?:{_LISTED['cyrillic']}) {_CYR}|(?:{_LISTED['cyrillic'].upper()}) {_CYR_ALL})")
+INTRODUCED = re.compile(rf"\b(?i:my name is|full name:|name:|signed,?|sincerely,|regards,)\s{{1,3}}({_NAME})|\bDear ({_NAME})(?=[,:])|\b(?i:меня зовут) ({_CYR}(?: {_CYR})?)")
+_NO_NAMES = {"all", "colleague", "colleagues", "customer", "editor", "friend", "friends", "madam", "reader", "readers", "sir", "sirs", "team"} | {t.lower() for t in _TITLES}
+CHINESE = re.compile(rf"([{SURNAMES}][一-鿿]{{1,2}}?)(?:先生|女士|小姐)|(?:我叫|姓名[：:])([{SURNAMES}][一-鿿]{{1,2}})(?![一-鿿])")
+_FAMILIAR = re.compile(rf"(?=([{SURNAMES}][一-鿿]{{1,2}}))")
+_WORD = re.compile(rf"(?<![\w'-])(?:{_CAP}|{_ALL}|{_CYR}|{_CYR_ALL})")
 
 
 @lru_cache(100_000)
@@ -114,6 +144,28 @@ def _ip(key: bytes, text: str) -> str:
     return ".".join(str(x >> s & 255) for s in (24, 16, 8, 0))
 
 
+def _ipv6(key: bytes, text: str) -> str | None:
+    """None for what is no address, or as short as a name in a program (a::b)."""
+    if len(text.split(":")[0]) < 4 and len([g for g in text.split(":") if g]) < 3:
+        return None
+    try:
+        x = int(ipaddress.IPv6Address(text))
+    except ValueError:
+        return None
+    return str(ipaddress.IPv6Address(permuted(key, "ipv6", x, 1 << 64, 1 << 64))) if x > 1 else None
+
+
+def _iban(key: bytes, text: str) -> str | None:
+    """Country and shape stay, and the check digits are right again; None without right ones."""
+    flat = text.replace(" ", "")
+    rest = lambda body: int("".join(str(int(c, 36)) for c in body)) % 97
+    if not 15 <= len(flat) <= 34 or rest(flat[4:] + flat[:4]) != 1:
+        return None
+    body = _in_places(key, f"iban{flat[:2]}", flat[4:])
+    new = iter(flat[:2] + f"{98 - rest(body + flat[:2] + '00'):02d}" + body)
+    return "".join(c if c == " " else next(new) for c in text)
+
+
 def _in_places(key: bytes, tag: str, text: str) -> str:
     """Letters to letters and digits to digits, in their places, by a permutation of all texts of that shape."""
     low = text.lower()
@@ -157,11 +209,11 @@ def emails(text: str) -> Iterator[tuple[int, int]]:
         at = text.find("@", max(end, at + 1))
 
 
-NUMBERS = (("card", CARD, _card), ("ssn", SSN, lambda key, t: _in_format(t, permuted_digits(key, "ssn", re.sub(r"\D", "", t)))), ("ip", IP, _ip), ("phone", PHONE, _phone))
+NUMBERS = (("iban", IBAN, _iban), ("card", CARD, _card), ("ssn", SSN, lambda key, t: _in_format(t, permuted_digits(key, "ssn", re.sub(r"\D", "", t)))), ("ip", IP, _ip), ("phone", PHONE, _phone))
 
 
 def name_word(key: bytes, word: str, gender: str) -> str:
-    """The surrogate of a word of a name; gender: f or m of a given name, empty for a family name.
+    """The surrogate of a word of a name; gender: f, m or n (not known) of a given name, empty for a family name.
 
     Words of up to two letters, up to four, and so on are one space each, and have more syllables than shorter ones.
     """
@@ -182,6 +234,43 @@ def name_word(key: bytes, word: str, gender: str) -> str:
     return new.upper() if word.isupper() and len(word) > 1 else new
 
 
+def ideographs(key: bytes, name: str) -> str:
+    """As many other ideographs."""
+    x, out = 0, ""
+    for c in name:
+        x = x * IDEOGRAPHS + ord(c) - FIRST_IDEOGRAPH
+    half = len(name) // 2
+    y = permuted(key, f"ideographs{len(name)}", x, IDEOGRAPHS**half, IDEOGRAPHS ** (len(name) - half))
+    for _ in name:
+        y, v = divmod(y, IDEOGRAPHS)
+        out = chr(FIRST_IDEOGRAPH + v) + out
+    return out
+
+
+def _people(text: str) -> Iterator[tuple[int, int, str]]:
+    """start, end, gender of the given names in it, and whether a single word is a given name (gender in capitals) or a family name."""
+    for m in TITLED.finditer(text):
+        title, k = (m[1] or m[4]).lower(), 3 if m[1] else 5
+        if title == "dr" and re.search(rf"[{_UP}][{_LOW}]+ $", text[max(0, m.start() - 30) : m.start()]):
+            continue  # a street
+        yield m.start(k), m.end(k), "f" if title in _FEMALE else "n" if title in _NEUTRAL else "m"
+    for m in NAMED.finditer(text):
+        yield m.start(), m.end(), "n"
+    for m in INTRODUCED.finditer(text):
+        k = m.lastindex
+        if m[k].split(" ")[0].lower() not in _NO_NAMES:
+            yield m.start(k), m.end(k), "N"
+
+
+def _name_words(text: str, a: int, b: int, gender: str) -> Iterator[tuple[int, int, str]]:
+    """start, end, gender of the words of a name, initials left out."""
+    words = [(a + m.start(), a + m.end()) for m in re.finditer(r"[^ ]+", text[a:b]) if not m[0].endswith(".")]
+    for k, (x, y) in enumerate(words):
+        last = k == len(words) - 1 and not (len(words) == 1 and gender.isupper())
+        known = _KNOWN.get(text[x:y].lower(), _KNOWN.get(text[words[0][0] : words[0][1]].lower(), gender.lower()))
+        yield x, y, "" if last and text[x:y].lower() not in _KNOWN else known
+
+
 def surrogates(text: str, key: bytes, digits: bool = True) -> tuple[str, list[tuple[str, int, int]]]:
     """The text with surrogates, and (kind, start, end) of the entities in the text as it was; digits: it may hold numbers."""
     found: list[tuple[int, int, str, str]] = []
@@ -198,13 +287,31 @@ def surrogates(text: str, key: bytes, digits: bool = True) -> tuple[str, list[tu
     if digits:
         for kind, pattern, make in NUMBERS:
             for m in pattern.finditer(text):
-                claim(kind, m.start(), m.end(), make(key, m[0]))
-    people = [(m.start(3), m.end(3), m[3], "f" if m[1] in _FEMALE else "m") for m in TITLED.finditer(text)]
-    people += [(m.start(), m.end(), m[0], _KNOWN[m[0].split()[0]]) for m in NAMED.finditer(text)]
-    for a, b, name, gender in people:
-        words = name.split(" ")
-        gender = _KNOWN.get(words[0], gender)
-        claim("name", a, b, " ".join(name_word(key, w, gender if k < len(words) - 1 or w in _KNOWN else "") for k, w in enumerate(words)))
+                if new := make(key, m[0]):
+                    claim(kind, m.start(), m.end(), new)
+        for m in SAID_PHONE.finditer(text):
+            claim("phone", m.start(1), m.end(1), _phone(key, m[1]))
+    if ":" in text:
+        for m in IPV6.finditer(text):
+            if new := _ipv6(key, m[0]):
+                claim("ip", m.start(), m.end(), new)
+    roles: dict[str, str] = {}
+    for a, b, gender in _people(text):
+        words = list(_name_words(text, a, b, gender))
+        for x, y, g in words:
+            roles.setdefault(text[x:y].lower(), g)
+        new, at = "", a
+        for x, y, g in words:
+            new, at = new + text[at:x] + name_word(key, text[x:y], g), y
+        claim("name", a, b, new + text[at:b])
+    for m in _WORD.finditer(text) if roles else ():
+        if (g := roles.get(m[0].lower())) is not None:
+            claim("name", m.start(), m.end(), name_word(key, m[0], g))
+    chinese = {m[1] or m[2] for m in CHINESE.finditer(text)}
+    for m in _FAMILIAR.finditer(text) if chinese else ():
+        for name in (m[1], m[1][:2]):
+            if name in chinese:
+                claim("name", m.start(), m.start() + len(name), ideographs(key, name))
     if not found:
         return text, []
     out, at = [], 0
