@@ -48,6 +48,7 @@ PHONE = re.compile(r"(?<![\w.])(?:\+\d{1,3}[ .-]?)?(?:\(\d{2,4}\)[ .-]?|\d{3}[ .
 IBAN = re.compile(r"(?<!\w)[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?!\w)", re.A)
 IPV6 = re.compile(r"(?<![\w:.])(?:[0-9A-Fa-f]{0,4}:){2,7}[0-9A-Fa-f]{0,4}(?![\w:.]*:|\w)", re.A)
 SAID_PHONE = re.compile(r"(?i:\b(?:phone|telephone|tel|mobile|cell|fax|whatsapp|call(?: me| us)?(?: at| on)?)\b)[ .:#-]{1,3}(\d{7,15})(?![\w-])", re.A)
+_SEVEN, _COUNTRY = re.compile(r"\d{7}", re.A), re.compile(r"[A-Z]{2}\d{2}", re.A)
 
 GIVEN = {
     ("latin", "f"): "Agnieszka Aisha Alice Barbara Caroline Diana Eleanor Emma Fatima Fiona Gabriela Hannah Ingrid Isabella Jane Julia Katarzyna Katherine Laura Margaret Maria Mary Natalie Olivia Patricia Rachel Sarah Sophia Theresa Victoria".split(),
@@ -74,12 +75,18 @@ _NAME = rf"(?:{_CAP}(?: {_CAP})?|{_ALL}(?: {_ALL})?)"
 _FEMALE = {"mrs", "ms", "miss", "madam", "frau", "madame", "señora", "signora", "госпожа", "г-жа"}
 _NEUTRAL = {"dr", "prof", "professor"}
 _TITLES = "Mr Mrs Ms Miss Mister Sir Madam Dr Prof Professor Herr Frau Monsieur Madame Señor Señora Signor Signora".split()
-TITLED = re.compile(rf"\b({'|'.join(_TITLES + [t.upper() for t in _TITLES])})(\.?[ ](?:[{_UP}]\. ){{0,2}})({_NAME})|\b([Гг]осподин|[Гг]оспожа|[Гг]-(?:н|жа)) ({_CYR}(?: {_CYR})?)")
+TITLED = re.compile(rf"\b({'|'.join(_TITLES + [t.upper() for t in _TITLES])})(\.?[ ](?:[{_UP}]\. ){{0,2}})({_NAME})")
+TITLED_CYRILLIC = re.compile(rf"\b([Гг]осподин|[Гг]оспожа|[Гг]-(?:н|жа)) ({_CYR}(?: {_CYR})?)")
+_TITLE_WORDS = {t.lower() for t in _TITLES}
+#: A capitalised word before another one: only there can a title or a given name begin a name.
+_CUE = re.compile(rf"([{_UP}А-ЯЁ](?<!\w.)\w++)(?=\.? (?:[{_UP}]\. ){{0,2}}[{_UP}А-ЯЁ]['\w])")
 _LISTED = {s: "|".join(w for (t, _), ws in GIVEN.items() if t == s for w in ws) for s in ("latin", "cyrillic")}
 NAMED = re.compile(rf"\b(?:(?:{_LISTED['latin']}) (?:[{_UP}]\. )?{_CAP}|(?:{_LISTED['latin'].upper()}) (?:[{_UP}]\. )?{_ALL}|(?:{_LISTED['cyrillic']}) {_CYR}|(?:{_LISTED['cyrillic'].upper()}) {_CYR_ALL})")
 INTRODUCED = re.compile(rf"\b(?i:my name is|full name:|name:|signed,?|sincerely,|regards,)\s{{1,3}}({_NAME})|\bDear ({_NAME})(?=[,:])|\b(?i:меня зовут) ({_CYR}(?: {_CYR})?)")
+_CUES = ("name is", "name:", "signed", "sincerely,", "regards,", "dear ", "зовут")
 _NO_NAMES = {"all", "colleague", "colleagues", "customer", "editor", "friend", "friends", "madam", "reader", "readers", "sir", "sirs", "team"} | {t.lower() for t in _TITLES}
 CHINESE = re.compile(rf"([{SURNAMES}][一-鿿]{{1,2}}?)(?:先生|女士|小姐)|(?:我叫|姓名[：:])([{SURNAMES}][一-鿿]{{1,2}})(?![一-鿿])")
+_CHINESE_CUES = ("先生", "女士", "小姐", "我叫", "姓名")
 _FAMILIAR = re.compile(rf"(?=([{SURNAMES}][一-鿿]{{1,2}}))")
 _WORD = re.compile(rf"(?<![\w'-])(?:{_CAP}|{_ALL}|{_CYR}|{_CYR_ALL})")
 
@@ -209,9 +216,10 @@ def emails(text: str) -> Iterator[tuple[int, int]]:
         at = text.find("@", max(end, at + 1))
 
 
-NUMBERS = (("iban", IBAN, _iban), ("card", CARD, _card), ("ssn", SSN, lambda key, t: _in_format(t, permuted_digits(key, "ssn", re.sub(r"\D", "", t)))), ("ip", IP, _ip), ("phone", PHONE, _phone))
+NUMBERS = (("card", CARD, _card), ("ssn", SSN, lambda key, t: _in_format(t, permuted_digits(key, "ssn", re.sub(r"\D", "", t)))), ("ip", IP, _ip), ("phone", PHONE, _phone))
 
 
+@lru_cache(100_000)
 def name_word(key: bytes, word: str, gender: str) -> str:
     """The surrogate of a word of a name; gender: f, m or n (not known) of a given name, empty for a family name.
 
@@ -248,18 +256,23 @@ def ideographs(key: bytes, name: str) -> str:
 
 
 def _people(text: str) -> Iterator[tuple[int, int, str]]:
-    """start, end, gender of the given names in it, and whether a single word is a given name (gender in capitals) or a family name."""
-    for m in TITLED.finditer(text):
-        title, k = (m[1] or m[4]).lower(), 3 if m[1] else 5
-        if title == "dr" and re.search(rf"[{_UP}][{_LOW}]+ $", text[max(0, m.start() - 30) : m.start()]):
-            continue  # a street
-        yield m.start(k), m.end(k), "f" if title in _FEMALE else "n" if title in _NEUTRAL else "m"
-    for m in NAMED.finditer(text):
-        yield m.start(), m.end(), "n"
-    for m in INTRODUCED.finditer(text):
+    """start, end, gender of the given names in it: a capital says that a single word is a given name."""
+    for c in _CUE.finditer(text):
+        word = c[1].lower()
+        if word in _TITLE_WORDS and (m := TITLED.match(text, c.start())):
+            if word == "dr" and re.search(rf"[{_UP}][{_LOW}]+ $", text[max(0, m.start() - 30) : m.start()]):
+                continue  # a street
+            yield *m.span(3), "f" if word in _FEMALE else "n" if word in _NEUTRAL else "m"
+        elif word in _KNOWN and (m := NAMED.match(text, c.start())):
+            yield *m.span(), "n"
+    if "оспо" in text or "г-" in text or "Г-" in text:
+        for m in TITLED_CYRILLIC.finditer(text):
+            yield *m.span(2), "f" if m[1].lower() in _FEMALE else "m"
+    low = text.lower()
+    for m in INTRODUCED.finditer(text) if any(cue in low for cue in _CUES) else ():
         k = m.lastindex
         if m[k].split(" ")[0].lower() not in _NO_NAMES:
-            yield m.start(k), m.end(k), "N"
+            yield *m.span(k), "N"
 
 
 def _name_words(text: str, a: int, b: int, gender: str) -> Iterator[tuple[int, int, str]]:
@@ -285,13 +298,15 @@ def surrogates(text: str, key: bytes, digits: bool = True) -> tuple[str, list[tu
         for a, b in emails(text):
             claim("email", a, b, _email(key, text[a:b]))
     if digits:
+        for m in IBAN.finditer(text) if _COUNTRY.search(text) else ():
+            if new := _iban(key, m[0]):
+                claim("iban", m.start(), m.end(), new)
         for kind, pattern, make in NUMBERS:
             for m in pattern.finditer(text):
-                if new := make(key, m[0]):
-                    claim(kind, m.start(), m.end(), new)
-        for m in SAID_PHONE.finditer(text):
+                claim(kind, m.start(), m.end(), make(key, m[0]))
+        for m in SAID_PHONE.finditer(text) if _SEVEN.search(text) else ():
             claim("phone", m.start(1), m.end(1), _phone(key, m[1]))
-    if ":" in text:
+    if "::" in text or text.count(":") >= 7:
         for m in IPV6.finditer(text):
             if new := _ipv6(key, m[0]):
                 claim("ip", m.start(), m.end(), new)
@@ -307,7 +322,7 @@ def surrogates(text: str, key: bytes, digits: bool = True) -> tuple[str, list[tu
     for m in _WORD.finditer(text) if roles else ():
         if (g := roles.get(m[0].lower())) is not None:
             claim("name", m.start(), m.end(), name_word(key, m[0], g))
-    chinese = {m[1] or m[2] for m in CHINESE.finditer(text)}
+    chinese = {m[1] or m[2] for m in CHINESE.finditer(text)} if any(cue in text for cue in _CHINESE_CUES) else set()
     for m in _FAMILIAR.finditer(text) if chinese else ():
         for name in (m[1], m[1][:2]):
             if name in chinese:
