@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from orbweave.plans import axis_queries, canal_queries, cohort_queries, measures_queries, region_queries, report_queries, scoring_queries, shape_queries, spatial_queries, stream_queries, summary_queries, table_queries, volume_queries
+from orbweave.plans import axis_queries, canal_queries, cohort_queries, measures_queries, part_queries, region_queries, report_queries, scoring_queries, shape_queries, spatial_queries, stream_queries, summary_queries, table_queries, volume_queries
 
-MODULES = (measures_queries, table_queries, spatial_queries, axis_queries, scoring_queries, volume_queries, shape_queries, stream_queries, cohort_queries, report_queries, summary_queries, region_queries, canal_queries)
+MODULES = (measures_queries, table_queries, spatial_queries, axis_queries, scoring_queries, volume_queries, shape_queries, stream_queries, cohort_queries, report_queries, summary_queries, region_queries, canal_queries, part_queries)
 
 
 def _united(tables: list[dict]) -> dict:
