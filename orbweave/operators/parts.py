@@ -15,8 +15,8 @@ from pyspark.sql import functions as F
 from orbweave.operators.graph import components
 from orbweave.operators.grids import BLOCK, cell_id
 from orbweave.operators.ranges import written
-from orbweave.operators.regions import dark_voxels, opened
-from orbweave.operators.volumes import dilated, downsample
+from orbweave.operators.regions import dark_voxels, face_neighbours, opened
+from orbweave.operators.volumes import downsample
 
 ZYX = ("z", "y", "x")
 
@@ -129,7 +129,7 @@ def adaptive_background(voxels: DataFrame, factor: tuple[int, int, int] = (16, 1
     limits = coarse.groupBy(*where).agg(F.percentile("value", F.lit(percentile / 100)).alias("_limit"))
     objects = voxels.where("label != 0").select(*[F.floor(F.col(c) / f).cast("long").alias(c) for c, f in zip(ZYX, factor, strict=True)]).distinct()
     bright = coarse.select("*", *where).join(limits, [f"k{c}" for c in ZYX]).where(F.col("value") > F.col("_limit"))
-    return bright.select(*ZYX).join(dilated(objects, 1), list(ZYX), "left_anti")
+    return bright.select(*ZYX).join(face_neighbours(objects, ()).distinct(), list(ZYX), "left_anti")
 
 
 def masked(voxels: DataFrame, mask: DataFrame, factor: tuple[int, int, int]) -> DataFrame:

@@ -68,7 +68,7 @@ def dark_voxels(voxels: DataFrame, label: str = "label", value: str = "value") -
     return voxels.join(limit, label).where(F.col(value) < F.col("threshold")).select(*ZYX, label)
 
 
-def _faces(cells: DataFrame, by: tuple[str, ...]) -> DataFrame:
+def face_neighbours(cells: DataFrame, by: tuple[str, ...]) -> DataFrame:
     """Each cell at its own place and at those of its six face neighbours."""
     steps = F.array(*[F.struct(*[F.lit(s * (c == k)).alias(c) for c in ZYX]) for k in ZYX for s in (-1, 1)], F.struct(*[F.lit(0).alias(c) for c in ZYX]))
     return cells.withColumn("_s", F.explode(steps)).select(*by, *[(F.col(c) + F.col(f"_s.{c}")).alias(c) for c in ZYX])
@@ -78,9 +78,9 @@ def opened(cells: DataFrame, rounds: int = 1, by: tuple[str, ...] = ()) -> DataF
     """by, z, y, x of the opening along faces: eroded, then dilated, so many times each; outside of the cells is background."""
     out = cells.select(*by, *ZYX).distinct()
     for _ in range(rounds):
-        out = _faces(out, by).groupBy(*by, *ZYX).agg(F.count("*").alias("_n")).where("_n = 7").drop("_n")
+        out = face_neighbours(out, by).groupBy(*by, *ZYX).agg(F.count("*").alias("_n")).where("_n = 7").drop("_n")
     for _ in range(rounds):
-        out = _faces(out, by).distinct()
+        out = face_neighbours(out, by).distinct()
     return out
 
 

@@ -74,7 +74,7 @@ def _(s, d):
 
 _FACTOR, _CHUNK = (2, 2, 2), (4, 5, 5)
 _MASK = [
-    "lit AS (SELECT z, y, x, value, CASE WHEN value > 49 THEN label ELSE 0 END AS label FROM stack)",
+    "lit AS (SELECT z, y, x, value, CASE WHEN value < 12 THEN label ELSE 0 END AS label FROM stack)",
     "coarse AS (SELECT z // 2 AS z, y // 2 AS y, x // 2 AS x, avg(value) AS value FROM lit GROUP BY 1, 2, 3)",
     "limits AS (SELECT z // 4 AS kz, y // 5 AS ky, x // 5 AS kx, quantile_cont(value, 0.35) AS l FROM coarse GROUP BY 1, 2, 3)",
     "touched AS (SELECT DISTINCT z // 2 AS z, y // 2 AS y, x // 2 AS x FROM lit WHERE label != 0)",
@@ -83,7 +83,7 @@ _MASK = [
 
 
 def lit(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return stack(spark, sf_dir).withColumn("label", F.when(F.col("value") > 49, F.col("label")).otherwise(0))
+    return stack(spark, sf_dir).withColumn("label", F.when(F.col("value") < 12, F.col("label")).otherwise(0))
 
 
 @query("adaptive_background", with_(STACK, *_MASK) + "SELECT * FROM mask")
