@@ -59,40 +59,53 @@ def intersection_over_union(a: np.ndarray, b: np.ndarray) -> float | None:
     return both / (polygon_area(p) + polygon_area(q) - both)
 
 
-def hull_volume(points: np.ndarray) -> float:
-    """Volume of the convex hull in space, by adding the points one at a time; 0 if they lie in a plane."""
+def hull_faces(points: np.ndarray) -> np.ndarray:
+    """Triangles (m, 3, 3) of the convex hull in space, seen counter-clockwise from outside; none if the points lie in a plane.
+
+    Points are added one at a time; the faces that see a new one give way to those from their rim to it.
+    """
     p = np.unique(np.asarray(points, float).reshape(-1, 3), axis=0)
     if len(p) < 4:
+        return np.empty((0, 3, 3))
+    a = 0
+    b = np.linalg.norm(p - p[a], axis=1).argmax()
+    c = np.linalg.norm(np.cross(p - p[a], p[b] - p[a]), axis=1).argmax()
+    off = np.abs((p - p[a]) @ np.cross(p[b] - p[a], p[c] - p[a]))
+    d, scale = off.argmax(), np.ptp(p, axis=0).max() or 1.0
+    if off[d] <= 1e-9 * scale**3:
+        return np.empty((0, 3, 3))
+    inner = p[[a, b, c, d]].mean(0)
+
+    def turned(faces: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        x = p[faces]
+        normal = np.cross(x[:, 1] - x[:, 0], x[:, 2] - x[:, 0])
+        back = ((x[:, 0] - inner) * normal).sum(1) < 0
+        faces, normal = np.where(back[:, None], faces[:, [0, 2, 1]], faces), np.where(back[:, None], -normal, normal)
+        return faces, normal, (normal * x[:, 0]).sum(1)
+
+    faces, normal, off = turned(np.array([(a, b, c), (a, b, d), (a, c, d), (b, c, d)]))
+    for k, q in enumerate(p):
+        seen = normal @ q - off > 1e-10 * scale**3
+        if not seen.any():
+            continue
+        edges = faces[seen][:, [[0, 1], [1, 2], [2, 0]]].reshape(-1, 2)
+        codes, back = edges[:, 0] * len(p) + edges[:, 1], edges[:, 1] * len(p) + edges[:, 0]
+        rim = edges[~np.isin(codes, back)]
+        new = turned(np.column_stack([rim, np.full(len(rim), k)]))
+        faces, normal, off = (np.concatenate([old[~seen], more]) for old, more in zip((faces, normal, off), new, strict=True))
+    return p[faces]
+
+
+def faces_volume(faces: np.ndarray) -> float:
+    if not len(faces):
         return 0.0
-    a = p[0]
-    b = p[np.linalg.norm(p - a, axis=1).argmax()]
-    c = p[np.linalg.norm(np.cross(p - a, b - a), axis=1).argmax()]
-    normal = np.cross(b - a, c - a)
-    off = (p - a) @ normal
-    d = p[np.abs(off).argmax()]
-    scale = np.ptp(p, axis=0).max() or 1.0
-    if np.abs(off).max() <= 1e-9 * scale**3:
-        return 0.0
-    inner = (a + b + c + d) / 4
+    x = faces - faces.reshape(-1, 3).mean(0)
+    return float(abs((x[:, 0] * np.cross(x[:, 1], x[:, 2])).sum()) / 6)
 
-    def face(x, y, z):
-        n = np.cross(y - x, z - x)
-        return (x, y, z) if n @ (x - inner) > 0 else (x, z, y)
 
-    faces = [face(*f) for f in ((a, b, c), (a, b, d), (a, c, d), (b, c, d))]
-    for q in p:
-        seen = [f for f in faces if np.cross(f[1] - f[0], f[2] - f[0]) @ (q - f[0]) > 1e-10 * scale**3]
-        if not seen:
-            continue
-        edges: dict[tuple, int] = {}
-        for f in seen:
-            for k in range(3):
-                e = (tuple(f[k]), tuple(f[(k + 1) % 3]))
-                edges[e] = edges.get(e, 0) + 1
-        gone = {id(f) for f in seen}
-        faces = [f for f in faces if id(f) not in gone]
-        faces += [face(np.array(x), np.array(y), q) for x, y in edges if (y, x) not in edges]
-    return float(abs(sum(np.dot(f[0] - inner, np.cross(f[1] - inner, f[2] - inner)) for f in faces)) / 6)
+def hull_volume(points: np.ndarray) -> float:
+    """Volume of the convex hull in space; 0 if the points lie in a plane."""
+    return faces_volume(hull_faces(points))
 
 
 @F.pandas_udf(T.ArrayType(T.ArrayType(T.DoubleType())))

@@ -37,8 +37,12 @@ def neighbors_in_radius(table: DataFrame, radius: float = 15.0, key: str = "labe
     return near.groupBy(F.col("a").alias(key)).agg(F.count("*").alias("neighbors"))
 
 
-def local_ripleys_k(table: DataFrame, radius: float, volume: float, key: str = "label_id") -> DataFrame:
-    """(Neighbours within the radius, itself left out) over the density of all objects in the volume."""
+def local_ripleys_k(table: DataFrame, radius: float = 15.0, volume: float | Column | None = None, key: str = "label_id") -> DataFrame:
+    """(Neighbours within the radius, itself left out) over the density of all objects in the volume; without one, in their convex hull."""
+    if volume is None:
+        from orbweave.operators.hulls import convex_hulls
+
+        volume = convex_hulls(table, ()).select("volume").scalar()
     near = radius_join(table, table, radius, key).groupBy(F.col("a").alias(key)).agg((F.count("*") - 1).alias("neighbors"))
     total = table.agg(F.count("*").cast("double")).scalar()
     return near.select(key, (F.col("neighbors") / (total / volume)).alias("ripley"))

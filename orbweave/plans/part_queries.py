@@ -7,7 +7,9 @@ from pyspark.sql import functions as F
 
 from orbweave.operators import parts as P
 from orbweave.operators import volumes as V
-from orbweave.plans.adapters import table, with_
+from orbweave.operators.hulls import convex_hulls, inside_hulls
+from orbweave.operators.spatial import local_ripleys_k
+from orbweave.plans.adapters import objects, table, with_
 
 Q, SQL = {}, {}
 
@@ -119,4 +121,23 @@ def _(s, d):
     return V.normalised(places(s, d).select("label_id", "mean"), found, ["mean"])
 
 
+@query("hull_volumes", None)
+def _(s, d):
+    """Corners and volume of the hull of each component's objects; tests/test_hulls.py holds them against plain versions."""
+    return convex_hulls(objects(s, d), ("component_labels",)).select("component_labels", "n_corners", F.bround("volume", 6).alias("volume"))
+
+
+@query("ripleys_k_in_hull", None)
+def _(s, d):
+    """Over the density in the objects' own hull."""
+    return local_ripleys_k(objects(s, d), 15.0).withColumn("ripley", F.bround("ripley", 6))
+
+
+@query("objects_in_hull", None)
+def _(s, d):
+    """Objects of all components that lie within the hull of component 0."""
+    hull = convex_hulls(objects(s, d).where("component_labels = 0"), ())
+    return inside_hulls(objects(s, d).select("label_id", "component_labels", "anchor_x", "anchor_y", "anchor_z"), hull, ())
+
+
 QUERIES, ORACLE_SQL = Q, SQL
