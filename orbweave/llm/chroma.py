@@ -6,9 +6,9 @@ place in time. Recordings are aligned by the offsets at which they share numbers
 vote for each two of their four bytes that agree, the offset with the most votes wins, and the bit error there says
 how alike they are.
 
-Recordings with equal fingerprints are one class; only classes are aligned. The queries are taken in blocks of at most
-BLOCK; a block is an index by bytes that all tasks have, and every class votes against it where it is. So votes are not
-shuffled; chance votes grow with queries times classes.
+Recordings with equal fingerprints are one class; only classes are aligned. The queries are dealt to blocks of about
+NUMBERS fingerprint numbers, however long each recording is; a block is an index by bytes that all tasks have, and every
+class votes against it where it is. So votes are not shuffled; chance votes grow with queries times classes.
 
 Defined results: a null, an empty and a too short recording have an empty fingerprint and match nothing; bytes that
 do not begin as a WAV file are raw 16-bit samples; a broken WAV file has an empty fingerprint; a null id is not a query; repeated rows are one class; extra columns are ignored;
@@ -40,8 +40,8 @@ CUT = 0.25
 BIT_ERROR, LEAST_SHARED = 0.2, 3
 NOTES, SEGMENTS = 48, 16
 FRAMES = 1_024
-#: Queries of an index, and votes that are counted at a time.
-BLOCK, VOTES = 16_384, 2_000_000
+#: Numbers of an index (some 200 bytes each in a task, 4 in the driver), and votes that are counted at a time.
+NUMBERS, VOTES = 500_000, 2_000_000
 
 
 def _wav(data: bytes) -> tuple[int, np.ndarray]:
@@ -245,13 +245,14 @@ def align(prints: DataFrame, queries, error: float = BIT_ERROR, shared: int = LE
     classes = checkpointed(all_.where("key is not null and id is not null").groupBy("key").agg(F.min("id").alias("class"), F.max(queries(F.col("id")).cast("int")).alias("asked"), F.first("fingerprint").alias("fingerprint")))
     heard = classes.select("class", "fingerprint")
     asked = classes.where("asked = 1").select("class", "fingerprint")
-    blocks = -(-asked.count() // BLOCK)
+    blocks = -(-(asked.agg(F.sum(F.size("fingerprint"))).first()[0] or 0) // NUMBERS)
     found = None
     for k in range(blocks):
-        block = asked.where(F.pmod(F.xxhash64("class"), F.lit(blocks)) == k).toArrow()
+        block = asked.where(F.pmod(F.xxhash64("class"), F.lit(blocks)) == k).toArrow().combine_chunks()
         if block.num_rows:
             names = block.column(0).to_numpy().astype(np.int64)
-            numbers = [np.array(x, np.int32).view(np.uint32) for x in block.column(1).to_pylist()]
+            lists = [c for c in block.column(1).chunks if len(c)]
+            numbers = [x for c in lists for x in np.split(c.flatten().to_numpy().view(np.uint32), np.diff(c.offsets.to_numpy()).cumsum()[:-1])]
             part = checkpointed(heard.mapInArrow(_aligned(names, numbers, error, shared), "query bigint, class bigint, offset int, error double"))
             found = part if found is None else found.unionByName(part)
     if found is None:

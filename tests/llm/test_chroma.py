@@ -128,3 +128,12 @@ def test_cuts_off_the_grid_are_found(spark):
     got = {r.id: r for r in chroma.align(chroma.fingerprints(spark.createDataFrame([(i, bytearray(b)) for i, b in rows], "id long, audio binary")), lambda i: i % 20 == 0).collect()}
     hit = sum(got[20 * k].best == 20 * k + 1 for k in range(30))
     assert hit >= 27
+
+
+def test_blocks_of_any_number_give_the_same_rows(spark, monkeypatch):
+    rows = [(k, raw(tune(k % 9, 2.0 + k % 3))) for k in range(60)]
+    prints = fingerprints(spark.createDataFrame(rows, "id long, audio binary")).persist()
+    whole = sorted(align(prints, lambda i: i % 2 == 0).collect())
+    monkeypatch.setattr("orbweave.llm.chroma.NUMBERS", 70)  # a block has a few recordings, or a long one alone
+    assert sorted(align(prints, lambda i: i % 2 == 0).collect()) == whole
+    prints.unpersist()
