@@ -106,17 +106,20 @@ def _euler_of_corner(config: int) -> float:
     return 1 - len(edges) / 2 + len(faces) / 4 - len(full) / 8
 
 
-def euler_numbers(voxels: DataFrame, label: str = "label") -> DataFrame:
-    """label, euler: parts less tunnels plus hollows of each object, whose voxels meet over corners as well.
+def octants(voxels: DataFrame, label: str = "label") -> DataFrame:
+    """label, z, y, x, config of each place between 2 x 2 x 2 voxels, the last of which has its numbers: bit k is set where octant k has the label.
 
-    Every voxel tells the eight places at its corners which of their octants it fills. The octants of a place are
-    one byte, united map side first, and each of the 256 bytes adds a fixed share.
+    Every voxel tells the eight places at its corners which of their octants it fills; they are united map side first.
     """
     corners = list(enumerate(product((0, 1), repeat=3)))
     sent = F.array(*[F.struct(*[F.lit(1 - v).alias(c) for c, v in zip(ZYX, o, strict=True)], F.lit(1 << k).alias("bit")) for k, o in corners])
-    places = voxels.where(F.col(label) != 0).withColumn("_s", F.explode(sent)).groupBy(label, *[(F.col(c) + F.col(f"_s.{c}")).alias(c) for c in ZYX]).agg(F.bit_or(F.col("_s.bit")).alias("config"))
+    return voxels.where(F.col(label) != 0).withColumn("_s", F.explode(sent)).groupBy(label, *[(F.col(c) + F.col(f"_s.{c}")).alias(c) for c in ZYX]).agg(F.bit_or(F.col("_s.bit")).alias("config"))
+
+
+def euler_numbers(voxels: DataFrame, label: str = "label") -> DataFrame:
+    """label, euler: parts less tunnels plus hollows of each object, whose voxels meet over corners as well. Each of the 256 cases of a place adds a fixed share."""
     shares = F.array(*[F.lit(_euler_of_corner(k)) for k in range(256)])
-    return places.groupBy(label, "config").agg(F.count("*").alias("n")).groupBy(label).agg(F.round(F.sum(F.col("n") * F.get(shares, F.col("config")))).cast("long").alias("euler"))
+    return octants(voxels, label).groupBy(label, "config").agg(F.count("*").alias("n")).groupBy(label).agg(F.round(F.sum(F.col("n") * F.get(shares, F.col("config")))).cast("long").alias("euler"))
 
 
 def adaptive_background(voxels: DataFrame, factor: tuple[int, int, int] = (16, 16, 16), chunk: tuple[int, int, int] = (8, 32, 32), percentile: float = 35.0) -> DataFrame:

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from orbweave.operators import parts as P
 from orbweave.operators import volumes as V
 from orbweave.operators.hulls import convex_hulls, inside_hulls
+from orbweave.operators.mesh import cube, mesh_measures
 from orbweave.operators.spatial import local_ripleys_k
 from orbweave.plans.adapters import objects, table, with_
 
@@ -74,6 +75,16 @@ def _(s, d):
     return P.euler_numbers(bright(s, d))
 
 
+_SCALE = (1.0, 0.5, 0.5)
+_OCTANTS = "octants AS (SELECT label, z + 1 - a AS z, y + 1 - b AS y, x + 1 - c AS x, bit_or((1 << (4 * a + 2 * b + c))::INT) AS config FROM stack, (VALUES (0), (1)) s(a), (VALUES (0), (1)) t(b), (VALUES (0), (1)) u(c) WHERE value > 44 GROUP BY 1, 2, 3, 4)"
+_CASES = "cases AS (SELECT * FROM (VALUES " + ", ".join(f"({k}, {a!r}::DOUBLE, {v!r}::DOUBLE)" for k in range(256) for a, v in [cube(k, _SCALE)]) + ") c(config, area, volume))"
+
+
+@query("mesh_measures", with_(STACK, _OCTANTS, _CASES) + "SELECT label, round_even(sum(volume), 6) AS volume, round_even(sum(area), 6) AS surface FROM octants JOIN cases USING (config) GROUP BY 1")
+def _(s, d):
+    return mesh_measures(bright(s, d), _SCALE).select("label", *[F.bround(c, 6).alias(c) for c in ("volume", "surface")])
+
+
 _FACTOR, _CHUNK = (2, 2, 2), (4, 5, 5)
 _MASK = [
     "lit AS (SELECT z, y, x, value, CASE WHEN value < 12 THEN label ELSE 0 END AS label FROM stack)",
