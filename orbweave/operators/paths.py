@@ -1,15 +1,10 @@
-"""Paths through components: graph kernels on one component, run in parallel over data sets."""
+"""Plain kernels on one component: what the tests hold `trees`, `grids` and `sweeps` against."""
 
 from __future__ import annotations
 
 import heapq
-import math
 
 import numpy as np
-import pandas as pd
-from pyspark.sql import DataFrame
-
-from orbweave.functions.scalar import GREENWOOD
 
 
 def distances(p: np.ndarray) -> np.ndarray:
@@ -109,59 +104,3 @@ def central_cells(mask: np.ndarray, a: tuple, b: tuple) -> list[tuple]:
             return []
         out.append(before[out[-1]])
     return [cells[k] for k in out[::-1]]
-
-
-def run_length(parts: list[np.ndarray], half: int = 3) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Nodes, fraction and length of the chained paths of components; steps between components count 0.
-
-    A component's path joins its two most distant nodes with the fewest hops, on the graph whose radius is the longest
-    edge of all the spanning trees (rounded up). Components follow each other by their nearest ends.
-    """
-    radius = float(math.floor(max(longest_tree_edge(p) for p in parts) + 1))
-    lines = []
-    for p in parts:
-        graph = radius_graph(p, radius)
-        lines.append(p[fewest_hops(graph, *most_distant(graph))])
-    chain, rest = [lines[0]], lines[1:]
-    while rest:
-        ends = [(float(np.linalg.norm(e - x[s])), k, s, side) for k, x in enumerate(rest) for s in (0, -1) for side, e in ((0, chain[0][0]), (1, chain[-1][-1]))]
-        _, k, s, side = min(ends)
-        x = rest.pop(k)
-        if side:
-            chain.append(x if s == 0 else x[::-1])
-        else:
-            chain.insert(0, x if s == -1 else x[::-1])
-    nodes = np.concatenate(chain)
-    step = np.concatenate([[0.0], np.linalg.norm(np.diff(nodes, axis=0), axis=1)])
-    step[np.cumsum([len(c) for c in chain])[:-1]] = 0
-    length = np.cumsum(step)
-    total = length[-1]
-    fraction = length / total if total else np.zeros(len(length))
-    fraction[-1] = 1.0
-    return smooth(nodes, half) if len(nodes) > 2 * half else nodes, fraction, length
-
-
-def tonotopic_mapping(objects: DataFrame, components: tuple[int, ...], animal: str = "mouse", by: str = "dataset") -> DataFrame:
-    """label_id, by, offset, length_fraction, length, frequency of each object by its nearest path node.
-
-    A data set's components go to one task as its path needs all of them; data sets run side by side. Objects outside
-    of the components get offset -1 and 0 elsewhere.
-    """
-    scale, slope, shift = GREENWOOD[animal]
-
-    def solve(part: pd.DataFrame) -> pd.DataFrame:
-        out = part[["label_id", by]].assign(offset=-1.0, length_fraction=0.0, length=0.0, frequency=0.0)
-        inside = part.component_labels.isin(components).to_numpy()
-        if inside.sum() > 1:
-            chosen = part[inside].sort_values("label_id")
-            groups = [g[["anchor_x", "anchor_y", "anchor_z"]].to_numpy() for c in components for g in [chosen[chosen.component_labels == c]] if len(g) > 1]
-            if groups:
-                nodes, fraction, length = run_length(groups)
-                p = part.loc[inside, ["anchor_x", "anchor_y", "anchor_z"]].to_numpy()
-                d = np.sqrt(((p[:, None] - nodes[None]) ** 2).sum(-1))
-                k = d.argmin(1)
-                out.loc[inside, ["offset", "length_fraction", "length", "frequency"]] = np.stack([d.min(1), fraction[k], length[k], scale * (10 ** (slope * fraction[k]) - shift)], 1)
-        return out
-
-    kind = objects.schema[by].dataType.simpleString()
-    return objects.groupBy(by).applyInPandas(solve, f"label_id long, {by} {kind}, offset double, length_fraction double, length double, frequency double")

@@ -4,8 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from orbweave.operators import canal as C
 from orbweave.operators import density as D
-from orbweave.operators import paths as P
+from orbweave.operators import sweeps as W
+from orbweave.operators.ranges import written
 from orbweave.plans.adapters import OBJECTS, objects, with_
 
 Q, SQL = {}, {}
@@ -71,10 +73,21 @@ def _(s, d):
     return D.largest_cluster(part, 6.0, 5, 0.5).select("label_id", "component_labels")
 
 
+def _three_sets(s, d):
+    return objects(s, d).withColumn("dataset", (F.col("label_id") % 3).cast("long"))
+
+
+@query("smaller_type_run", None)
+def _(s, d):
+    """Nodes of the run of each data set; tests/test_sweeps.py holds them against all pairs and a Dijkstra from every node."""
+    return W.smaller_run(_three_sets(s, d), (1, 2))
+
+
 @query("tonotopic_mapping", None)
 def _(s, d):
-    o = objects(s, d).withColumn("dataset", (F.col("label_id") % 3).cast("long"))
-    return P.tonotopic_mapping(o, (1, 2))
+    """All objects by the nearest node of that run."""
+    o = _three_sets(s, d)
+    return C.mapped(o, written(W.smaller_run(o, (1, 2))), (1, 2))
 
 
 QUERIES, ORACLE_SQL = Q, SQL

@@ -45,16 +45,6 @@ def test_central_path_keeps_to_the_middle():
     assert P.central_cells(mask, (1, 1, 0), (1, 1, 8)) == []
 
 
-def test_run_length_of_an_arc_in_three_parts():
-    angle = np.arange(120) * 10 / 600
-    arc = np.stack([600 * np.cos(angle), 600 * np.sin(angle), np.zeros(120)], 1)
-    parts = [arc[:60], arc[60:100] + [0, 0, 0], arc[100:]]
-    parts[1], parts[2] = arc[60:100] + [300, 300, 0], arc[100:] + [700, 600, 0]
-    _, fraction, length = P.run_length(parts)
-    chord = 2 * 600 * np.sin(10 / 1200)
-    assert length[-1] == pytest.approx((59 + 39 + 19) * chord, rel=0.2) and fraction[0] == 0 and fraction[-1] == 1 and (np.diff(fraction) >= 0).all()
-
-
 def test_tree_edge_and_hops():
     p = np.array([[0, 0, 0], [1, 0, 0], [2, 0, 0], [5, 0, 0]], float)
     assert P.longest_tree_edge(p) == 3
