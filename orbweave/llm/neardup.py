@@ -5,11 +5,16 @@
    name is its smallest id; only classes go on, so copies never meet in pairs.
 2. Classes that share a band key are candidates. A bucket is never expanded into all its pairs: each member is tried
    against the bucket's leader only: the one that is in the fullest buckets over all bands, which is near the middle of a
-   group of edited copies. Components formed from the links found so far then say which members of a bucket are still apart. For these an exact filter takes the place of
-   pairs. Let L lead x and y, and let x lack d shingles for a link with L. What x and y share of L's shingles is at most
-   what x and L share, so a link of x and y needs d + t (|y| - |L|) shingles that both have and L has not, t being
-   s / (1 + s) for a similarity of s. Members meet on such added shingles only, both with their rarest ones (prefix
-   filter); where the bound is not positive, for a y smaller than L, they meet by sizes.
+   group of edited copies. Components formed from the links found so far then say which members of a bucket are still apart.
+   For these an exact filter takes the place of pairs. Let R be any set; here it is the leader's set with every shingle
+   changed in which more than half of its members differ from it, so that what they have in common says nothing. Let c(x)
+   be what x and R share, and t be s / (1 + s) for a similarity of s; x and y are linked if they share t (|x| + |y|).
+   They share |R| at most, less what either lacks, and what both add: c(x) + c(y) - |R|, and each difference to R that is
+   the same in both. So (a) where t (|x| + |y|) <= c(x) + c(y) - |R|, they are linked, and both are linked with the member
+   for which t |z| - c(z) is least: a star holds all of these. (b) Others share a difference. They share as well
+   t (|x| + |y|) - min(c(x), c(y)) added shingles, so they meet on added ones; or, where that is not positive, perhaps only on
+   lacking ones, of which they share what (a) leaves open. They meet on their rarest ones (prefix filter), and only where
+   enough of both lists is left from there on for these two (positional filter).
 3. Candidates with sizes and sketches (within six standard deviations) that allow the similarity are confirmed on
    their full shingle sets, made anew from the two texts.
 4. Components by alternating large-star and small-star; every round goes through a checkpoint.
@@ -128,8 +133,8 @@ def similar(width: int, percent: int):
     return run
 
 
-def added(width: int):
-    """mapInArrow function on (lead, id, z_a, z_b): lead, id, number of common shingles, and those of b that a has not."""
+def differences(width: int):
+    """mapInArrow function on (lead, id, z_a, z_b): lead, id, number of common shingles, those that only b has, those that only a has."""
     import zstandard
 
     def run(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -138,10 +143,11 @@ def added(width: int):
             for lo, hi in batches.pieces(batch, "z_b", batches.PIECE // 4):
                 part = batch.slice(lo, hi - lo)
                 (x, bx), (y, by) = [batches.distinct(*batches.shingles(*batches.string_bytes(pa.array([unpack.decompress(v.as_py()) for v in part.column(k)], pa.large_binary())), width)) for k in (2, 3)]
-                more = [np.setdiff1d(y[by[k] : by[k + 1]], x[bx[k] : bx[k + 1]], assume_unique=True) for k in range(hi - lo)]
-                sizes = np.array([len(m) for m in more])
-                lists = batches.list_array(np.concatenate(more).view(np.int64), np.concatenate([[0], np.cumsum(sizes)]), pa.int64())
-                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(np.diff(by) - sizes), lists], names=["lead", "id", "common", "added"])
+                pairs = [(x[bx[k] : bx[k + 1]], y[by[k] : by[k + 1]]) for k in range(hi - lo)]
+                more, less = [[np.setdiff1d(p, q, assume_unique=True) for p, q in some] for some in ([(q, p) for p, q in pairs], pairs)]
+                lists = [batches.list_array(np.concatenate(some).view(np.int64), np.concatenate([[0], np.cumsum([len(m) for m in some])]), pa.int64()) for some in (more, less)]
+                common = np.diff(by) - np.array([len(m) for m in more])
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(common), *lists], names=["lead", "id", "common", "added", "lacked"])
 
     return run
 
@@ -153,29 +159,50 @@ def _rest(open_: DataFrame, texts: DataFrame, width: int, percent: int) -> tuple
     lead = compact(open_.groupBy("band", "key").agg(F.min(F.struct((-F.col("mass")).alias("m"), "id", "n")).alias("l")))
     family = compact(open_.join(lead, ["band", "key"]).where("id != l.id").select(F.col("l.id").alias("lead"), F.col("l.n").alias("lead_n"), "id", "n", "comp", "s1", "s2").distinct())
     one, two = texts.select(F.col("id").alias("lead"), F.col("z").alias("z_a")), texts.select("id", F.col("z").alias("z_b"))
-    delta = family.select("lead", "id").join(two, "id").join(one, "lead").select("lead", "id", "z_a", "z_b").mapInArrow(added(width), f"lead {kind}, id {kind}, common bigint, added array<bigint>")
-    t = percent / (100 + percent)
-    least = compact(family.groupBy("lead").agg(F.min("n").alias("least_n")))
-    both = family.join(delta, ["lead", "id"]).withColumn("short", t * (F.col("n") + F.col("lead_n")) - F.col("common")).withColumn("linked", (100 + percent) * F.col("common") >= percent * (F.col("n") + F.col("lead_n")))
-    family = compact(both.join(least, "lead"))
-    own = ["lead", "lead_n", "id", "n", "comp", "s1", "s2", "short", "least_n", "linked"]
-    items = family.select(*own, F.explode("added").alias("item"))
-    shared = compact(items.groupBy("lead", "item").agg(F.count("*").alias("c")).where("c > 1"))
-    items = compact(items.join(shared, ["lead", "item"]))
-    side = lambda table, p, more=(): table.select("lead", "lead_n", *more, *[F.col(c).alias(f"{p}{c}") for c in ("id", "n", "comp", "s1", "s2", "short")])
-    apart = (F.col("m_comp") != F.col("l_comp")) & plausible("m_", "l_")
-    pair = lambda df: df.select(F.least("m_id", "l_id").alias("a"), F.greatest("m_id", "l_id").alias("b"))
-    floor = F.greatest(F.lit(1), F.ceil(F.col("short") - 1e-6 + t * (F.greatest(F.col("least_n"), F.ceil(F.col("n") * percent / 100)) - F.col("lead_n"))))
-    rare = items.groupBy(*own).agg(F.array_sort(F.collect_list(F.struct("c", "item"))).alias("x")).where(F.size("x") >= floor)
-    rare = compact(rare.withColumn("item", F.explode(F.slice("x.item", F.lit(1), (F.size("x") - floor + 1).cast("int")))).drop("x"))
-    # a pair of open members meets once
-    once = F.col("l_linked") | (F.col("m_id") < F.col("l_id"))
-    meet = side(rare.where("not linked"), "m_", ["item"]).join(side(rare, "l_", ["item", F.col("linked").alias("l_linked")]).drop("lead_n"), ["lead", "item"]).where(once & apart)
-    # an y that is smaller than L, where the bound allows a link without any added shingle
-    bound = lambda p, q: F.col(f"{p}short") <= t * (F.col("lead_n") - F.col(f"{q}n")) + 1e-6
-    small = side(family.where("n < lead_n"), "l_").drop("lead_n")
-    close = side(family.where(~F.col("linked") & (F.col("short") <= t * (F.col("lead_n") - F.col("least_n")) + 1e-6)), "m_").join(small, "lead").where(apart & bound("m_", "l_") & bound("l_", "m_"))
-    return pair(meet).unionByName(pair(close)).distinct(), family.where("linked").select(F.col("lead").alias("a"), F.col("id").alias("b"))
+    delta = family.select("lead", "id").join(two, "id").join(one, "lead").select("lead", "id", "z_a", "z_b").mapInArrow(differences(width), f"lead {kind}, id {kind}, common bigint, added array<bigint>, lacked array<bigint>")
+    t, slack = percent / (100 + percent), 1e-6
+    n, common = F.col("n"), F.col("common")
+    per_lead = compact(family.groupBy("lead").agg(F.min("n").alias("least_n"), F.count("*").alias("members")))
+    both = family.join(delta, ["lead", "id"]).withColumn("linked", (100 + percent) * common >= percent * (n + F.col("lead_n")))
+    family = compact(both.join(per_lead, "lead"))
+    # from the leader's set to R, of r shingles: what most of its members add is in it, and what most of them lack is not
+    for column in ("added", "lacked"):
+        usual = family.select("lead", "members", F.explode(column).alias("item")).groupBy("lead", "members", "item").agg(F.count("*").alias("c")).where("2 * c > members")
+        per_lead = per_lead.join(compact(usual.groupBy("lead").agg(F.collect_list("item").alias(f"all_{column}"))), "lead", "left").withColumn(f"all_{column}", F.coalesce(f"all_{column}", F.array().cast("array<bigint>")))
+    family = family.join(compact(per_lead.select("lead", "all_added", "all_lacked")), "lead")
+    turned = lambda x, y: F.concat(F.array_except(f"all_{y}", y), F.array_except(x, f"all_{x}"))
+    family = family.withColumns({"added": turned("added", "lacked"), "lacked": turned("lacked", "added"), "r": F.col("lead_n") + F.size("all_added") - F.size("all_lacked")})
+    family = compact(family.drop("all_added", "all_lacked", "lead_n").withColumn("common", n - F.size("added")).withColumn("far", t * n - common))
+    middle = compact(family.groupBy("lead").agg(F.min(F.struct("far", "id", "comp")).alias("z")))
+    family = family.join(middle, "lead")
+    star = family.where((F.col("far") + F.col("z.far") <= slack - F.col("r")) & (F.col("comp") != F.col("z.comp"))).select(F.least("id", "z.id").alias("a"), F.greatest("id", "z.id").alias("b"))
+    own = ["lead", "r", "id", "n", "comp", "s1", "s2", "common", "linked"]
+
+    def rare(table: DataFrame, column: str, floor) -> DataFrame:
+        """Each member's shared items, the rarest first, down to the last one that can be the first in common where floor
+        are in common; with each the number that is left of the list, itself included."""
+        items = table.select(*own, F.greatest(F.lit(1), F.ceil(floor - slack)).alias("floor"), F.explode(column).alias("item"))
+        shared = compact(items.groupBy("lead", "item").agg(F.count("*").alias("c")).where("c > 1"))
+        items = compact(items.join(shared, ["lead", "item"]))
+        lists = items.groupBy(*own, "floor").agg(F.array_sort(F.collect_list(F.struct("c", "item"))).alias("x")).where(F.size("x") >= F.col("floor"))
+        first = F.slice("x.item", F.lit(1), (F.size("x") - F.col("floor") + 1).cast("int"))
+        return compact(lists.select(*own, F.size("x").alias("size"), F.posexplode(first).alias("place", "item")).select(*own, "item", (F.col("size") - F.col("place")).alias("left")))
+
+    def met(table: DataFrame, needed, where) -> DataFrame:
+        """Pairs that have an item in common, after which both lists are long enough for what is needed; not both are linked with the leader."""
+        sides = [table.select("lead", "item", *extra, *[F.col(c).alias(f"{p}{c}") for c in ("id", "n", "comp", "s1", "s2", "common", "linked", "left")]) for p, extra in (("m_", ["r"]), ("l_", []))]
+        # a pair of open members meets once
+        once = F.col("l_linked") | (F.col("m_id") < F.col("l_id"))
+        long = F.least("m_left", "l_left") >= needed - slack
+        pairs = sides[0].where("not m_linked").join(sides[1], ["lead", "item"]).where(once & (F.col("m_comp") != F.col("l_comp")) & plausible("m_", "l_") & long & where)
+        return pairs.select(F.least("m_id", "l_id").alias("a"), F.greatest("m_id", "l_id").alias("b"))
+
+    wanted, most = t * (F.col("m_n") + F.col("l_n")), F.least("m_common", "l_common")
+    more = met(rare(family, "added", t * (n + F.greatest(F.col("least_n"), F.ceil(n * percent / 100))) - common), wanted - most, F.lit(True))
+    # those that may be linked without any added shingle in common
+    few = family.where(t * (n + F.greatest(F.col("least_n"), F.ceil(n * percent / 100))) <= common + slack)
+    close = met(rare(few, "lacked", F.col("r") + F.col("far") + F.col("z.far")), wanted + F.col("r") - F.col("m_common") - F.col("l_common"), wanted <= most + slack)
+    return star.unionByName(more).unionByName(close).distinct(), family.where("linked").select(F.col("lead").alias("a"), F.col("id").alias("b"))
 
 
 def _confirmed(pairs: DataFrame, texts: DataFrame, width: int, percent: int) -> DataFrame:

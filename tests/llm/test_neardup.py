@@ -3,6 +3,7 @@ import re
 
 import pytest
 
+from orbweave.llm import neardup
 from orbweave.llm.components import connected_components
 from orbweave.llm.neardup import near_duplicates
 
@@ -49,6 +50,34 @@ def test_a_large_group_of_near_copies_matches_brute_force(spark, width, percent)
     assert got == brute(rows, width, percent)
 
 
+@pytest.mark.parametrize("leader_edits", [0, 1])
+def test_far_members_of_a_group_are_not_tried_with_all_others(spark, monkeypatch, leader_edits):
+    """Copies with many edits of their own, some that share edits, and a few short ones: candidates stay few, links are all found."""
+    rng = random.Random(leader_edits)
+    base = [f"w{k}" for k in range(150)]
+
+    def changed(words, k, some=100):
+        words = list(words)
+        for at in rng.sample(range(len(words)), k):
+            words[at] = f"e{rng.randrange(some)}"
+        return words
+
+    middle = changed(base, leader_edits)
+    rows = [middle] + [changed(base, rng.choice([1, 2, 3])) for _ in range(60)] + [changed(base, rng.choice([5, 6, 7])) for _ in range(200)]
+    rows += [changed(rng.choice(rows[60:]), 2) for _ in range(40)] + [changed(base[: 150 - k], 1) for k in range(3, 20)] + [changed(base, 2)[k:] for k in range(3, 20)]
+    rows = [(k, " ".join(w)) for k, w in enumerate(rows)]
+    tried, confirmed = [], neardup._confirmed
+
+    def counted(pairs, *rest):
+        tried.append(pairs.count())
+        return confirmed(pairs, *rest)
+
+    monkeypatch.setattr(neardup, "_confirmed", counted)
+    got = {r.doc_id: (r.n_shingles, r.component_id, r.kept) for r in near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), width=3, percent=85).collect()}
+    assert got == brute(rows, 3, 85)
+    assert len(tried) == 2 and tried[1] < 2 * len(rows)
+
+
 def test_nulls_short_texts_repeats_and_clashing_columns(spark):
     rows = [(1, None, 7), (2, "", 7), (3, " \n", 7), (4, "one two", 7), (5, "ONE  two", 7), (5, "ONE  two", 7), (None, "one two", 7), (6, "a " * 30000, 7), (7, "a " * 29000, 7)]
     found = near_duplicates(spark.createDataFrame(rows, "doc_id long, text string, component long"), width=3, percent=85).collect()
