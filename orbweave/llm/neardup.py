@@ -44,6 +44,8 @@ BANDS, ROWS, SKETCH = 24, 4, 128
 SHINGLE, PERCENT = 5, 80
 #: Ids are broadcast up to this count, to find their texts without a shuffle.
 WANTED_ROWS = 200_000
+#: What most members of groups differ in from their leaders is broadcast up to this count of numbers (8 MB).
+USUAL_NUMBERS = 1_000_000
 RECORD = "n_shingles bigint, h1 bigint, h2 bigint, keys array<bigint>, s1 bigint, s2 bigint"
 
 
@@ -162,18 +164,21 @@ def _rest(open_: DataFrame, texts: DataFrame, width: int, percent: int) -> tuple
     delta = family.select("lead", "id").join(two, "id").join(one, "lead").select("lead", "id", "z_a", "z_b").mapInArrow(differences(width), f"lead {kind}, id {kind}, common bigint, added array<bigint>, lacked array<bigint>")
     t, slack = percent / (100 + percent), 1e-6
     n, common = F.col("n"), F.col("common")
-    per_lead = compact(family.groupBy("lead").agg(F.min("n").alias("least_n"), F.count("*").alias("members")))
+    # what there is for each leader is broadcast where it is small, so that no task gets a large group whole
+    per_lead = small_side(compact(family.groupBy("lead").agg(F.min("n").alias("least_n"), F.count("*").alias("members"))))
     both = family.join(delta, ["lead", "id"]).withColumn("linked", (100 + percent) * common >= percent * (n + F.col("lead_n")))
     family = compact(both.join(per_lead, "lead"))
     # from the leader's set to R, of r shingles: what most of its members add is in it, and what most of them lack is not
     for column in ("added", "lacked"):
         usual = family.select("lead", "members", F.explode(column).alias("item")).groupBy("lead", "members", "item").agg(F.count("*").alias("c")).where("2 * c > members")
         per_lead = per_lead.join(compact(usual.groupBy("lead").agg(F.collect_list("item").alias(f"all_{column}"))), "lead", "left").withColumn(f"all_{column}", F.coalesce(f"all_{column}", F.array().cast("array<bigint>")))
-    family = family.join(compact(per_lead.select("lead", "all_added", "all_lacked")), "lead")
+    usual = compact(per_lead.select("lead", "all_added", "all_lacked"))
+    numbers = usual.agg(F.sum(1 + F.size("all_added") + F.size("all_lacked"))).first()[0] or 0
+    family = family.join(F.broadcast(usual) if numbers <= USUAL_NUMBERS else usual, "lead")
     turned = lambda x, y: F.concat(F.array_except(f"all_{y}", y), F.array_except(x, f"all_{x}"))
     family = family.withColumns({"added": turned("added", "lacked"), "lacked": turned("lacked", "added"), "r": F.col("lead_n") + F.size("all_added") - F.size("all_lacked")})
     family = compact(family.drop("all_added", "all_lacked", "lead_n").withColumn("common", n - F.size("added")).withColumn("far", t * n - common))
-    middle = compact(family.groupBy("lead").agg(F.min(F.struct("far", "id", "comp")).alias("z")))
+    middle = small_side(compact(family.groupBy("lead").agg(F.min(F.struct("far", "id", "comp")).alias("z"))))
     family = family.join(middle, "lead")
     star = family.where((F.col("far") + F.col("z.far") <= slack - F.col("r")) & (F.col("comp") != F.col("z.comp"))).select(F.least("id", "z.id").alias("a"), F.greatest("id", "z.id").alias("b"))
     own = ["lead", "r", "id", "n", "comp", "s1", "s2", "common", "linked"]
