@@ -61,3 +61,15 @@ def test_k_nearest_within_radius(spark):
     assert {(r.a, r.b) for r in P.k_nearest(rows_of(spark, a, p), rows_of(spark, b, q), 4, 10.0).collect()} == want
     none = rows_of(spark, a, p).where(F.lit(False))
     assert P.k_nearest(none, none, 2, 5.0).count() == 0 and P.nearest_neighbors(none, 2, 5.0).count() == 0
+
+
+def test_isolated_objects_of_clumps_meet_few_pairs(spark):
+    from orbweave.operators import graph as G
+
+    keys, p = clumped(6, 400)
+    far = np.sqrt(((p[:, None] - p[None]) ** 2).sum(2))
+    mean = np.array([np.sort(np.delete(d, i))[:5].mean() for i, d in enumerate(far)])
+    rows = rows_of(spark, keys, p).withColumn("n_pixels", F.lit(1000))
+    got, most = met(spark, lambda: {(r.label_id, r.new_label) for r in G.filter_by_statistic(rows, P.nearest_neighbors(rows, 5, 10.0), "distance_nn5", 8.0, 900).collect()})
+    assert got == {(int(k), i + 1) for i, k in enumerate(keys[mean <= 8])} and 0 < len(got) < len(keys)
+    assert most < (far <= 10).sum() / 4
