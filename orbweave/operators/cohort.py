@@ -6,7 +6,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from orbweave.operators.graph import components
-from orbweave.operators.spatial import radius_join
+from orbweave.operators.ranges import written
+from orbweave.operators.spatial import XYZ, _placed, distance, first_radius, radius_join
 
 ZYX = ("z", "y", "x")
 
@@ -39,11 +40,32 @@ def nearest_surface(spots: DataFrame, voxels: DataFrame, farthest: float) -> Dat
 
 
 def closest_pairs(objects: DataFrame, radius: float) -> DataFrame:
-    """For each two components with objects within the radius: the closest pair of objects."""
-    named = objects.withColumn("key", F.struct("component_labels", "label_id"))
-    pairs = radius_join(named, named, radius, "key").where("a.component_labels < b.component_labels")
-    best = pairs.groupBy(F.col("a.component_labels").alias("c1"), F.col("b.component_labels").alias("c2")).agg(F.min(F.struct("distance", F.col("a.label_id").alias("a"), F.col("b.label_id").alias("b"))).alias("m"))
-    return best.select("c1", "c2", "m.a", "m.b", "m.distance")
+    """For each two components with objects within the radius: the closest pair of objects (the smaller ids among equals).
+
+    The search begins at a radius at which cells hold few objects, and doubles it for the pairs of components that have none yet: only
+    cells of such two components that are neighbours meet. A component's objects at one place are searched for once.
+    """
+    spots = written(objects.where(_placed(objects, XYZ) & F.col("component_labels").isNotNull()).groupBy("component_labels", *XYZ).agg(F.min("label_id").alias("label_id")))
+    number = spots.select("component_labels").distinct().count()
+    reach, found = first_radius(spots, radius, 2.0), None
+    while True:
+        cells = spots.withColumns({f"g{k}": F.floor(F.col(c) / reach) for k, c in enumerate(XYZ)})
+        one = written(cells.select(F.col("component_labels").alias("c2"), "g0", "g1", "g2").distinct())
+        around = one.withColumnRenamed("c2", "c1").select("c1", *[F.col(f"g{k}").alias(f"h{k}") for k in range(3)], *[F.col(f"g{k}") for k in range(3)])
+        for k in range(3):
+            around = around.withColumn(f"g{k}", F.explode(F.array(*[F.col(f"g{k}") + s for s in (-1, 0, 1)])))
+        work = around.join(one, ["g0", "g1", "g2"]).where("c1 < c2")
+        if found is not None:
+            work = work.join(found.select("c1", "c2"), ["c1", "c2"], "left_anti")
+        a = cells.select(F.col("component_labels").alias("c1"), F.col("label_id").alias("a"), *[F.col(c).alias(f"a{k}") for k, c in enumerate(XYZ)], *[F.col(f"g{k}").alias(f"h{k}") for k in range(3)])
+        b = cells.select(F.col("component_labels").alias("c2"), F.col("label_id").alias("b"), *[F.col(c).alias(f"b{k}") for k, c in enumerate(XYZ)], "g0", "g1", "g2")
+        gap = distance([F.col(f"a{k}") for k in range(3)], [F.col(f"b{k}") for k in range(3)])
+        pairs = work.join(a, ["c1", "h0", "h1", "h2"]).join(b, ["c2", "g0", "g1", "g2"]).withColumn("distance", gap).where(F.col("distance") <= reach)
+        best = written(pairs.groupBy("c1", "c2").agg(F.min(F.struct("distance", "a", "b")).alias("m")).select("c1", "c2", "m.a", "m.b", "m.distance"))
+        found = best if found is None else written(found.unionByName(best))
+        if reach >= radius or found.count() == number * (number - 1) // 2:
+            return found
+        reach *= 2
 
 
 def paired_files(files: DataFrame, left: str, right: str) -> DataFrame:

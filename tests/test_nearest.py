@@ -86,3 +86,22 @@ def test_naive_matching_of_clumps_meets_few_pairs(spark):
     got, most = met(spark, lambda: {(r.point, r.object) for r in M.naive_matching(rows_of(spark, a, p), rows_of(spark, b, q), 10.0).collect()})
     assert got == {(min(v)[1], k) for k, v in best.items()}
     assert most < (far <= 10).sum() / 4
+
+
+def test_closest_pairs_of_clumps_write_few_rows(spark, monkeypatch):
+    """Two components in each clump and one of its own: pairs of components that are far apart come in later rounds, and no join of points makes all pairs."""
+    from orbweave.operators import cohort as C
+
+    keys, p = clumped(9, 300)
+    label = np.where(np.arange(len(p)) < 150, keys % 2, 2 + keys % 3)
+    label[-1] = 9
+    far = np.sqrt(((p[:, None] - p[None]) ** 2).sum(2))
+    want = {}
+    for i, j in np.argwhere((label[:, None] < label[None]) & (far <= 80)):
+        pair, found = (int(label[i]), int(label[j])), (float(far[i, j]), int(keys[i]), int(keys[j]))
+        want[pair] = min(want.get(pair, found), found)
+    rows = spark.createDataFrame([(int(k), int(c), *map(float, x)) for k, c, x in zip(keys, label, p, strict=True)], "label_id long, component_labels long, anchor_x double, anchor_y double, anchor_z double")
+    monkeypatch.setattr(C, "radius_join", None)
+    assert {(r.c1, r.c2): (r.a, r.b) for r in C.closest_pairs(rows, 80.0).collect()} == {k: v[1:] for k, v in want.items()}
+    none = rows.where("label_id < 0")
+    assert C.closest_pairs(none, 80.0).count() == 0
