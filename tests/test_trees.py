@@ -38,3 +38,17 @@ def test_trees_equal_plain_ones(spark):
 def test_no_points(spark):
     none = spark.createDataFrame([], KIND)
     assert tree_edges(none, "dataset").count() == 0 and longest_edge(none, "dataset").count() == 0
+
+
+def test_dense_tree_meets_few_pairs(spark, monkeypatch):
+    """A crowded group and sparse points around it, far more of them within 30 than the tree needs."""
+    from orbweave.operators import trees as T
+
+    rng = np.random.default_rng(5)
+    p = np.concatenate([rng.normal(0, 0.4, (150, 3)), rng.normal(0, 15, (50, 3))])
+    rows = spark.createDataFrame([(k, "s", *map(float, x)) for k, x in enumerate(p)], KIND)
+    most, real = [], T.written
+    monkeypatch.setattr(T, "written", lambda df: (most.append(df.count()) if "e" in df.columns else None, real(df))[1])
+    assert sorted((r.a, r.b) for r in tree_edges(rows, "dataset").collect()) == sorted((a, b) for a, b, _ in plain_tree(p))
+    within = (np.sqrt(((p[:, None] - p[None]) ** 2).sum(2)) <= 30).sum()
+    assert max(most) < within / 4
