@@ -172,8 +172,9 @@ def local_background(objects: DataFrame, voxels: DataFrame, radius: float, shape
     at, limit = [f"b{c}" for c in ZYX], radius * radius
     met = balls.where(_square(near) <= limit).withColumn("_whole", whole & (_square(far) <= limit))
     rows = voxels.where(F.col(value).isNotNull()).select(*ZYX, F.col(value).alias("_v"), *[F.floor(F.col(c) / edge).alias(f"b{c}") for c in ZYX])
-    inner = met.where("_whole").select(key, *at).join(rows.groupBy(*at, "_v").agg(F.count("*").alias("_n")), at).select(key, "_v", "_n")
-    surface = met.where("not _whole").drop(*ZYX).join(rows, at)
+    # the planner's guess leaves out that rows are exploded: without the hint it broadcasts them all, through the driver
+    inner = met.where("_whole").select(key, *at).hint("merge").join(rows.groupBy(*at, "_v").agg(F.count("*").alias("_n")), at).select(key, "_v", "_n")
+    surface = met.where("not _whole").drop(*ZYX).hint("merge").join(rows, at)
     inside = _square([F.col(c) - F.col(f"mid_{c}") for c in ZYX]) <= limit
     for c in ZYX:
         inside = inside & (F.col(c) >= F.col(f"lo_{c}")) & (F.col(c) < F.col(f"hi_{c}"))
