@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from orbweave.operators.ranges import numbered, written
-from orbweave.operators.spatial import XYZ, radius_join
+from orbweave.operators.spatial import XYZ, _placed
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -27,12 +29,43 @@ def components(edges: DataFrame) -> DataFrame:
             return labels
 
 
+def radius_edges(objects: DataFrame, distance: float, key: str = "label_id", places: tuple[str, ...] = XYZ) -> DataFrame:
+    """Edges (a, b) of keys whose components are those of all objects within the distance; far fewer than there are such pairs.
+
+    Cells are so small that the objects of one hang together. Of neighbouring cells first only their outermost objects meet; all
+    objects of two cells meet where the cells are not in one component after that.
+    """
+    edge = distance / math.sqrt(len(places)) * (1 - 1e-9)
+    axes = range(len(places))
+    rows = objects.where(_placed(objects, places)).select(F.col(key).alias("key"), *[F.col(c).cast("double").alias(f"p{k}") for k, c in enumerate(places)], *[F.floor(F.col(c) / edge).alias(f"g{k}") for k, c in enumerate(places)])
+    rows = written(rows)
+    at = [f"g{k}" for k in axes]
+    one = F.struct("key", *[f"p{k}" for k in axes])
+    cells = written(rows.groupBy(*at).agg(F.min("key").alias("cell"), F.array_distinct(F.array(*[F.expr(f"{f}(struct(p{k}, struct(key, {', '.join(f'p{j}' for j in axes)}) AS o)).o") for k in axes for f in ("min", "max")])).alias("ends")))
+    reach = math.floor(distance / edge) + 1
+    other = cells.select(*at, F.col("cell").alias("to"), F.col("ends").alias("to_ends"))
+    around = cells
+    for k in axes:
+        around = around.withColumn(f"g{k}", F.explode(F.array(*[F.col(f"g{k}") + s for s in range(-reach, reach + 1)])))
+    near = lambda p, q: F.sqrt(sum(((p[f"p{k}"] - q[f"p{k}"]) * (p[f"p{k}"] - q[f"p{k}"]) for k in axes), F.lit(0.0))) <= distance
+    met = written(around.join(other, at).where("cell < to").select("cell", "to", F.exists("ends", lambda p: F.exists("to_ends", lambda q: near(p, q))).alias("linked")))
+    links = met.where("linked").select(F.col("cell").alias("a"), F.col("to").alias("b"))
+    parts = components(links)
+    name = lambda n: parts.select(F.col("node").alias(n), F.col("component").alias(f"part_{n}"))
+    apart = met.where("not linked").join(name("cell"), "cell", "left").join(name("to"), "to", "left").where(F.coalesce("part_cell", "cell") != F.coalesce("part_to", "to")).select("cell", "to")
+    own = written(rows.join(cells.select(*at, "cell"), at).select("cell", one.alias("o")))
+    pairs = apart.join(own.withColumnRenamed("o", "p"), "cell").join(own.select(F.col("cell").alias("to"), F.col("o").alias("q")), "to").where(near(F.col("p"), F.col("q")))
+    late = pairs.select(F.col("cell").alias("a"), F.col("to").alias("b")).distinct()
+    inside = own.where(F.col("o.key") != F.col("cell")).select(F.col("cell").alias("a"), F.col("o.key").alias("b"))
+    return links.unionByName(late).unionByName(inside)
+
+
 def radius_components(objects: DataFrame, distance: float, least: int = 1, key: str = "label_id", places: tuple[str, ...] = XYZ) -> DataFrame:
     """key and component_labels: components of the graph of objects within the distance, 1 the largest, 0 the small ones.
 
     Ties in size go to the component with the smaller smallest id.
     """
-    edges = radius_join(objects, objects, distance, key, places=places).where("a < b")
+    edges = radius_edges(objects, distance, key, places)
     found = components(edges)
     named = objects.select(key).join(found, F.col(key) == F.col("node"), "left").select(key, F.coalesce("component", key).alias("component"))
     sizes = named.groupBy("component").agg(F.count("*").alias("n")).where(F.col("n") >= least)

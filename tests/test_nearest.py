@@ -105,3 +105,20 @@ def test_closest_pairs_of_clumps_write_few_rows(spark, monkeypatch):
     assert {(r.c1, r.c2): (r.a, r.b) for r in C.closest_pairs(rows, 80.0).collect()} == {k: v[1:] for k, v in want.items()}
     none = rows.where("label_id < 0")
     assert C.closest_pairs(none, 80.0).count() == 0
+
+
+def test_radius_components_of_clumps_need_few_edges(spark):
+    from orbweave.operators import graph as G
+
+    keys, p = clumped(10, 400)
+    keys = np.random.default_rng(1).permutation(keys)
+    for distance in (2.0, 4.0, 7.0):
+        near = np.sqrt(((p[:, None] - p[None]) ** 2).sum(2)) <= distance
+        part = keys.copy()
+        while (new := np.array([part[row].min() for row in near])).tolist() != part.tolist():
+            part = new
+        rows = rows_of(spark, keys, p)
+        edges = G.radius_edges(rows, distance)
+        assert edges.count() < near.sum() / 8
+        found = {r.node: r.component for r in G.components(edges).collect()}
+        assert [found.get(int(k), int(k)) for k in keys] == part.tolist()
